@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from spanloom.llm import leaks, tokenize
+from spanloom.llm import leaks, tokenize, versions
 
 QUERIES = {
+    "p3_found": versions.p3_found,
     "p4_found": leaks.p4_found,
     "p4_spans": leaks.p4_spans,
     "p4_clean_sources": leaks.p4_clean_sources,
