@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from spanloom.llm import leaks, tokenize, versions
+from spanloom.llm import leaks, overlap, repeats, tokenize, versions
 
 QUERIES = {
+    "p2_found": overlap.p2_found,
+    "p2_report": overlap.p2_report,
     "p3_found": versions.p3_found,
     "p4_found": leaks.p4_found,
     "p4_spans": leaks.p4_spans,
     "p4_clean_sources": leaks.p4_clean_sources,
+    "p5_found": repeats.p5_found,
+    "p5_share": repeats.p5_share,
     "p6_ids": tokenize.p6_ids,
 }
 SQL: dict[str, str] = {}
