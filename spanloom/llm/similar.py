@@ -75,12 +75,22 @@ def one_of(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     return sorted_set[at] == values
 
 
+def about(texts: DataFrame, ids: DataFrame, buckets: int = 1 << 18) -> DataFrame:
+    """The rows of texts that may belong to ids (one column): those whose id hashes into a bucket
+    that one of ids hashes into. At most `buckets` rows are broadcast, whatever the data's size;
+    with very many ids nothing is held back, and the join that follows is right in any case."""
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
+    hit = ids.select(bucket(F.col(ids.columns[0])).alias("bucket")).distinct()
+    return texts.join(F.broadcast(hit), bucket(F.col("id")) == F.col("bucket"), "left_semi")
+
+
 def verified_pairs(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = MIN_SIMILARITY) -> DataFrame:
     """(a, b, similarity, cover_a, cover_b) of the pairs (a, b) whose texts are similar by
     least or more; cover is the share of a text's words that lie in runs of eight words which
     the other text has too. Each pair's two texts are brought together by joins on the id."""
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = about(texts, pairs.select("a").unionAll(pairs.select("b")))
     left = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
     both = left.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
 
