@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.similar import text_names
+from spanloom.llm.similar import about, text_names
 from spanloom.llm.tables import table
 from spanloom.llm.text import U64, chunks, mix, pieces, windows
 from spanloom.session import materialize
@@ -156,8 +156,8 @@ def shared_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     reps = rows.drop("h1", "h2", "n").join(classes.select(F.col("rep").alias("id"), (F.col("rep") != F.col("last")).alias("copied")), "id").dropDuplicates(["id"])
     found = reps.select("id", "copied", F.explode(F.arrays_zip("keys", "lo", "hi")).alias("k")).select("id", "k.keys", "k.lo", "k.hi")
     met = found.join(_in_two(found, ["keys"]), "keys")
-    about = met.groupBy("id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    spans = materialize(_spans(docs.where("text is not null").join(about, "id").select("id", "lo", "hi", "text")))
+    where = met.groupBy("id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    spans = materialize(_spans(about(docs.where("text is not null"), where.select("id")).join(where, "id").select("id", "lo", "hi", "text")))
     shared = spans.join(_in_two(spans, ["run", "extra"]), ["run", "extra"]).select("id", "at")
     order = Window.partitionBy("id").orderBy("at")
     begins = F.coalesce((F.col("at") - F.lag("at").over(order) > SPAN).cast("int"), F.lit(1))
