@@ -15,10 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.text import U64, chunks, mix, plain_words, positions_in, windows
+from spanloom.session import materialize
 
 SHINGLE = 3
 MIN_PLAIN_WORDS = 20
 MIN_SIMILARITY = 0.6
+#: Texts of which less than this share of the runs is rare are compared by the frequent ones too.
+MOSTLY_FREQUENT = 0.25
 #: A run of words that at least this share of all documents holds tells no two of them apart.
 FREQUENT_SHARE = 0.002
 
@@ -63,6 +66,7 @@ def frequent_runs(df: DataFrame, width: int, share: float = FREQUENT_SHARE, text
             yield pa.RecordBatch.from_arrays([pa.array(np.append(u[keep].view(np.int64), 0)), pa.array(np.append(c[keep], 0)), pa.array(np.append(np.zeros(keep.sum(), dtype=np.int64), batch.num_rows))], names=["run", "n", "docs"])
 
     counts = df.select(F.col(text_col).alias("text")).mapInArrow(run, "run bigint, n bigint, docs bigint").groupBy("run").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    counts = materialize(counts)
     total = F.broadcast(counts.where("docs > 0").select(F.sum("docs").alias("total")))
     rows = counts.crossJoin(total).where(F.expr(f"n > 0 and n >= greatest(3, {share} * total)")).select("run").toPandas()
     return np.sort(rows["run"].to_numpy(dtype=np.int64).view(U64))
@@ -75,13 +79,32 @@ def one_of(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     return sorted_set[at] == values
 
 
-def about(texts: DataFrame, ids: DataFrame, buckets: int = 1 << 18) -> DataFrame:
+def representatives(rows: DataFrame, *flags: str) -> tuple[DataFrame, DataFrame]:
+    """Of rows with id, h1 and h2, where texts of equal words share h1 and h2: (the row with the
+    least id of each class, the other members as (id, rep, *flags)). flags: boolean columns, which
+    the first table holds true where any member does. The least members stand in the second table
+    too if their class has others. Only rows near a class of several are shuffled (see about);
+    repeated rows of one id count once."""
+    keys = ["h1", "h2"]
+    small = rows.select("id", *keys, *flags)
+    several = small.groupBy(*keys).agg(F.min("id").alias("rep"), F.count("*").alias("c"), *(F.bool_or(f).alias(f"any_{f}") for f in flags)).where("c > 1").drop("c")
+    members = materialize(small.join(several, keys).select("id", "rep", *flags, *(f"any_{f}" for f in flags)).distinct())
+    near, far = about(rows, members.select("id"), both=True)
+    of = members.select("id", "rep", *(f"any_{f}" for f in flags)).distinct()
+    kept = near.join(of, "id", "left").where("rep is null or rep = id").dropDuplicates(["id"])
+    kept = kept.withColumns({f: F.coalesce(f"any_{f}", f) for f in flags}).select(*rows.columns)
+    return far.select(*rows.columns).unionAll(kept), members.select("id", "rep", *flags)
+
+
+def about(texts: DataFrame, ids: DataFrame, buckets: int = 1 << 18, both: bool = False):
     """The rows of texts that may belong to ids (one column): those whose id hashes into a bucket
     that one of ids hashes into. At most `buckets` rows are broadcast, whatever the data's size;
-    with very many ids nothing is held back, and the join that follows is right in any case."""
+    with very many ids nothing is held back, and the join that follows is right in any case. With
+    both, a second table has the other rows."""
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
     hit = ids.select(bucket(F.col(ids.columns[0])).alias("bucket")).distinct()
-    return texts.join(F.broadcast(hit), bucket(F.col("id")) == F.col("bucket"), "left_semi")
+    near = texts.join(F.broadcast(hit), bucket(F.col("id")) == F.col("bucket"), "left_semi")
+    return (near, texts.join(F.broadcast(hit), bucket(F.col("id")) == F.col("bucket"), "left_anti")) if both else near
 
 
 def verified_pairs(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = MIN_SIMILARITY) -> DataFrame:
