@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.similar import about, text_names
+from spanloom.llm.similar import about, representatives, text_names
 from spanloom.llm.tables import table
 from spanloom.llm.text import U64, chunks, mix, pieces, windows
 from spanloom.session import materialize
@@ -150,11 +150,9 @@ def shared_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     class of two or more are one stretch whole. Other columns are ignored."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     rows = materialize(_anchor_rows(docs))
-    classes = rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
-    copied = classes.where("rep != last").select("h1", "h2")
-    whole = rows.select("id", "h1", "h2", "n").join(copied, ["h1", "h2"]).select("id", F.lit(0).cast("bigint").alias("first_word"), F.col("n").cast("bigint").alias("n_words")).distinct()
-    reps = rows.drop("h1", "h2", "n").join(classes.select(F.col("rep").alias("id"), (F.col("rep") != F.col("last")).alias("copied")), "id").dropDuplicates(["id"])
-    found = reps.select("id", "copied", F.explode(F.arrays_zip("keys", "lo", "hi")).alias("k")).select("id", "k.keys", "k.lo", "k.hi")
+    reps, members = representatives(rows)
+    whole = rows.select("id", "n").join(members, "id").select("id", F.lit(0).cast("bigint").alias("first_word"), F.col("n").cast("bigint").alias("n_words")).distinct()
+    found = reps.select("id", F.explode(F.arrays_zip("keys", "lo", "hi")).alias("k")).select("id", "k.keys", "k.lo", "k.hi")
     met = found.join(_in_two(found, ["keys"]), "keys")
     where = met.groupBy("id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     spans = materialize(_spans(about(docs.where("text is not null"), where.select("id")).join(where, "id").select("id", "lo", "hi", "text")))
