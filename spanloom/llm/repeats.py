@@ -154,7 +154,7 @@ def shared_stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     whole = rows.select("id", "n").join(members, "id").select("id", F.lit(0).cast("bigint").alias("first_word"), F.col("n").cast("bigint").alias("n_words")).distinct()
     found = reps.select("id", F.explode(F.arrays_zip("keys", "lo", "hi")).alias("k")).select("id", "k.keys", "k.lo", "k.hi")
     met = found.join(_in_two(found, ["keys"]), "keys")
-    where = met.groupBy("id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
+    where = materialize(met.groupBy("id").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")))
     spans = materialize(_spans(about(docs.where("text is not null"), where.select("id")).join(where, "id").select("id", "lo", "hi", "text")))
     shared = spans.join(_in_two(spans, ["run", "extra"]), ["run", "extra"]).select("id", "at")
     order = Window.partitionBy("id").orderBy("at")
