@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import leaks, overlap, repeats, tokenize, versions
+from spanloom.llm import leaks, overlap, packing, repeats, tokenize, versions
 
 QUERIES = {
     "p2_found": overlap.p2_found,
@@ -14,5 +14,7 @@ QUERIES = {
     "p5_found": repeats.p5_found,
     "p5_share": repeats.p5_share,
     "p6_ids": tokenize.p6_ids,
+    "p7_containers": packing.p7_containers,
+    "p7_fill": packing.p7_fill,
 }
 SQL: dict[str, str] = {}
