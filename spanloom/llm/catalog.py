@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import leaks, overlap, packing, repeats, tokenize, versions
+from spanloom.llm import languages, leaks, overlap, packing, repeats, tokenize, versions
 
 QUERIES = {
     "p2_found": overlap.p2_found,
@@ -16,5 +16,8 @@ QUERIES = {
     "p6_ids": tokenize.p6_ids,
     "p7_containers": packing.p7_containers,
     "p7_fill": packing.p7_fill,
+    "p8_found": languages.p8_found,
+    "p8_segments": languages.p8_segments,
+    "p8_documents": languages.p8_documents,
 }
 SQL: dict[str, str] = {}
