@@ -20,8 +20,11 @@ from spanloom.session import materialize
 SHINGLE = 3
 MIN_PLAIN_WORDS = 20
 MIN_SIMILARITY = 0.6
-#: Texts of which less than this share of the runs is rare are compared by the frequent ones too.
-MOSTLY_FREQUENT = 0.25
+#: Texts of which at most this share of the runs is rare could be similar by frequent runs alone,
+#: so they are compared by these too.
+MOSTLY_FREQUENT = 1 - MIN_SIMILARITY
+#: In fewer documents than this no run is frequent.
+FREQUENT_LEAST = 50
 #: A run of words that at least this share of all documents holds tells no two of them apart.
 FREQUENT_SHARE = 0.002
 
@@ -68,7 +71,7 @@ def frequent_runs(df: DataFrame, width: int, share: float = FREQUENT_SHARE, text
     counts = df.select(F.col(text_col).alias("text")).mapInArrow(run, "run bigint, n bigint, docs bigint").groupBy("run").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     counts = materialize(counts)
     total = F.broadcast(counts.where("docs > 0").select(F.sum("docs").alias("total")))
-    rows = counts.crossJoin(total).where(F.expr(f"n > 0 and n >= greatest(3, {share} * total)")).select("run").toPandas()
+    rows = counts.crossJoin(total).where(F.expr(f"n > 0 and n >= greatest({FREQUENT_LEAST}, {share} * total)")).select("run").toPandas()
     return np.sort(rows["run"].to_numpy(dtype=np.int64).view(U64))
 
 
@@ -87,7 +90,7 @@ def representatives(rows: DataFrame, *flags: str) -> tuple[DataFrame, DataFrame]
     repeated rows of one id count once."""
     keys = ["h1", "h2"]
     small = rows.select("id", *keys, *flags)
-    several = small.groupBy(*keys).agg(F.min("id").alias("rep"), F.count("*").alias("c"), *(F.bool_or(f).alias(f"any_{f}") for f in flags)).where("c > 1").drop("c")
+    several = small.groupBy(*keys).agg(F.min("id").alias("rep"), F.max("id").alias("last"), *(F.bool_or(f).alias(f"any_{f}") for f in flags)).where("rep != last").drop("last")
     members = materialize(small.join(several, keys).select("id", "rep", *flags, *(f"any_{f}" for f in flags)).distinct())
     near, far = about(rows, members.select("id"), both=True)
     of = members.select("id", "rep", *(f"any_{f}" for f in flags)).distinct()
