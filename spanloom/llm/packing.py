@@ -5,13 +5,16 @@ In a group every item starts as a partial partition of its own into k windows. T
 partitions with the largest differences between their windows are merged again and again, the
 fullest windows of the one with the emptiest of the other, so that their imbalances cancel; at the
 end one partition with nearly equal windows is left. Where a window exceeds the capacity, its items
-change places with smaller ones of windows that have room for the difference. k starts at the least number that could do, and
-rises by the excess until every window keeps to the capacity. An item longer than the capacity is
+change places with smaller ones of windows that have room for the difference; windows that are
+still too full, or far from full, are opened again and filled with their items from the largest
+down, and the window count rises where an item fits nowhere. Of a few starting numbers k, the least
+possible one first, the best is taken. An item longer than the capacity is
 cut into full pieces, each a container of its own, and a rest, which is an item like others.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 
 import numpy as np
@@ -25,6 +28,10 @@ from spanloom.session import materialize
 
 #: Containers that a group of items would fill; a larger group leaves less unused space at its end.
 GROUP_WINDOWS = 256
+#: Shares by which the number of windows rises over the least possible one.
+RISES = (0.0, 0.01, 0.02)
+#: Windows emptier than this are opened again.
+NEARLY_FULL = 0.985
 #: Items of a group at most, on average.
 GROUP_ITEMS = 20_000
 
@@ -77,13 +84,41 @@ def windows_for(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     """(window of each item, number of windows) with no window above capacity."""
     if not len(sizes):
         return np.zeros(0, dtype=np.int64), 0
-    k = max(1, -(-int(sizes.sum()) // capacity), int((2 * sizes > capacity).sum()))
-    while True:
+    least = max(1, -(-int(sizes.sum()) // capacity), int((2 * sizes > capacity).sum()))
+    best = None
+    for more in RISES:
+        k = min(len(sizes), least + int(least * more))
         window, sums = differencing(sizes, k)
-        over = _evened(sizes, window, sums, capacity)
-        if not over:
-            return window, k
-        k = min(len(sizes), k + -(-over // capacity))
+        _evened(sizes, window, sums, capacity)
+        n = _repacked(sizes, window, sums, capacity)
+        if best is None or n < best[1]:
+            best = (window, n)
+        if best[1] <= k:
+            break
+    return best
+
+
+def _repacked(sizes: np.ndarray, window: np.ndarray, sums: np.ndarray, capacity: int) -> int:
+    """Open the windows above the capacity again, and those that differencing left emptier than
+    NEARLY_FULL; their items go, the largest first, to the fullest of these windows that can take
+    them, and the window count rises where none can. Changes window; the number of windows."""
+    keep = (sums <= capacity) & (sums >= NEARLY_FULL * capacity)
+    number = np.cumsum(keep) - 1
+    n = int(keep.sum())
+    loose = np.flatnonzero(~keep[window])
+    window[keep[window]] = number[window[keep[window]]]
+    room: list[tuple[int, int]] = []
+    for i in loose[np.argsort(-sizes[loose], kind="stable")].tolist():
+        size = int(sizes[i])
+        at = bisect.bisect_left(room, (size, -1))
+        if at < len(room):
+            left, w = room.pop(at)
+        else:
+            left, w = capacity, n
+            n += 1
+        window[i] = w
+        bisect.insort(room, (left - size, w))
+    return n
 
 
 def _evened(sizes: np.ndarray, window: np.ndarray, sums: np.ndarray, capacity: int) -> int:
