@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from spanloom.llm import languages, leaks, overlap, packing, repeats, tokenize, versions
+from spanloom.llm.sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
 
 QUERIES = {
     "p2_found": overlap.p2_found,
@@ -20,4 +23,3 @@ QUERIES = {
     "p8_segments": languages.p8_segments,
     "p8_documents": languages.p8_documents,
 }
-SQL: dict[str, str] = {}

@@ -54,7 +54,7 @@ def recompress(names: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS) -> t
             after = np.r_[start, len(names)]
             base, first, last = symbol[at], start[at], np.minimum(after[at + times], bounds[text[at] + 1])
             big = (times > 1) & (last - first >= LONG_RUN)
-            long_runs.append((mix(base[big] ^ mix(seed ^ U64(7))), first[big], last[big]))
+            long_runs.append((mix(base[big] ^ mix(np.array([seed ^ U64(7)], dtype=U64))), first[big], last[big]))
             symbol = np.where(times > 1, mix(base ^ mix(times.astype(U64) + seed)), base)
             start, text = first, text[at]
         right = (mix(symbol ^ seed) & U64(1)).astype(bool)
