@@ -110,10 +110,10 @@ def about(texts: DataFrame, ids: DataFrame, buckets: int = 1 << 18, both: bool =
     return (near, texts.join(F.broadcast(hit), bucket(F.col("id")) == F.col("bucket"), "left_anti")) if both else near
 
 
-def verified_pairs(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = MIN_SIMILARITY) -> DataFrame:
+def verified_pairs(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = MIN_SIMILARITY, cover: bool = False) -> DataFrame:
     """(a, b, similarity, cover_a, cover_b) of the pairs (a, b) whose texts are similar by
     least or more; cover is the share of a text's words that lie in runs of eight words which
-    the other text has too. Each pair's two texts are brought together by joins on the id."""
+    the other text has too (null unless asked for). Each pair's two texts are brought together by joins on the id."""
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = about(texts, pairs.select("a").unionAll(pairs.select("b")))
@@ -136,8 +136,11 @@ def verified_pairs(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", te
                     x, y = runs[cut[i] : cut[i + 1]], runs[cut[j] : cut[j + 1]]
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     if common >= least * (len(x) + len(y) - common) - 1e-9:
-                        u, v = (eights[bounds[t] : max(bounds[t], bounds[t + 1] - 7)] for t in (i, j))
-                        out.append((a[k], b[k], common / (len(x) + len(y) - common), _covered(u, v), _covered(v, u)))
+                        shares = (None, None)
+                        if cover:
+                            u, v = (eights[bounds[t] : max(bounds[t], bounds[t + 1] - 7)] for t in (i, j))
+                            shares = (_covered(u, v), _covered(v, u))
+                        out.append((a[k], b[k], common / (len(x) + len(y) - common), *shares))
             cols = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 2 + [pa.float64()] * 3)], names=["a", "b", "similarity", "cover_a", "cover_b"])
 
