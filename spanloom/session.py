@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dir: str | None = None
+_written: list[str] = []
 
 
 def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -39,10 +40,20 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _local_dir
 
 
+def _remove_written() -> None:
+    """Remove this process's tables at its end where the shared folder is a mounted one; in other
+    stores they are left to the store's own expiry."""
+    for path in _written:
+        shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage is cut, the rows
     outlive a lost executor, and what is expensive is computed once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanloom-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if not _written:
+        atexit.register(_remove_written)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
