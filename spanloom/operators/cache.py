@@ -69,6 +69,7 @@ def greedy_cache(grams: DataFrame, num_ranks: DataFrame, floor: int, depth: int,
     # a mark behind the last child of each parent says how many entries there are by then
     marks = parents.select(none("int").alias("depth"), F.col("parent_key").alias("key"), none("bigint").alias("lo"), none("bigint").alias("hi"), none("bigint").alias("cnt"), F.concat(parent_order, F.lit("1")).alias("at"))
     rows = low.select("depth", "key", "lo", "hi", "cnt", "at").unionAll(deep.select("depth", "key", "lo", "hi", "cnt", "at")).unionAll(marks)
+    rows = materialize(rows)  # it is gone through several times
     is_entry = F.col("depth").isNotNull()
     ordered = running(rows, "at", {"number": is_entry.cast("int"), "cum_bytes": F.when(is_entry, entry_bytes(F.col("depth"), fmt))})
     full = nodes.where(F.col("depth") <= floor).groupBy("depth").agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.config import TokenFormat
 from spanloom.functions.keys import pointer_size
 from spanloom.operators.prefix import numbered, running
+from spanloom.session import materialize
 
 
 def words(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -21,6 +22,7 @@ def vocabulary(df: DataFrame, max_words: int | None = None) -> DataFrame:
     """(w, cnt, tok): ids by falling count, ties by the words' bytes. With max_words the rarer
     words get no id; encode() gives them the id max_words."""
     counts = df.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("cnt"))
+    counts = materialize(counts)  # they are gone through several times
     keyed = counts.withColumn("key", F.concat(F.lpad(F.hex(F.lit((1 << 62) - 1) - F.col("cnt")), 16, "0"), "w"))
     ranked = numbered(keyed, "key", "tok").select("w", "cnt", "tok")
     return ranked if max_words is None else ranked.where(F.col("tok") < max_words)

@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.config import TokenFormat
 from spanloom.functions.keys import prefix, token_key
 from spanloom.operators.prefix import running
+from spanloom.session import materialize
 
 
 def window_counts(docs: DataFrame, k: int, fmt: TokenFormat) -> DataFrame:
@@ -69,8 +70,6 @@ def levels(intervals: DataFrame, depths: list[int], fmt: TokenFormat, cut: int)
 def children(parents: DataFrame, deeper: DataFrame, fmt: TokenFormat) -> DataFrame:
     """(parent_key, next_token_key, lo, hi, cnt, place): the next tokens of each prefix, the most
     frequent first, ties in rank order. deeper: the level below the parents."""
-    from pyspark.sql import Window
-
     rows = deeper.withColumn("parent_key", F.expr(f"substring(key, 1, length(key) - {fmt.width})"))
     found = rows.join(parents.select(F.col("key").alias("parent_key")), "parent_key", "left_semi")
     order = Window.partitionBy("parent_key").orderBy(F.desc("cnt"), "lo")
@@ -86,6 +85,7 @@ def locate(counts: DataFrame, queries: DataFrame, depth: int, fmt: TokenFormat)
     Null, longer and separator-holding keys have no row."""
     wanted = queries.select("key").where(F.col("key").isNotNull() & (F.length("key") <= depth * fmt.width)).distinct()
     wanted = wanted.where(~F.exists(F.transform(F.sequence(F.lit(0), F.greatest(F.length("key") / fmt.width - 1, F.lit(0)).cast("int")), lambda i: F.substring("key", i * fmt.width + 1, F.lit(fmt.width))), lambda t: t == fmt.separator_key))
+    counts = materialize(counts)  # they are gone through several times
     # '!' sorts before and '~' after all digits, ' ' before both
     events = counts.select(F.concat("key", F.lit("!")).alias("at"), "cnt", F.lit(None).cast("string").alias("key"), F.lit(None).cast("boolean").alias("ends"))
     probes = wanted.crossJoin(counts.sparkSession.createDataFrame([(" ", False), ("~", True)], "mark string, ends boolean"))
