@@ -106,6 +106,22 @@ def limits(cache: DataFrame, budgets: DataFrame) -> DataFrame:
     return cache.crossJoin(wanted).where("cum_bytes <= budget").groupBy("budget").agg(F.count("*").alias("entries"), F.max("cum_bytes").alias("bytes"))
 
 
+def cut_off(cache: DataFrame, limits: DataFrame, floor: int, depth: int, fmt: TokenFormat) -> DataFrame:
+    """(budget, entries, cut_count, cut_off): for each of limits the count of the prefix that is
+    expanded last, and the number of entries of the last level that occur more often, which a cache
+    without the cap at depth puts first, as far as the budget reaches. Where it is 0 the cap changes nothing: a
+    deeper entry costs more than the next one, which doesn't fit either. A cache that fits whole
+    has cut_count 1, one that holds no more than its floor none."""
+    size = F.broadcast(cache.agg(F.count("*").alias("all_entries")))
+    last = cache.join(F.broadcast(limits.select("budget", "entries")), F.col("entry_no") == F.col("entries") - 1).crossJoin(size)
+    last = last.select("budget", "entries", "all_entries", F.col("depth").alias("d"), F.expr(f"substring(key, 1, length(key) - {fmt.width})").alias("key"))
+    cut = F.when(F.col("entries") == F.col("all_entries"), F.lit(1).cast("bigint")).when(F.col("d") > floor, F.col("cnt"))
+    cuts = F.broadcast(last.join(cache.select("key", "cnt"), "key").select("budget", "entries", cut.alias("cut_count")))
+    over = cache.where((F.col("depth") == depth) & (F.col("cnt") >= 2)).select("entry_no", "cnt")
+    met = cuts.join(over, F.expr("entry_no < entries and cnt > cut_count"), "left")
+    return met.groupBy("budget", "entries", "cut_count").agg(F.count("cnt").alias("cut_off"))
+
+
 def snapshot(cache: DataFrame, entries: int) -> DataFrame:
     """The cache as a build to a smaller budget leaves it; later expansions are undone."""
     return cache.where(F.col("entry_no") < entries).withColumn("expanded_at", F.when(F.col("expanded_at") <= entries, F.col("expanded_at")))

@@ -78,8 +78,23 @@ class Experiment:
     def fixed(self, depth: int) -> DataFrame:
         return self._once(f"fixed{depth}", lambda: cache.fixed_cache(self.levels, self.num_ranks, depth, self.fmt))
 
+    @property
+    def greedy_levels(self) -> tuple[DataFrame, int]:
+        """The levels that greedy caches descend through, and their depth. Without a greedy depth
+        they go down until nothing repeats, one level after the other: as many as the longest
+        repeated text has tokens."""
+        if self.settings.caches.greedy_depth is not None:
+            return self.levels, self.depth
+        deep, depth = cache.deep_levels(self.train, self.fmt)
+        # one more, so that prefixes of the last level count as expanded where they repeat
+        return self.levels.unionAll(deep.where(F.col("depth") > self.depth)), max(depth, self.depth) + 1
+
     def greedy(self, floor: int) -> DataFrame:
-        return self._once(f"greedy{floor}", lambda: cache.greedy_cache(self.levels, self.num_ranks, floor, self.depth, self.fmt))
+        def build() -> DataFrame:
+            levels, depth = self.greedy_levels
+            return cache.greedy_cache(levels, self.num_ranks, floor, depth, self.fmt)
+
+        return self._once(f"greedy{floor}", build)
 
     @property
     def queries(self) -> DataFrame:
