@@ -2,9 +2,9 @@
 suffix array.
 
 The texts are one long concatenation, cut into partitions. Of its suffixes those are kept whose
-first HEAD words hash below a threshold that halves with each doubling of the text's length (so
-that every text gives 48 to 96 of them, short texts all; which suffixes are kept depends on their
-words alone) and whose head isn't one of the frequent runs; a text of which a third or more is
+first HEAD words hash below a threshold that halves with each doubling of the text's number of
+distinct runs of three words (so that a text gives about 48 to 96 of them, more where its runs
+stand in many orders, short texts all; which suffixes are kept depends on their words alone) and whose head isn't one of the frequent runs; a text of which a third or more is
 frequent runs keeps those too. The suffixes are brought into order by head, over all partitions:
 suffixes with one head share a prefix of at least HEAD words, and where suffixes of both kinds of
 split lie side by side there, their texts share a span. The spans are merged into the coverage
@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.similar import MIN_PLAIN_WORDS, MIN_SIMILARITY, frequent_runs, one_of, representatives, text_names, verified_pairs, word_runs
+from spanloom.llm.similar import MIN_PLAIN_WORDS, MIN_SIMILARITY, SHINGLE, frequent_runs, one_of, representatives, text_names, verified_pairs, word_runs
 from spanloom.llm.tables import heldout_splits, split_name, table
 from spanloom.llm.text import U64, chunks, mix, plain_words
 from spanloom.session import materialize
 
 HEAD = 6
-#: Texts up to this many words keep all suffixes; longer ones keep half of it or more.
+#: Texts up to this many distinct runs keep all suffixes; others keep half of it or more.
 FULL = 96
 #: Similar texts may share no more than a third of their heads, so texts of which at most this
 #: share of the heads is rare could be similar by frequent heads alone, and keep these too.
@@ -39,8 +39,8 @@ LEAST_COMMON = 0.1
 
 
 def suffixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(id, h1, h2, n, keys) for each text of 20 plain words or more: the heads of its kept
-    suffixes and their number."""
+    """(id, held, h1, h2, n, keys) for each text of 20 plain words or more: the number of its
+    distinct runs of SHINGLE words and the heads of its kept suffixes."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,8 +49,10 @@ def suffixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             names, bounds = plain_words([texts[i] for i in kept])
             h1, h2 = text_names(names, bounds)
             sizes = np.diff(bounds)
+            # similar texts differ in their distinct runs by the factor 0.6 at most, not in their words
+            distinct = np.bincount(word_runs(names, bounds, SHINGLE)[0], minlength=len(kept))
             text, runs = word_runs(names, bounds, HEAD)
-            level = np.ceil(np.log2(np.maximum(sizes, 1) / FULL)).clip(0).astype(np.int64)[text]
+            level = np.ceil(np.log2(np.maximum(distinct, 1) / FULL)).clip(0).astype(np.int64)[text]
             sparse = (level == 0) | ((mix(runs ^ U64(0x5AFF)) >> (U64(64) - np.maximum(level, 1).astype(U64))) == 0)
             text, runs = text[sparse], runs[sparse]
             common = one_of(runs, shared.value)
@@ -61,7 +63,7 @@ def suffixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             ends = np.searchsorted(text, np.arange(len(kept) + 1))
             rows = np.flatnonzero(sizes >= MIN_PLAIN_WORDS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[kept[i]] for i in rows], pa.int64()), pa.array([held[kept[i]] for i in rows], pa.bool_()), pa.array(h1[rows].view(np.int64)), pa.array(h2[rows].view(np.int64)), pa.array(sizes[rows].astype(np.int32)), pa.array([runs[ends[i] : ends[i + 1]].view(np.int64) for i in rows], pa.list_(pa.int64()))],
+                [pa.array([ids[kept[i]] for i in rows], pa.int64()), pa.array([held[kept[i]] for i in rows], pa.bool_()), pa.array(h1[rows].view(np.int64)), pa.array(h2[rows].view(np.int64)), pa.array(distinct[rows].astype(np.int32)), pa.array([runs[ends[i] : ends[i + 1]].view(np.int64) for i in rows], pa.list_(pa.int64()))],
                 names=["id", "held", "h1", "h2", "n", "keys"],
             )
 
@@ -78,14 +80,13 @@ def cross_split_pairs(docs: DataFrame, heldout: list[str], train: str = "train",
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), name.isin(heldout).alias("held"), name.alias("s")).where(F.col("held") | (F.col("s") == train))
     rows = materialize(suffixes(docs, frequent_runs(docs, HEAD)))
     reps, members = representatives(rows.withColumn("taught", ~F.col("held")), "held", "taught")
-    # one number holds the kinds of split, the number of kept suffixes and that of words
+    # one number holds the kinds of split, the number of kept suffixes and that of distinct runs
     meta = F.col("held").cast("bigint") + F.col("taught").cast("bigint") * 2 + F.size("keys").cast("bigint") * 4 + F.col("n").cast("bigint") * (1 << 32)
     order = reps.select("id", meta.alias("meta"), F.explode("keys").alias("key"))
     side = lambda x: order.select("key", F.col("id").alias(x), F.col("meta").alias(f"m{x}"))
     kinds = "((ma & 1) > 0 and (mb & 2) > 0 or (ma & 2) > 0 and (mb & 1) > 0)"
-    # texts of similarity s differ in their numbers of distinct runs by the factor 1/s at most;
-    # words repeat, so the bound on the numbers of words is left wider
-    sizes = "(ma >> 32) >= 0.4 * (mb >> 32) and (mb >> 32) >= 0.4 * (ma >> 32)"
+    # texts of similarity s differ in their numbers of distinct runs by the factor 1/s at most
+    sizes = f"(ma >> 32) >= {least} * (mb >> 32) - 1e-6 and (mb >> 32) >= {least} * (ma >> 32) - 1e-6"
     met = side("a").join(side("b"), "key").where(f"a < b and {kinds} and {sizes}")
     spans = met.groupBy("a", "b").agg(F.count("*").alias("common"), F.first("ma").alias("ma"), F.first("mb").alias("mb"))
     kept = "least(ma >> 2 & 1073741823, mb >> 2 & 1073741823)"
