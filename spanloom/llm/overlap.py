@@ -2,14 +2,16 @@
 of word runs.
 
 This stands in for a partitioned suffix array: no suffixes are sorted and no common prefixes are
-measured. Of the suffixes of all texts those are kept whose first HEAD words hash below a threshold that halves with each doubling of the text's number of
-distinct runs of three words (so that a text gives about 48 to 96 of them, more where its runs
-stand in many orders, short texts all; which suffixes are kept depends on their words alone) and whose head isn't one of the frequent runs; a text of which a third or more is
-frequent runs keeps those too. The suffixes are joined by the hash of their head: where both
-kinds of split hold a head, their texts share a span of at least HEAD words. Two texts of a similarity of 0.6 share
-at least a third of their suffixes' heads even if all their edits are single words at even
-distances; pairs that share less than a tenth are dropped, and of the rest the exact similarity
-and the exact coverage (by runs of eight words) are computed from the whole texts.
+measured. Of the suffixes of all texts those are kept whose first HEAD words hash below a
+threshold that halves with each doubling of the text's number of distinct runs of three words (so
+that a text gives about 48 to 96 of them, more where its runs stand in many orders, short texts
+all; which suffixes are kept depends on their words alone) and whose head isn't one of the
+frequent runs; a text of which a third or more is frequent runs keeps those too. The suffixes are
+joined by the hash of their head: where both kinds of split hold a head, their texts share a span
+of at least HEAD words. Two texts of a similarity of 0.6 share at least a third of their suffixes'
+heads even if all their edits are single words at even distances; pairs that share less than a
+tenth are dropped, and of the rest the exact similarity and the exact coverage (by runs of eight
+words) are computed from the whole texts.
 """
 
 from __future__ import annotations

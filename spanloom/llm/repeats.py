@@ -1,17 +1,19 @@
 """Long exact spans that texts share, by recompression.
 
-A text is its sequence of pieces. ROUNDS times, runs of one symbol are named as one symbol, and
-then pairs whose first symbol is of the left and whose second is of the right half of the
-alphabet. A name is a hash of what it names and of the round, so a round names alike on all
-executors without a shuffle, and equal substrings get the same symbols but for the two ends: a
-round can change one symbol more at either end, and a symbol holds at most 2**ROUNDS pieces (a
-run apart), so 2**ROUNDS - 1 pieces of either end at most. Whatever is left of a shared span of
-SPAN pieces consists of at least WINNOW symbols; of each WINNOW symbols in a row the one with the
-least hash is an anchor, so every shared span has an anchor in common, and the pieces around it,
-up to the bound on what the ends change, lie in the span. Anchors with equal surroundings in two
-texts reveal candidates; for these the spans of SPAN pieces about the anchor are hashed whole
-(96 bits), and those that stand in two texts are merged into stretches. Runs of one symbol that
-reach LONG_RUN pieces are anchors on their own, by the symbol alone.
+A text is its sequence of pieces. ROUNDS times, pairs whose first symbol is of the left and whose
+second is of the right half of the alphabet are named as one symbol. A name is a hash of what it
+names and of the round, so a round names alike on all executors without a shuffle, and equal
+substrings get the same symbols but for the two ends: a round can change one symbol more at either
+end, and a symbol holds at most 2**ROUNDS pieces, so 2**ROUNDS - 1 pieces of either end at most.
+Runs of one symbol are left as they are, as equal symbols are of one half and never pair: a name
+for a run would hold more pieces, and change with what stands beyond the ends. Whatever is left of
+a shared span of SPAN pieces consists of at least WINNOW symbols; of each WINNOW symbols in a row
+the first with the least hash is an anchor, so every shared span has an anchor in common, and the
+pieces around it, up to the bound on what the ends change, lie in the span. Anchors with equal
+surroundings in two texts reveal candidates; for these the spans of SPAN pieces about the anchor
+are hashed whole (96 bits), and those that stand in two texts are merged into stretches. Of a run
+every symbol may be an anchor; those of one text with equal surroundings whose spans overlap or
+touch are joined to one.
 
 No pairs of texts are formed: occurrences are grouped by hash, and a group only has to hold two
 different texts, of which the least and the greatest id are kept, before the shuffle already.
@@ -34,29 +36,16 @@ from spanloom.session import materialize
 SPAN = 40
 ROUNDS = 3
 WINNOW = 4
-LONG_RUN = 8
 
 
-def recompress(names: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """(symbols, first pieces, texts, long runs) after the rounds. Long runs: (key, first piece,
-    end) of the runs of one symbol that hold LONG_RUN pieces or more."""
+def recompress(names: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, first pieces, texts) after the rounds."""
     symbol, start = names.copy(), np.arange(len(names))
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    long_runs = []
     for r in range(rounds):
         seed = mix(np.array([0xC0DE + r], dtype=U64))[0]
         if len(symbol) < 2:
             break
-        alike = (symbol[1:] == symbol[:-1]) & (text[1:] == text[:-1])
-        if alike.any():
-            at = np.flatnonzero(np.r_[True, ~alike])
-            times = np.diff(np.r_[at, len(symbol)])
-            after = np.r_[start, len(names)]
-            base, first, last = symbol[at], start[at], np.minimum(after[at + times], bounds[text[at] + 1])
-            big = (times > 1) & (last - first >= LONG_RUN)
-            long_runs.append((mix(base[big] ^ mix(np.array([seed ^ U64(7)], dtype=U64))), first[big], last[big]))
-            symbol = np.where(times > 1, mix(base ^ mix(times.astype(U64) + seed)), base)
-            start, text = first, text[at]
         right = (mix(symbol ^ seed) & U64(1)).astype(bool)
         pair = ~right[:-1] & right[1:] & (text[1:] == text[:-1])
         at = np.flatnonzero(pair)
@@ -64,14 +53,14 @@ def recompress(names: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS) -> t
         keep = np.ones(len(symbol), dtype=bool)
         keep[at + 1] = False
         symbol, start, text = symbol[keep], start[keep], text[keep]
-    return symbol, start, text, long_runs
+    return symbol, start, text
 
 
 def anchors(names: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, key, least start, greatest start): each anchor with the piece numbers, from the
     text's first, at which spans of SPAN pieces start that may be revealed by it."""
     edge = 2**ROUNDS - 1
-    symbol, start, text, long_runs = recompress(names, bounds)
+    symbol, start, text = recompress(names, bounds)
     rank = mix(symbol ^ U64(0xA11C))
     chosen = np.zeros(0, dtype=np.int64)
     if len(symbol) >= WINNOW:
@@ -82,15 +71,19 @@ def anchors(names: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     ok = (at - edge >= bounds[of]) & (at + edge <= bounds[of + 1])
     at, of = at[ok], of[ok]
     around = windows(names, 2 * edge)
-    out = [(of, around[at - edge] if len(at) else names[:0], at + edge - SPAN - bounds[of], at - edge - bounds[of])]
-    for key, first, last in long_runs:
-        of = np.searchsorted(bounds, first, side="right") - 1
-        out.append((of, key, first - SPAN + 1 - bounds[of], last - 1 - bounds[of]))
-    of, key, lo, hi = (np.concatenate(x) for x in zip(*out))
-    most = np.diff(bounds)[of] - SPAN
-    lo, hi = np.maximum(lo, 0), np.minimum(hi, most)
+    key = around[at - edge] if len(at) else names[:0]
+    lo = np.maximum(at + edge - SPAN - bounds[of], 0)
+    hi = np.minimum(at - edge - bounds[of], np.diff(bounds)[of] - SPAN)
     ok = lo <= hi
-    return of[ok], key[ok], lo[ok], hi[ok]
+    of, key, lo, hi = of[ok], key[ok], lo[ok], hi[ok]
+    # anchors of one text with one key whose spans overlap or touch are one; both ends rise with lo
+    order = np.lexsort((lo, key, of))
+    of, key, lo, hi = of[order], key[order], lo[order], hi[order]
+    new = np.ones(len(of), dtype=bool)
+    new[1:] = (of[1:] != of[:-1]) | (key[1:] != key[:-1]) | (lo[1:] > hi[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(of)][: len(first)] - 1
+    return of[first], key[first], lo[first], hi[last]
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
