@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.similar import MIN_PLAIN_WORDS, MIN_SIMILARITY, SHINGLE, frequent_runs, one_of, representatives, text_names, verified_pairs, word_runs
+from spanloom.llm.similar import MIN_PLAIN_WORDS, MIN_SIMILARITY, SHINGLE, Frequent, frequent_runs, representatives, text_names, verified_pairs, word_runs
 from spanloom.llm.tables import heldout_splits, split_name, table
 from spanloom.llm.text import U64, chunks, mix, plain_words
 from spanloom.session import materialize
@@ -38,7 +38,7 @@ RARE_ENOUGH = 2 / 3
 LEAST_COMMON = 0.1
 
 
-def suffixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+def suffixes(docs: DataFrame, frequent: Frequent) -> DataFrame:
     """(id, held, h1, h2, n, keys) for each text of 20 plain words or more: the number of its
     distinct runs of SHINGLE words and the heads of its kept suffixes."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -55,7 +55,7 @@ def suffixes(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             level = np.ceil(np.log2(np.maximum(distinct, 1) / FULL)).clip(0).astype(np.int64)[text]
             sparse = (level == 0) | ((mix(runs ^ U64(0x5AFF)) >> (U64(64) - np.maximum(level, 1).astype(U64))) == 0)
             text, runs = text[sparse], runs[sparse]
-            common = one_of(runs, shared.value)
+            common = shared.value.count(runs) > 0
             count = np.bincount(text, minlength=len(kept))
             plain = count - np.bincount(text[common], minlength=len(kept))
             ok = ~common | (plain <= RARE_ENOUGH * count)[text]

@@ -20,13 +20,12 @@ from spanloom.session import materialize
 SHINGLE = 3
 MIN_PLAIN_WORDS = 20
 MIN_SIMILARITY = 0.6
-#: Texts of which at most this share of the runs is rare could be similar by frequent runs alone,
-#: so they are compared by these too.
-MOSTLY_FREQUENT = 1 - MIN_SIMILARITY
 #: In fewer documents than this no run is frequent.
 FREQUENT_LEAST = 50
-#: A run of words that at least this share of all documents holds tells no two of them apart.
+#: A run of words that at least this share of all documents holds is frequent.
 FREQUENT_SHARE = 0.002
+#: Documents after which a task reports what runs are frequent among them.
+COUNTED = 20_000
 
 
 def word_runs(names: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,34 +51,66 @@ def text_names(names: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
-def frequent_runs(df: DataFrame, width: int, share: float = FREQUENT_SHARE, text_col: str = "text") -> np.ndarray:
-    """Sorted names of the word runs that stand in at least share of all documents, counted
-    over all of them. A batch reports the runs that reach half that share in it; so a run may
-    be missed only if it is spread very unevenly, and what is left out or in only moves work,
-    as candidates are verified. At most (mean text length / share) names, however large df is."""
+class Frequent:
+    """Names of frequent runs, sorted, with the number of documents that hold each."""
+
+    def __init__(self, names: np.ndarray, counts: np.ndarray):
+        order = np.argsort(names)
+        self.names, self.counts = names[order], counts[order]
+
+    def count(self, runs: np.ndarray) -> np.ndarray:
+        """The number of documents of each of runs; 0 for one that isn't frequent."""
+        if not len(self.names):
+            return np.zeros(len(runs), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.names, runs), len(self.names) - 1)
+        return np.where(self.names[at] == runs, self.counts[at], 0)
+
+
+def frequent_runs(df: DataFrame, width: int, share: float = FREQUENT_SHARE, text_col: str = "text") -> Frequent:
+    """The word runs that stand in at least share of all documents, counted over all of them. A
+    task reports, for each COUNTED documents it goes through, the runs that at least half that
+    share of these hold, so a count is low by half the share at most, and every run that one and a
+    half times the share hold is found however unevenly it is spread. What is in the list only
+    moves work, as the order of runs is the same for all texts. At most (mean text length / share)
+    names, however large df is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = []
-            for (texts,) in chunks([batch], ["text"]):
-                names, bounds = plain_words([t or "" for t in texts])
-                own.append(word_runs(names, bounds, width)[1])
+        own, docs = [], 0
+
+        def report() -> pa.RecordBatch:
             u, c = np.unique(np.concatenate(own) if own else np.zeros(0, dtype=U64), return_counts=True)
-            keep = c >= max(2.0, share / 2 * batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(u[keep].view(np.int64), 0)), pa.array(np.append(c[keep], 0)), pa.array(np.append(np.zeros(keep.sum(), dtype=np.int64), batch.num_rows))], names=["run", "n", "docs"])
+            keep = c >= max(2.0, share / 2 * docs)
+            return pa.RecordBatch.from_arrays([pa.array(np.append(u[keep].view(np.int64), 0)), pa.array(np.append(c[keep], 0)), pa.array(np.append(np.zeros(keep.sum(), dtype=np.int64), docs))], names=["run", "n", "docs"])
+
+        for (texts,) in chunks(batches, ["text"]):
+            names, bounds = plain_words([t or "" for t in texts])
+            own.append(word_runs(names, bounds, width)[1])
+            docs += len(texts)
+            if docs >= COUNTED:
+                yield report()
+                own, docs = [], 0
+        yield report()
 
     counts = df.select(F.col(text_col).alias("text")).mapInArrow(run, "run bigint, n bigint, docs bigint").groupBy("run").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     counts = materialize(counts)
     total = F.broadcast(counts.where("docs > 0").select(F.sum("docs").alias("total")))
-    rows = counts.crossJoin(total).where(F.expr(f"n > 0 and n >= greatest({FREQUENT_LEAST}, {share} * total)")).select("run").toPandas()
-    return np.sort(rows["run"].to_numpy(dtype=np.int64).view(U64))
-
-
-def one_of(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
-    if not len(sorted_set):
-        return np.zeros(len(values), dtype=bool)
-    at = np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)
-    return sorted_set[at] == values
+    rows = counts.crossJoin(total).where(F.expr(f"n > 0 and n >= greatest({FREQUENT_LEAST}, {share} * total)")).select("run", "n").toPandas()
+    return Frequent(rows["run"].to_numpy(dtype=np.int64).view(U64), rows["n"].to_numpy(dtype=np.int64))
+
+
+def rarest_runs(text: np.ndarray, runs: np.ndarray, counts: np.ndarray, n_texts: int, least: float = MIN_SIMILARITY) -> np.ndarray:
+    """Numbers of the runs that a text must be found by. All runs are in one order, the rare ones
+    (count 0) by their names, then the frequent ones by count. Sets that have at least `least` of
+    their union in common share one of the first n - ceil(least * n) + 1 runs of each, and if they
+    share any rare run then also a rare one among these. Returned are the rare ones. text and runs
+    as word_runs gives them."""
+    order = np.lexsort((counts, text))  # stable, so runs of one count stay in order of their names
+    size = np.bincount(text, minlength=n_texts)
+    first = np.cumsum(size) - size
+    of = text[order]
+    place = np.arange(len(order)) - first[of]
+    head = size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
+    return order[(place < head[of]) & (counts[order] == 0)]
 
 
 def representatives(rows: DataFrame, *flags: str) -> tuple[DataFrame, DataFrame]:
