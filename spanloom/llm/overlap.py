@@ -1,17 +1,23 @@
-"""The same or almost the same text in the training and the held-out splits, by a sampled index
-of word runs.
-
-This stands in for a partitioned suffix array: no suffixes are sorted and no common prefixes are
-measured. Of the suffixes of all texts those are kept whose first HEAD words hash below a
-threshold that halves with each doubling of the text's number of distinct runs of three words (so
-that a text gives about 48 to 96 of them, more where its runs stand in many orders, short texts
-all; which suffixes are kept depends on their words alone) and whose head isn't one of the
-frequent runs; a text of which a third or more is frequent runs keeps those too. The suffixes are
-joined by the hash of their head: where both kinds of split hold a head, their texts share a span
-of at least HEAD words. Two texts of a similarity of 0.6 share at least a third of their suffixes'
-heads even if all their edits are single words at even distances; pairs that share less than a
-tenth are dropped, and of the rest the exact similarity and the exact coverage (by runs of eight
-words) are computed from the whole texts.
+"""The same or almost the same text in the training and the held-out splits, by a partitioned
+suffix array.
+
+The texts are concatenated and their suffixes put in order of the names of their first words: of
+the first three, then of six, then of twelve. The array is cut into ranges of that order, one for
+each task, and in each range adjacent suffixes with a common prefix are compared: where both kinds
+of split stand in a stretch of suffixes with equal first words, their texts share a span there.
+
+Not every suffix is needed. Texts of a similarity of 0.6 have so many runs of three words in common
+that they share one of the rarest 40 % of the runs of each (all runs being in one order, the rare
+ones by name, then those that many documents hold, by count). So the array holds the suffixes that
+begin with one of the rarest 43 % of its text's distinct runs, and no others; this loses no pair.
+By their places in that order it is known how many spans a pair must share within what the array
+holds, which excludes nearly all others before their texts are fetched; of the rest the exact
+similarity is computed from the whole texts, and the coverage by their shared spans.
+
+Runs that very many documents hold don't stand in the array. Texts without a rare run in common can
+only be similar if the frequent runs are most of both: these texts are classed by their set of
+frequent runs, the classes are searched by the rarest of these runs in the same way, and members of
+two classes are paired only where they have so few other runs that they can be similar.
 """
 
 from __future__ import annotations
@@ -23,24 +29,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.similar import MIN_PLAIN_WORDS, MIN_SIMILARITY, SHINGLE, Frequent, frequent_runs, representatives, text_names, verified_pairs, word_runs
+from spanloom.llm.similar import MIN_PLAIN_WORDS, MIN_SIMILARITY, SHINGLE, Frequent, first_runs, frequent_runs, rarest_runs, representatives, text_names, verified_pairs
 from spanloom.llm.tables import heldout_splits, split_name, table
-from spanloom.llm.text import U64, chunks, mix, plain_words
+from spanloom.llm.text import U64, chunks, mix, plain_words, windows
 from spanloom.session import materialize
 
-HEAD = 6
-#: Texts up to this many distinct runs keep all suffixes; others keep half of it or more.
-FULL = 96
-#: Similar texts may share no more than a third of their heads, so texts of which at most this
-#: share of the heads is rare could be similar by frequent heads alone, and keep these too.
-RARE_ENOUGH = 2 / 3
-#: Share of the kept suffixes that a pair must have in common.
-LEAST_COMMON = 0.1
+#: Share of the documents from which on a run is frequent, so that a stretch of the array that
+#: begins with one run has at most that share of the texts.
+FREQUENT = 0.0005
+#: Bits of a suffix's place in the order: those of its first 3, 6 and 12 words.
+PLACE_BITS = ((3, 44), (6, 10), (12, 10))
+#: Share of the smaller of two sets that must be in common among the leading suffixes, and by which
+#: these are more than the least number.
+SLACK = 0.05
+#: Levels of the number of rare runs by which members of classes are brought together.
+LEVELS = 16
+
+
+def places(names: np.ndarray, bounds: np.ndarray, at: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The place of each suffix in the order; words beyond the text's end count as none."""
+    out = np.zeros(len(at), dtype=U64)
+    for words, bits in PLACE_BITS:
+        level = np.zeros(len(at), dtype=U64)
+        inside = at + words <= bounds[text + 1]
+        level[inside] = windows(names, words)[at[inside]] >> U64(64 - bits)
+        out = (out << U64(bits)) | level
+    return out
 
 
 def suffixes(docs: DataFrame, frequent: Frequent) -> DataFrame:
-    """(id, held, h1, h2, n, keys) for each text of 20 plain words or more: the number of its
-    distinct runs of SHINGLE words and the heads of its kept suffixes."""
+    """A row for each text of 20 plain words or more: id, held, h1, h2, n (distinct runs), r (rare
+    ones among them) and places (of its suffixes in the array, in order of their runs); for texts
+    that frequent runs alone could make similar to another, common (name of the set of these) and
+    common_places."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,26 +69,108 @@ def suffixes(docs: DataFrame, frequent: Frequent) -> DataFrame:
             kept = [i for i, t in enumerate(texts) if t and ids[i] is not None]
             names, bounds = plain_words([texts[i] for i in kept])
             h1, h2 = text_names(names, bounds)
-            sizes = np.diff(bounds)
-            # similar texts differ in their distinct runs by the factor 0.6 at most, not in their words
-            distinct = np.bincount(word_runs(names, bounds, SHINGLE)[0], minlength=len(kept))
-            text, runs = word_runs(names, bounds, HEAD)
-            level = np.ceil(np.log2(np.maximum(distinct, 1) / FULL)).clip(0).astype(np.int64)[text]
-            sparse = (level == 0) | ((mix(runs ^ U64(0x5AFF)) >> (U64(64) - np.maximum(level, 1).astype(U64))) == 0)
-            text, runs = text[sparse], runs[sparse]
-            common = shared.value.count(runs) > 0
-            count = np.bincount(text, minlength=len(kept))
-            plain = count - np.bincount(text[common], minlength=len(kept))
-            ok = ~common | (plain <= RARE_ENOUGH * count)[text]
-            text, runs = text[ok], runs[ok]
-            ends = np.searchsorted(text, np.arange(len(kept) + 1))
-            rows = np.flatnonzero(sizes >= MIN_PLAIN_WORDS)
+            text, runs, at = first_runs(names, bounds, SHINGLE)
+            counts = shared.value.count(runs)
+            often = counts > 0
+            n = np.bincount(text, minlength=len(kept))
+            rare = n - np.bincount(text[often], minlength=len(kept))
+            lists = []
+            alone = ((n - rare) >= MIN_SIMILARITY * n)[text] & often
+            for some, all_runs in ((np.ones(len(text), dtype=bool), False), (alone, True)):
+                t, a = text[some], at[some]
+                first = rarest_runs(t, runs[some], counts[some], len(kept), more=SLACK * MIN_SIMILARITY, all_runs=all_runs)
+                ends = np.searchsorted(t[first], np.arange(len(kept) + 1))
+                place = places(names, bounds, a[first], t[first]).view(np.int64)
+                lists.append([place[x:y] for x, y in zip(ends[:-1], ends[1:])])
+            sums = np.zeros(len(kept), dtype=U64)
+            np.add.at(sums, text[alone], mix(runs[alone] ^ U64(0xC1A55)))
+            rows = np.flatnonzero(np.diff(bounds) >= MIN_PLAIN_WORDS)
+            common = pa.array(mix(sums)[rows].view(np.int64), mask=np.bincount(text[alone], minlength=len(kept))[rows] == 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[kept[i]] for i in rows], pa.int64()), pa.array([held[kept[i]] for i in rows], pa.bool_()), pa.array(h1[rows].view(np.int64)), pa.array(h2[rows].view(np.int64)), pa.array(distinct[rows].astype(np.int32)), pa.array([runs[ends[i] : ends[i + 1]].view(np.int64) for i in rows], pa.list_(pa.int64()))],
-                names=["id", "held", "h1", "h2", "n", "keys"],
+                [pa.array([ids[kept[i]] for i in rows], pa.int64()), pa.array([held[kept[i]] for i in rows], pa.bool_()), *(pa.array(x[rows].view(np.int64)) for x in (h1, h2)), *(pa.array(x[rows].astype(np.int32)) for x in (n, rare)), pa.array([lists[0][i] for i in rows], pa.list_(pa.int64())), common, pa.array([lists[1][i] for i in rows], pa.list_(pa.int64()))],
+                names=["id", "held", "h1", "h2", "n", "r", "places", "common", "common_places"],
             )
 
-    return docs.select("id", "held", "text").mapInArrow(run, "id bigint, held boolean, h1 bigint, h2 bigint, n int, keys array<bigint>")
+    return docs.select("id", "held", "text").mapInArrow(run, "id bigint, held boolean, h1 bigint, h2 bigint, n int, r int, places array<bigint>, common bigint, common_places array<bigint>")
+
+
+def sharing(head: np.ndarray, ids: np.ndarray, n: np.ndarray, known: np.ndarray, rank: np.ndarray, kind: np.ndarray, least: float) -> list[np.ndarray]:
+    """(a, b, need) of the suffixes, in order of head, that share their first words and stand in
+    texts of both kinds. n: size of the text's set, known: how many of its runs the array may
+    hold, rank: the run's place among them. Two sets need o runs in common; all but the first
+    n - o + s of a set hold o - s of these at most, so s or more are among the first ones."""
+    out = []
+    i, apart = np.arange(len(head)), 1
+    while True:
+        i = i[i + apart < len(head)]
+        i = i[head[i] == head[i + apart]]
+        if not len(i):
+            break
+        j = i + apart
+        ok = (((kind[i] & 1) & (kind[j] >> 1)) | ((kind[i] >> 1) & (kind[j] & 1))).astype(bool) & (n[i] >= least * n[j] - 1e-9) & (n[j] >= least * n[i] - 1e-9) & (ids[i] != ids[j])
+        x, y = i[ok], j[ok]
+        both = np.ceil(least / (1 + least) * (n[x] + n[y]) - 1e-9).astype(np.int64)
+        more = 1 + (SLACK * np.minimum(n[x], n[y])).astype(np.int64)
+        room_x, room_y = n[x] - both, n[y] - both
+        ok = (rank[x] < room_x + more) & (rank[y] < room_y + more)
+        need = np.maximum(1, np.minimum(more, np.minimum(known[x] - room_x, known[y] - room_y)))
+        x, y, need = ids[x[ok]], ids[y[ok]], need[ok]
+        out.append(np.stack([np.minimum(x, y), np.maximum(x, y), need]))
+        apart += 1
+    return out
+
+
+def array_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b): the pairs of rows (id, kind, n, known, places) that share enough suffixes of the
+    array. kind: 1 held-out, 2 training, 3 both."""
+    flat = rows.select("id", ((F.col("n").cast("bigint") * (1 << 32) + F.col("known")) * 4 + F.col("kind")).alias("meta"), F.posexplode("places").alias("rank", "place"))
+    rest = sum(bits for _, bits in PLACE_BITS[1:])
+    array = flat.repartition(F.shiftright("place", rest)).sortWithinPartitions("place", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # suffixes of a stretch that may go on in the next batch
+
+        def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            meta, rank, place, ids = cols
+            found = sharing(place >> rest, ids, meta >> 34, (meta >> 2) & 0xFFFFFFFF, rank, meta & 3, least)
+            if found:
+                a, b, need = np.concatenate(found, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need.astype(np.int32))], names=["a", "b", "need"])
+
+        for batch in batches:
+            cols = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("meta", "rank", "place", "id")]
+            if held is not None:
+                cols = [np.concatenate(c) for c in zip(held, cols)]
+            heads = cols[2] >> rest
+            cut = int(np.searchsorted(heads, heads[-1])) if len(heads) else 0
+            held = [c[cut:] for c in cols]
+            if cut:
+                yield from pairs([c[:cut] for c in cols])
+        if held is not None and len(held[0]):
+            yield from pairs(held)
+
+    met = array.mapInArrow(run, "a bigint, b bigint, need int")
+    return met.groupBy("a", "b").agg(F.count("*").alias("spans"), F.max("need").alias("need")).where("spans >= need").select("a", "b")
+
+
+def common_pairs(reps: DataFrame, least: float) -> DataFrame:
+    """(a, b): the pairs of reps that may be similar without a rare run in common."""
+    texts = materialize(reps.where("common is not null").select("id", "kind", "r", (F.col("n") - F.col("r")).alias("f"), "common", "common_places"))
+    kinds = F.max(F.col("kind").bitwiseAND(1)) + F.max(F.col("kind").bitwiseAND(2))
+    classes = materialize(texts.groupBy("common").agg(kinds.alias("kind"), F.first("f").alias("n"), F.first("common_places").alias("places")))
+    near = array_pairs(classes.select(F.col("common").alias("id"), "kind", "n", F.col("n").alias("known"), "places"), least)
+    near = near.unionAll(classes.where("kind = 3").select(F.col("common").alias("a"), F.col("common").alias("b")))
+    sizes = lambda x: classes.select(F.col("common").alias(x), F.col("n").alias(f"f{x}"))
+    both = near.join(sizes("a"), "a").join(sizes("b"), "b").select("a", "b", F.greatest("fa", "fb").alias("most"), F.least("fa", "fb").alias("few"))
+    both = both.unionAll(both.where("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"), "most", "few"))
+    # a similar pair has few / least - most rare runs at most, both together
+    level = F.floor(F.col("r") * LEVELS / F.col("most")).cast("int")
+    top = int(LEVELS * (1 / least - 1)) + 1
+    side = lambda bit, x, kept: texts.where(F.col("kind").bitwiseAND(bit) > 0).select(F.col("common").alias(kept), F.col("id").alias(x), "r")
+    one = both.select("a", "b", "most", "few").join(side(1, "h", "a"), "a").withColumn("level", level).withColumnRenamed("r", "rh").where(f"level <= {top}")
+    two = both.select("a", "b", "most").join(side(2, "t", "b"), "b").withColumn("level", level).where(f"level <= {top}").withColumn("level", F.explode(F.sequence(F.lit(0), top - F.col("level"))))
+    met = one.join(two.select("a", "b", "t", F.col("r").alias("rt"), "level"), ["a", "b", "level"]).where(F.expr(f"h != t and few >= {least} * (most + rh + rt) - 1e-6"))
+    return met.select(F.least("h", "t").alias("a"), F.greatest("h", "t").alias("b"))
 
 
 def cross_split_pairs(docs: DataFrame, heldout: list[str], train: str = "train", id_col: str = "doc_id", text_col: str = "text", split_col: str = "split", least: float = MIN_SIMILARITY, cover: bool = True) -> DataFrame:
@@ -78,19 +181,12 @@ def cross_split_pairs(docs: DataFrame, heldout: list[str], train: str = "train",
     equal words form a class that is searched once, and its pairs are written out at the end."""
     name = split_name(split_col)
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), name.isin(heldout).alias("held"), name.alias("s")).where(F.col("held") | (F.col("s") == train))
-    rows = materialize(suffixes(docs, frequent_runs(docs, HEAD)))
+    frequent = frequent_runs(docs, SHINGLE, FREQUENT)
+    rows = materialize(suffixes(docs, frequent))
     reps, members = representatives(rows.withColumn("taught", ~F.col("held")), "held", "taught")
-    # one number holds the kinds of split, the number of kept suffixes and that of distinct runs
-    meta = F.col("held").cast("bigint") + F.col("taught").cast("bigint") * 2 + F.size("keys").cast("bigint") * 4 + F.col("n").cast("bigint") * (1 << 32)
-    order = reps.select("id", meta.alias("meta"), F.explode("keys").alias("key"))
-    side = lambda x: order.select("key", F.col("id").alias(x), F.col("meta").alias(f"m{x}"))
-    kinds = "((ma & 1) > 0 and (mb & 2) > 0 or (ma & 2) > 0 and (mb & 1) > 0)"
-    # texts of similarity s differ in their numbers of distinct runs by the factor 1/s at most
-    sizes = f"(ma >> 32) >= {least} * (mb >> 32) - 1e-6 and (mb >> 32) >= {least} * (ma >> 32) - 1e-6"
-    met = side("a").join(side("b"), "key").where(f"a < b and {kinds} and {sizes}")
-    spans = met.groupBy("a", "b").agg(F.count("*").alias("common"), F.first("ma").alias("ma"), F.first("mb").alias("mb"))
-    kept = "least(ma >> 2 & 1073741823, mb >> 2 & 1073741823)"
-    candidates = materialize(spans.where(F.expr(f"common >= {LEAST_COMMON} * {kept}")).select("a", "b"))
+    reps = reps.withColumn("kind", F.col("held").cast("int") + F.col("taught").cast("int") * 2)
+    candidates = array_pairs(reps.withColumn("known", F.col("r")), least).unionAll(common_pairs(reps, least))
+    candidates = materialize(candidates.distinct())
     found = verified_pairs(candidates, docs.select("id", "text"), "id", least=least, cover=cover)
     sides = []
     for x, y in (("a", "b"), ("b", "a")):

@@ -28,16 +28,22 @@ FREQUENT_SHARE = 0.002
 COUNTED = 20_000
 
 
-def word_runs(names: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, run name) of the distinct runs of width words of each text, sorted."""
+def first_runs(names: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, run name, position) of the distinct runs of width words of each text, sorted;
+    positions are those of the first occurrences."""
     at = positions_in(bounds, width)
     text = np.searchsorted(bounds, at, side="right") - 1
     runs = windows(names, width)[at]
     order = np.lexsort((runs, text))
-    text, runs = text[order], runs[order]
+    text, runs, at = text[order], runs[order], at[order]
     new = np.ones(len(runs), dtype=bool)
     new[1:] = (runs[1:] != runs[:-1]) | (text[1:] != text[:-1])
-    return text[new], runs[new]
+    return text[new], runs[new], at[new]
+
+
+def word_runs(names: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, run name) of the distinct runs of width words of each text, sorted."""
+    return first_runs(names, bounds, width)[:2]
 
 
 def text_names(names: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,19 +104,20 @@ def frequent_runs(df: DataFrame, width: int, share: float = FREQUENT_SHARE, text
     return Frequent(rows["run"].to_numpy(dtype=np.int64).view(U64), rows["n"].to_numpy(dtype=np.int64))
 
 
-def rarest_runs(text: np.ndarray, runs: np.ndarray, counts: np.ndarray, n_texts: int, least: float = MIN_SIMILARITY) -> np.ndarray:
-    """Numbers of the runs that a text must be found by. All runs are in one order, the rare ones
-    (count 0) by their names, then the frequent ones by count. Sets that have at least `least` of
-    their union in common share one of the first n - ceil(least * n) + 1 runs of each, and if they
-    share any rare run then also a rare one among these. Returned are the rare ones. text and runs
-    as word_runs gives them."""
+def rarest_runs(text: np.ndarray, runs: np.ndarray, counts: np.ndarray, n_texts: int, least: float = MIN_SIMILARITY, more: float = 0.0, all_runs: bool = False) -> np.ndarray:
+    """Numbers of the runs that a text must be found by, in order. All runs are in one order, the
+    rare ones (count 0) by their names, then the frequent ones by count. Sets that have at least
+    `least` of their union in common share one of the first n - ceil(least * n) + 1 runs of each,
+    and if they share any rare run then also a rare one among these. Returned are the rare ones
+    (with all_runs the others too) of these and of `more * n` further ones. text and runs as
+    word_runs gives them."""
     order = np.lexsort((counts, text))  # stable, so runs of one count stay in order of their names
     size = np.bincount(text, minlength=n_texts)
     first = np.cumsum(size) - size
     of = text[order]
     place = np.arange(len(order)) - first[of]
-    head = size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
-    return order[(place < head[of]) & (counts[order] == 0)]
+    head = size - np.ceil(least * size - 1e-9).astype(np.int64) + 1 + (more * size).astype(np.int64)
+    return order[(place < head[of]) & (all_runs | (counts[order] == 0))]
 
 
 def representatives(rows: DataFrame, *flags: str) -> tuple[DataFrame, DataFrame]:
