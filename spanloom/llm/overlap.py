@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.similar import MIN_PLAIN_WORDS, MIN_SIMILARITY, SHINGLE, Frequent, first_runs, frequent_runs, rarest_runs, representatives, text_names, verified_pairs
+from spanloom.llm.similar import MIN_PLAIN_WORDS, MIN_SIMILARITY, SHINGLE, Frequent, copies, first_of_copies, first_runs, frequent_runs, rarest_runs, text_names, verified_pairs
 from spanloom.llm.tables import heldout_splits, split_name, table
 from spanloom.llm.text import U64, chunks, mix, plain_words, windows
 from spanloom.session import materialize
@@ -57,15 +57,15 @@ def places(names: np.ndarray, bounds: np.ndarray, at: np.ndarray, text: np.ndarr
     return out
 
 
-def suffixes(docs: DataFrame, frequent: Frequent) -> DataFrame:
-    """A row for each text of 20 plain words or more: id, held, h1, h2, n (distinct runs), r (rare
-    ones among them) and places (of its suffixes in the array, in order of their runs); for texts
-    that frequent runs alone could make similar to another, common (name of the set of these) and
-    common_places."""
+def suffixes(docs: DataFrame, frequent: Frequent, rare: bool) -> DataFrame:
+    """A row for each text of docs (id, held, taught, text) of 20 plain words or more: id, held,
+    taught, h1, h2, n (distinct runs), r (rare ones among them) and places (of its suffixes in the
+    array, in order of their runs). Without rare, places are those of the frequent runs for texts
+    that these alone could make similar to another, and common is the name of the set of these."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, held, texts in chunks(batches, ["id", "held", "text"]):
+        for ids, held, taught, texts in chunks(batches, ["id", "held", "taught", "text"]):
             kept = [i for i, t in enumerate(texts) if t and ids[i] is not None]
             names, bounds = plain_words([texts[i] for i in kept])
             h1, h2 = text_names(names, bounds)
@@ -73,25 +73,24 @@ def suffixes(docs: DataFrame, frequent: Frequent) -> DataFrame:
             counts = shared.value.count(runs)
             often = counts > 0
             n = np.bincount(text, minlength=len(kept))
-            rare = n - np.bincount(text[often], minlength=len(kept))
-            lists = []
-            alone = ((n - rare) >= MIN_SIMILARITY * n)[text] & often
-            for some, all_runs in ((np.ones(len(text), dtype=bool), False), (alone, True)):
-                t, a = text[some], at[some]
-                first = rarest_runs(t, runs[some], counts[some], len(kept), more=SLACK * MIN_SIMILARITY, all_runs=all_runs)
-                ends = np.searchsorted(t[first], np.arange(len(kept) + 1))
-                place = places(names, bounds, a[first], t[first]).view(np.int64)
-                lists.append([place[x:y] for x, y in zip(ends[:-1], ends[1:])])
+            r = n - np.bincount(text[often], minlength=len(kept))
+            alone = ((n - r) >= MIN_SIMILARITY * n)[text] & often
+            some = np.ones(len(text), dtype=bool) if rare else alone
+            t, a = text[some], at[some]
+            first = rarest_runs(t, runs[some], counts[some], len(kept), more=SLACK * MIN_SIMILARITY, all_runs=not rare)
+            ends = np.searchsorted(t[first], np.arange(len(kept) + 1))
+            place = places(names, bounds, a[first], t[first]).view(np.int64)
             sums = np.zeros(len(kept), dtype=U64)
             np.add.at(sums, text[alone], mix(runs[alone] ^ U64(0xC1A55)))
             rows = np.flatnonzero(np.diff(bounds) >= MIN_PLAIN_WORDS)
             common = pa.array(mix(sums)[rows].view(np.int64), mask=np.bincount(text[alone], minlength=len(kept))[rows] == 0)
+            own = lambda x, kind: pa.array([x[kept[i]] for i in rows], kind)  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[kept[i]] for i in rows], pa.int64()), pa.array([held[kept[i]] for i in rows], pa.bool_()), *(pa.array(x[rows].view(np.int64)) for x in (h1, h2)), *(pa.array(x[rows].astype(np.int32)) for x in (n, rare)), pa.array([lists[0][i] for i in rows], pa.list_(pa.int64())), common, pa.array([lists[1][i] for i in rows], pa.list_(pa.int64()))],
-                names=["id", "held", "h1", "h2", "n", "r", "places", "common", "common_places"],
+                [own(ids, pa.int64()), own(held, pa.bool_()), own(taught, pa.bool_()), *(pa.array(x[rows].view(np.int64)) for x in (h1, h2)), *(pa.array(x[rows].astype(np.int32)) for x in (n, r)), common, pa.array([place[ends[i] : ends[i + 1]] for i in rows], pa.list_(pa.int64()))],
+                names=["id", "held", "taught", "h1", "h2", "n", "r", "common", "places"],
             )
 
-    return docs.select("id", "held", "text").mapInArrow(run, "id bigint, held boolean, h1 bigint, h2 bigint, n int, r int, places array<bigint>, common bigint, common_places array<bigint>")
+    return docs.select("id", "held", "taught", "text").mapInArrow(run, "id bigint, held boolean, taught boolean, h1 bigint, h2 bigint, n int, r int, common bigint, places array<bigint>")
 
 
 def sharing(head: np.ndarray, ids: np.ndarray, n: np.ndarray, known: np.ndarray, rank: np.ndarray, kind: np.ndarray, least: float) -> list[np.ndarray]:
@@ -155,9 +154,9 @@ def array_pairs(rows: DataFrame, least: float) -> DataFrame:
 
 def common_pairs(reps: DataFrame, least: float) -> DataFrame:
     """(a, b): the pairs of reps that may be similar without a rare run in common."""
-    texts = materialize(reps.where("common is not null").select("id", "kind", "r", (F.col("n") - F.col("r")).alias("f"), "common", "common_places"))
+    texts = materialize(reps.where("common is not null").select("id", "kind", "r", (F.col("n") - F.col("r")).alias("f"), "common", "places"))
     kinds = F.max(F.col("kind").bitwiseAND(1)) + F.max(F.col("kind").bitwiseAND(2))
-    classes = materialize(texts.groupBy("common").agg(kinds.alias("kind"), F.first("f").alias("n"), F.first("common_places").alias("places")))
+    classes = materialize(texts.groupBy("common").agg(kinds.alias("kind"), F.first("f").alias("n"), F.first("places").alias("places")))
     near = array_pairs(classes.select(F.col("common").alias("id"), "kind", "n", F.col("n").alias("known"), "places"), least)
     near = near.unionAll(classes.where("kind = 3").select(F.col("common").alias("a"), F.col("common").alias("b")))
     sizes = lambda x: classes.select(F.col("common").alias(x), F.col("n").alias(f"f{x}"))
@@ -182,10 +181,16 @@ def cross_split_pairs(docs: DataFrame, heldout: list[str], train: str = "train",
     name = split_name(split_col)
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), name.isin(heldout).alias("held"), name.alias("s")).where(F.col("held") | (F.col("s") == train))
     frequent = frequent_runs(docs, SHINGLE, FREQUENT)
-    rows = materialize(suffixes(docs, frequent))
-    reps, members = representatives(rows.withColumn("taught", ~F.col("held")), "held", "taught")
-    reps = reps.withColumn("kind", F.col("held").cast("int") + F.col("taught").cast("int") * 2)
-    candidates = array_pairs(reps.withColumn("known", F.col("r")), least).unionAll(common_pairs(reps, least))
+    docs = docs.withColumn("taught", ~F.col("held")).drop("s")
+    frequent = frequent_runs(docs, SHINGLE, FREQUENT)
+    rows = materialize(suffixes(docs, frequent, rare=False))
+    of_class = copies(rows, "held", "taught")
+    members = of_class.select("id", "rep", "held", "taught")
+    kind = F.col("held").cast("int") + F.col("taught").cast("int") * 2
+    # the array's suffixes aren't kept: they are named in a pass of their own, on their way to it
+    named = suffixes(first_of_copies(docs, of_class, "held", "taught"), frequent, rare=True)
+    candidates = array_pairs(named.withColumn("kind", kind).withColumn("known", F.col("r")), least)
+    candidates = candidates.unionAll(common_pairs(first_of_copies(rows, of_class, "held", "taught").withColumn("kind", kind), least))
     candidates = materialize(candidates.distinct())
     found = verified_pairs(candidates, docs.select("id", "text"), "id", least=least, cover=cover)
     sides = []

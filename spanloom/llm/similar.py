@@ -120,21 +120,32 @@ def rarest_runs(text: np.ndarray, runs: np.ndarray, counts: np.ndarray, n_texts:
     return order[(place < head[of]) & (all_runs | (counts[order] == 0))]
 
 
-def representatives(rows: DataFrame, *flags: str) -> tuple[DataFrame, DataFrame]:
-    """Of rows with id, h1 and h2, where texts of equal words share h1 and h2: (the row with the
-    least id of each class, the other members as (id, rep, *flags)). flags: boolean columns, which
-    the first table holds true where any member does. The least members stand in the second table
-    too if their class has others. Only rows near a class of several are shuffled (see about);
-    repeated rows of one id count once."""
+def copies(rows: DataFrame, *flags: str) -> DataFrame:
+    """(id, rep, *flags, any_*): the members of each class of several of rows with id, h1 and h2,
+    where texts of equal words share h1 and h2; rep is the least id of the class. flags: boolean
+    columns; any_<flag> says whether any member of the class has it."""
     keys = ["h1", "h2"]
     small = rows.select("id", *keys, *flags)
     several = small.groupBy(*keys).agg(F.min("id").alias("rep"), F.max("id").alias("last"), *(F.bool_or(f).alias(f"any_{f}") for f in flags)).where("rep != last").drop("last")
-    members = materialize(small.join(several, keys).select("id", "rep", *flags, *(f"any_{f}" for f in flags)).distinct())
+    return materialize(small.join(several, keys).select("id", "rep", *flags, *(f"any_{f}" for f in flags)).distinct())
+
+
+def first_of_copies(rows: DataFrame, members: DataFrame, *flags: str) -> DataFrame:
+    """The rows (with id and flags) that are no copies, and the first one of each class of members,
+    whose flags are true where any member's are. Only rows near a class of several are shuffled
+    (see about); repeated rows of such an id count once."""
     near, far = about(rows, members.select("id"), both=True)
     of = members.select("id", "rep", *(f"any_{f}" for f in flags)).distinct()
     kept = near.join(of, "id", "left").where("rep is null or rep = id").dropDuplicates(["id"])
     kept = kept.withColumns({f: F.coalesce(f"any_{f}", f) for f in flags}).select(*rows.columns)
-    return far.select(*rows.columns).unionAll(kept), members.select("id", "rep", *flags)
+    return far.select(*rows.columns).unionAll(kept)
+
+
+def representatives(rows: DataFrame, *flags: str) -> tuple[DataFrame, DataFrame]:
+    """The first row of each class of texts of equal words, and the members of classes of several
+    as (id, rep, *flags); see first_of_copies and copies."""
+    members = copies(rows, *flags)
+    return first_of_copies(rows, members, *flags), members.select("id", "rep", *flags)
 
 
 def about(texts: DataFrame, ids: DataFrame, buckets: int = 1 << 18, both: bool = False):
