@@ -41,3 +41,15 @@ SQL["p5_share"] = f"""WITH found AS ({SQL['p5_found']}),
 sizes AS (SELECT doc_id, len(list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\r]+'), lambda x: x <> ''))::BIGINT AS n FROM documents),
 sums AS (SELECT doc_id, sum(n_words)::BIGINT AS c FROM found GROUP BY doc_id)
 SELECT doc_id, n AS n_pieces, coalesce(c, 0) AS shared_pieces, CASE WHEN n > 0 THEN coalesce(c, 0) / n ELSE 0 END AS share FROM sizes LEFT JOIN sums USING (doc_id)"""
+SQL["p2_report"] = f"""WITH found AS ({SQL['p2_found']}),
+sides AS (SELECT doc_a AS d, doc_b AS o FROM found UNION ALL SELECT doc_b, doc_a FROM found),
+plain AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS ws FROM documents WHERE doc_id IN (SELECT d FROM sides)),
+eights AS (SELECT doc_id, len(ws) AS n, unnest(range(1, len(ws) - 6)) AS p, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) AS g FROM plain),
+cover AS (SELECT d, o, count(DISTINCT x.p + k) / any_value(x.n) AS cover FROM sides JOIN eights x ON x.doc_id = d SEMI JOIN eights y ON y.doc_id = o AND y.g = x.g, range(8) r(k) GROUP BY d, o),
+docs AS (SELECT d, count(*) AS pairs, max(coalesce(cover, 0)) AS cover FROM sides LEFT JOIN cover USING (d, o) GROUP BY d)
+SELECT lower(trim(split, E' \\t\\r\\n')) AS split, lower(source) AS source, count(*) AS documents, sum(pairs)::BIGINT AS pairs, round(avg(cover), 6) AS mean_cover
+FROM documents JOIN docs ON d = doc_id GROUP BY 1, 2"""
+SQL["p4_spans"] = SQL["p4_found"].replace("unnest(list_transform(range(1, len(ws) - least", "unnest(range(0, len(ws) - least(12, len(ws)) + 1)) AS p, unnest(list_transform(range(1, len(ws) - least").replace("SELECT doc_id, k, unnest(", "SELECT doc_id, k, unnest(range(0, len(ws) - k + 1)) AS q, unnest(").replace("SELECT DISTINCT item_id, doc_id FROM iw JOIN dw USING (k, g)", """,
+met AS (SELECT item_id, doc_id, k, p, q FROM iw JOIN dw USING (k, g)),
+parts AS (SELECT *, p - row_number() OVER (PARTITION BY item_id, doc_id, q - p ORDER BY p) AS part FROM met)
+SELECT item_id, doc_id, min(p)::BIGINT AS item_word, min(q)::BIGINT AS doc_word, (count(*) - 1 + any_value(k))::BIGINT AS n_words FROM parts GROUP BY item_id, doc_id, q - p, part""")
