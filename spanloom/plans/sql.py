@@ -161,6 +161,19 @@ _SIZES = """(SELECT policy, floor_depth, budget, count(*) AS entries, max(cum_by
 _HITS = r"""
 h AS (SELECT lookup_id, arrived_at, regexp_replace(regexp_replace(upper(key), '^[^0-9A-F]*0X', ''), '[^0-9A-F]', '', 'g') AS key, greatest(lo, hi) - least(lo, hi) AS size, lo, hi FROM hits)"""
 
+#: Doublings of what a rank stands for; enough for repeats of 2**17 tokens.
+_DOUBLINGS = 17
+
+
+def _ranks() -> str:
+    """Ranks of all suffixes by prefix doubling; the end of the stream sorts first."""
+    flat = """
+whole AS (SELECT doc_id, 0 AS pos, 'FFFFFFFF' AS key FROM train UNION ALL SELECT doc_id, pos, key FROM tk WHERE split = 'train'),
+k0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS p, rank() OVER (ORDER BY key) AS r FROM whole)"""
+    step = "k{j} AS MATERIALIZED (SELECT a.p, rank() OVER (ORDER BY a.r, coalesce(b.r, 0)) AS r FROM k{i} a LEFT JOIN k{i} b ON b.p = a.p + {span})"
+    return ",".join([flat, *(step.format(j=i + 1, i=i, span=1 << i) for i in range(_DOUBLINGS))])
+
+
 SQL = {
     "tokenize_docs": _with(_WORDS, select="SELECT d.doc_id, len(ws) AS n_tokens, coalesce(k, '') AS key FROM words d LEFT JOIN (SELECT doc_id, string_agg(key, '' ORDER BY pos) AS k FROM tk GROUP BY doc_id) USING (doc_id)"),
     "vocab_ids": _with(_WORDS, select=f"SELECT w, tok, cnt, {_LE.format(t='tok')} AS key FROM vocab"),
@@ -194,6 +207,7 @@ SQL = {
     "pareto_points": _experiment(f"SELECT s.policy, s.floor_depth, s.budget, z.entries, z.bytes, mean, (SELECT mean FROM summary WHERE policy = 'none' AND length = 4) / greatest(mean, 1e-9) AS speedup FROM summary s JOIN {_SIZES} z USING (policy, floor_depth, budget) WHERE length = 4", True, True),
     "fixed_vs_greedy_ratio": _experiment("SELECT f.policy, f.budget, f.length, f.mean AS fixed_steps, g.mean AS greedy_steps, f.mean / greatest(g.mean, 1e-9) AS ratio FROM summary f JOIN summary g ON g.policy = 'greedy' AND g.floor_depth = 0 AND g.budget = f.budget AND g.length = f.length WHERE f.policy NOT IN ('none', 'greedy')", True, True),
     "latency_set": _experiment("SELECT policy, floor_depth, budget, count(*) AS queries, sum(steps)::BIGINT AS steps, greatest(sum(steps), 1)::BIGINT AS divisor FROM solved WHERE length = 4 AND qid < 1000 GROUP BY ALL", True, True),
+    "exact_suffix_rank": _with(_WORDS, _RANKS, _ranks(), select=f"SELECT p AS pos, r - 1 AS rank FROM k{_DOUBLINGS}"),
     "p1_found": _with(_HITS, select="SELECT key FROM h WHERE lookup_id IS NOT NULL AND key <> '' GROUP BY key HAVING count(DISTINCT lookup_id) >= (SELECT count(DISTINCT lookup_id) FROM hits) * 0.015"),
     "p1_key_totals": _with(_HITS, """one AS (SELECT key, lookup_id, CASE WHEN lo IS NULL OR hi IS NULL THEN NULL ELSE size END AS size FROM h WHERE lookup_id IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY key, lookup_id ORDER BY (lo IS NULL OR hi IS NULL), arrived_at NULLS LAST, size) = 1)""", select="SELECT key, count(*) AS lookups, coalesce(sum(size), 0)::BIGINT AS intervals, (count(*) - count(size))::BIGINT AS missing FROM one GROUP BY key"),
