@@ -63,8 +63,9 @@ class Workload:
 class Caches:
     fixed_depths: tuple[int, ...] = (1, 2, 3)
     greedy_floors: tuple[int, ...] = (0, 2)
-    #: Greedy caches descend to this depth at most; None: until no prefix occurs twice.
-    greedy_depth: int | None = 4
+    #: Levels that are counted over the whole corpus; greedy caches go on from the last one, to any
+    #: depth, over what occurs twice.
+    whole_levels: int = 4
 
 
 @dataclass(frozen=True)

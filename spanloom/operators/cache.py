@@ -10,17 +10,16 @@ lo) of the parents: ties go to the shallower and then to the lesser prefix.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.config import TokenFormat
-from spanloom.functions.keys import entry_bytes
-from spanloom.operators.grams import level, suffix_counts, with_intervals
+from spanloom.functions.keys import entry_bytes, token_key
 from spanloom.operators.prefix import running
 from spanloom.session import materialize
 
+#: A window with its ranks, and the least rank and the count of the window without its last token.
+NODE = ["depth", "key", "lo", "hi", "cnt", "up", "up_cnt"]
 COLUMNS = ["entry_no", "key", "depth", "lo", "hi", "cnt", "expanded_at", "cum_bytes"]
 
 
@@ -55,73 +54,119 @@ def fixed_cache(grams: DataFrame, num_ranks: DataFrame, depth: int, fmt: TokenFo
     return ordered.join(F.broadcast(upto), "depth", "left").withColumn("entry_no", F.col("number") - 1).select(*COLUMNS)
 
 
-def greedy_cache(grams: DataFrame, num_ranks: DataFrame, floor: int, depth: int, fmt: TokenFormat) -> DataFrame:
+def with_parents(grams: DataFrame, num_ranks: DataFrame, fmt: TokenFormat) -> DataFrame:
+    """grams(depth, key, lo, hi, cnt) with up and up_cnt: the least rank and the count of the window
+    without the last token. grams: whole levels from 1 on."""
+    above = root(num_ranks).unionAll(grams.select("depth", "key", "lo", "hi", "cnt"))
+    above = above.select((F.col("depth") + 1).alias("depth"), F.col("key").alias("p"), F.col("lo").alias("up"), F.col("cnt").alias("up_cnt"))
+    rows = grams.withColumn("p", F.expr(f"substring(key, 1, length(key) - {fmt.width})"))
+    return rows.join(above, ["depth", "p"]).select(*NODE)
+
+
+def deeper_levels(docs: DataFrame, nodes: DataFrame, depth: int, fmt: TokenFormat, max_bytes: int | None = None) -> DataFrame:
+    """The windows of more than depth tokens whose parent occurs at least twice, with the columns
+    of nodes, which has the levels up to depth; and nodes. A pass goes down as many levels as there
+    are by then, so their number grows with the logarithm of the longest repeat. What is carried
+    along are the places where repeated windows occur, not the whole corpus. Parents that a greedy
+    cache of max_bytes can't come to, as more frequent ones fill it, aren't followed."""
+    last = F.broadcast(docs.agg(F.max("doc_id").alias("last")))
+    keys = F.transform("toks", lambda t: token_key(t, fmt))
+    ended = F.when(F.col("doc_id") == F.col("last"), keys).otherwise(F.concat(keys, F.array(F.lit(fmt.separator_key))))
+    texts = docs.crossJoin(last).select("doc_id", F.size("toks").alias("n"), ended.alias("keys"))
+    starts = F.sequence(F.lit(0), F.col("n") - depth)
+    at = texts.where(F.col("n") >= depth).select("doc_id", F.posexplode(F.transform(starts, lambda i: F.array_join(F.slice("keys", i + 1, depth), ""))).alias("at", "key"))
+    parents = nodes.where((F.col("depth") == depth) & (F.col("cnt") >= 2)).select("key", F.col("lo").alias("plo"), F.col("cnt").alias("pcnt"))
+    places = materialize(at.join(parents, "key").select("doc_id", "at", "plo", "pcnt"))
+    done = nodes
+    while True:
+        least = least_followed(done, max_bytes, fmt)
+        places = places.where(F.col("pcnt") >= least)
+        if places.isEmpty():
+            return done
+        step = depth
+        beyond = F.array_join(F.slice("keys", F.col("at") + depth + 1, step), "")
+        ahead = materialize(places.join(texts, "doc_id").select("doc_id", "at", "plo", "pcnt", beyond.alias("beyond")))
+        counts = ahead.groupBy("plo", "beyond").agg(F.count("*").alias("cnt"), F.first("pcnt").alias("pcnt"))
+        placed = running(counts.withColumn("order", F.concat(_up(F.col("plo")), "beyond")), "order", {"before": F.col("cnt")}, before=True)
+        base = placed.groupBy("plo").agg(F.min("before").alias("base"))
+        placed = materialize(placed.join(base, "plo").withColumn("lo", F.col("plo") + F.col("before") - F.col("base")).select("plo", "pcnt", "beyond", "cnt", "lo"))
+        whole = F.floor(F.length("beyond") / fmt.width) - F.when(F.substring("beyond", -fmt.width, fmt.width) == fmt.separator_key, 1).otherwise(0)
+        each = placed.where(whole > 0).withColumn("j", F.explode(F.sequence(F.lit(1), whole.cast("int")))).withColumn("part", F.expr(f"substring(beyond, 1, j * {fmt.width})"))
+        below = materialize(each.groupBy("plo", "j", "part").agg(F.min("lo").alias("lo"), F.sum("cnt").alias("cnt"), F.first("pcnt").alias("pcnt")))
+        above = below.where("cnt >= 2").select("plo", (F.col("j") + 1).alias("j"), F.col("part").alias("above"), F.col("lo").alias("up"), F.col("cnt").alias("up_cnt"))
+        deep = below.where("j > 1").withColumn("above", F.expr(f"substring(part, 1, (j - 1) * {fmt.width})")).join(above, ["plo", "j", "above"])
+        found = below.where("j = 1").select("plo", "j", "part", "lo", "cnt", F.col("plo").alias("up"), F.col("pcnt").alias("up_cnt")).unionAll(deep.select("plo", "j", "part", "lo", "cnt", "up", "up_cnt"))
+        names = done.where(F.col("depth") == depth).select(F.col("lo").alias("plo"), F.col("key").alias("head"))
+        level = found.join(names, "plo").select((F.col("j") + depth).alias("depth"), F.concat("head", "part").alias("key"), "lo", (F.col("lo") + F.col("cnt")).alias("hi"), "cnt", "up", "up_cnt")
+        level = materialize(level)
+        on = placed.where((whole == step) & (F.col("cnt") >= 2)).select("plo", "beyond", "lo", "cnt")
+        places = materialize(ahead.drop("pcnt").join(on, ["plo", "beyond"]).select("doc_id", "at", F.col("lo").alias("plo"), F.col("cnt").alias("pcnt")))
+        done = done.unionAll(level)
+        depth += step
+
+
+#: Counts below this are told apart one by one where the least count is looked for that a budget
+#: reaches; greater ones by their power of two.
+SMALL_COUNTS = 1024
+
+
+def least_followed(nodes: DataFrame, max_bytes: int | None, fmt: TokenFormat) -> int:
+    """The least count of a window whose children beyond the last level a cache of max_bytes may
+    come to: the children of more frequent windows come first, and shallow ones among equals."""
+    if max_bytes is None:
+        return 2
+    low = F.when(F.col("up_cnt") < SMALL_COUNTS, F.col("up_cnt")).otherwise(F.expr("bigint(pow(2, floor(log2(up_cnt))))"))
+    costs = nodes.where("up_cnt >= 2").groupBy(low.alias("count")).agg(F.sum(entry_bytes(F.col("depth"), fmt)).alias("bytes")).orderBy(F.desc("count")).collect()
+    spent = 0
+    for row in costs:  # at most SMALL_COUNTS + 64 rows
+        spent += row.bytes
+        if spent > max_bytes:
+            return max(2, row["count"] + (row["count"] < SMALL_COUNTS))
+    return 2
+
+
+def greedy_cache(nodes: DataFrame, num_ranks: DataFrame, floor: int, fmt: TokenFormat, max_bytes: int | None = None) -> DataFrame:
     """All windows of up to floor tokens, then the children of the cached prefix with the largest
-    interval, most frequent first, down to depth tokens; prefixes that occur once are left as they
-    are. grams: the levels 1 to depth. The whole order is returned; limit() cuts it to a budget."""
-    nodes = root(num_ranks).unionAll(grams.where(F.col("depth") <= depth).select("depth", "key", "lo", "hi", "cnt"))
-    parents = nodes.where((F.col("depth") < depth) & (F.col("depth") >= floor) & (F.col("cnt") >= 2)).select(F.col("key").alias("parent_key"), F.col("cnt").alias("pc"), F.col("depth").alias("pd"), F.col("lo").alias("pl"))
-    parent_order = F.concat(F.lit("1"), _down(F.col("pc")), _up(F.col("pd")), _up(F.col("pl")))
-    low = nodes.where(F.col("depth") <= floor).withColumn("at", F.concat(F.lit("0"), _up(F.col("depth")), _up(F.col("lo"))))
-    deep = nodes.where(F.col("depth") > floor).withColumn("parent_key", F.expr(f"substring(key, 1, length(key) - {fmt.width})"))
-    deep = deep.join(parents, "parent_key").withColumn("at", F.concat(parent_order, F.lit("0"), _down(F.col("cnt")), _up(F.col("lo"))))
+    interval, most frequent first; prefixes that occur once are left as they are. nodes: from
+    with_parents and deeper_levels. With max_bytes the cache ends with the last entry that fits, and
+    a prefix not all of whose children fit isn't expanded; less than what the floor needs is an
+    error. limit() cuts it to lesser budgets."""
+    up = nodes.select("depth", "key", "lo", "hi", "cnt", "up", "up_cnt")
+    order = lambda cnt, depth, lo: F.concat(F.lit("1"), _down(F.col(cnt)), _up(depth), _up(F.col(lo)))
     none = lambda t: F.lit(None).cast(t)
+    shallow = root(num_ranks).unionAll(nodes.where(F.col("depth") <= floor).select("depth", "key", "lo", "hi", "cnt"))
+    low = shallow.withColumn("at", F.concat(F.lit("0"), _up(F.col("depth")), _up(F.col("lo"))))
+    deep = up.where((F.col("depth") > floor) & (F.col("up_cnt") >= 2)).withColumn("at", F.concat(order("up_cnt", F.col("depth") - 1, "up"), F.lit("0"), _down(F.col("cnt")), _up(F.col("lo"))))
     # a mark behind the last child of each parent says how many entries there are by then
-    marks = parents.select(none("int").alias("depth"), F.col("parent_key").alias("key"), none("bigint").alias("lo"), none("bigint").alias("hi"), none("bigint").alias("cnt"), F.concat(parent_order, F.lit("1")).alias("at"))
+    parents = root(num_ranks).unionAll(nodes.select("depth", "key", "lo", "hi", "cnt")).where((F.col("depth") >= floor) & (F.col("cnt") >= 2))
+    marks = parents.select("depth", none("string").alias("key"), "lo", none("bigint").alias("hi"), none("bigint").alias("cnt"), F.concat(order("cnt", F.col("depth"), "lo"), F.lit("1")).alias("at"))
     rows = low.select("depth", "key", "lo", "hi", "cnt", "at").unionAll(deep.select("depth", "key", "lo", "hi", "cnt", "at")).unionAll(marks)
     rows = materialize(rows)  # it is gone through several times
-    is_entry = F.col("depth").isNotNull()
+    is_entry = F.col("key").isNotNull()
     ordered = running(rows, "at", {"number": is_entry.cast("int"), "cum_bytes": F.when(is_entry, entry_bytes(F.col("depth"), fmt))})
-    full = nodes.where(F.col("depth") <= floor).groupBy("depth").agg(F.count("*").alias("n"))
+    full = shallow.groupBy("depth").agg(F.count("*").alias("n"))
     upto = full.alias("a").crossJoin(F.broadcast(full.alias("b"))).where(F.expr("b.depth <= a.depth")).groupBy(F.col("a.depth")).agg(F.sum("b.n").alias("by_level"))
     upto = upto.select((F.col("depth") - 1).alias("depth"), "by_level")
-    marked = ordered.where(~is_entry).select("key", F.col("number").alias("by_mark"))
-    entries = ordered.where(is_entry).join(marked, "key", "left").join(F.broadcast(upto), "depth", "left")
+    marked = ordered.where(~is_entry).select("depth", "lo", F.col("number").alias("by_mark"))
+    entries = ordered.where(is_entry)
+    if max_bytes is not None:
+        need = entries.where(F.col("depth") <= floor).agg(F.max("cum_bytes")).first()[0]
+        if need > max_bytes:
+            raise ValueError(f"all windows of up to {floor} tokens need {need} bytes, {max_bytes} are allowed")
+        entries = entries.where(F.col("cum_bytes") <= max_bytes)
+        # what doesn't fit whole, or was never followed, isn't expanded
+        size = F.broadcast(entries.agg(F.count("*").alias("size"), F.max("cum_bytes").alias("spent")))
+        marked = marked.crossJoin(size).where("by_mark <= size").drop("size", "spent")
+    entries = entries.join(marked, ["depth", "lo"], "left").join(F.broadcast(upto), "depth", "left")
     return entries.withColumn("expanded_at", F.coalesce("by_level", "by_mark")).withColumn("entry_no", F.col("number") - 1).select(*COLUMNS)
 
 
-def deep_levels(docs: DataFrame, fmt: TokenFormat, max_depth: int | None = None) -> tuple[DataFrame, int]:
-    """The levels 1, 2, ... of all windows whose parent occurs at least twice, until a level is
-    empty or max_depth is reached; and the number of levels. Each level is written as a table."""
-    done, depth, repeated = [], 0, None
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        rows = level(with_intervals(materialize(suffix_counts(docs, depth, fmt))), depth, fmt, depth)
-        if repeated is not None:
-            rows = rows.withColumn("p", F.expr(f"substring(key, 1, length(key) - {fmt.width})")).join(repeated, "p", "left_semi").drop("p")
-        rows = materialize(rows)
-        if rows.isEmpty():
-            depth -= 1
-            break
-        done.append(rows)
-        repeated = rows.where("cnt >= 2").select(F.col("key").alias("p"))
-        if repeated.isEmpty():
-            break
-    return reduce(DataFrame.unionAll, done), depth
-
-
 def limits(cache: DataFrame, budgets: DataFrame) -> DataFrame:
     """(budget, entries, bytes): for each budget the number of leading entries that fit."""
     wanted = F.broadcast(budgets.select("budget").where("budget is not null").distinct())
     return cache.crossJoin(wanted).where("cum_bytes <= budget").groupBy("budget").agg(F.count("*").alias("entries"), F.max("cum_bytes").alias("bytes"))
 
 
-def cut_off(cache: DataFrame, limits: DataFrame, floor: int, depth: int, fmt: TokenFormat) -> DataFrame:
-    """(budget, entries, cut_count, cut_off): for each of limits the count of the prefix that is
-    expanded last, and the number of entries of the last level that occur more often, which a cache
-    without the cap at depth puts first, as far as the budget reaches. Where it is 0 the cap changes nothing: a
-    deeper entry costs more than the next one, which doesn't fit either. A cache that fits whole
-    has cut_count 1, one that holds no more than its floor none."""
-    size = F.broadcast(cache.agg(F.count("*").alias("all_entries")))
-    last = cache.join(F.broadcast(limits.select("budget", "entries")), F.col("entry_no") == F.col("entries") - 1).crossJoin(size)
-    last = last.select("budget", "entries", "all_entries", F.col("depth").alias("d"), F.expr(f"substring(key, 1, length(key) - {fmt.width})").alias("key"))
-    cut = F.when(F.col("entries") == F.col("all_entries"), F.lit(1).cast("bigint")).when(F.col("d") > floor, F.col("cnt"))
-    cuts = F.broadcast(last.join(cache.select("key", "cnt"), "key").select("budget", "entries", cut.alias("cut_count")))
-    over = cache.where((F.col("depth") == depth) & (F.col("cnt") >= 2)).select("entry_no", "cnt")
-    met = cuts.join(over, F.expr("entry_no < entries and cnt > cut_count"), "left")
-    return met.groupBy("budget", "entries", "cut_count").agg(F.count("cnt").alias("cut_off"))
-
-
 def snapshot(cache: DataFrame, entries: int) -> DataFrame:
     """The cache as a build to a smaller budget leaves it; later expansions are undone."""
     return cache.where(F.col("entry_no") < entries).withColumn("expanded_at", F.when(F.col("expanded_at") <= entries, F.col("expanded_at")))

@@ -9,18 +9,24 @@ from spanloom.config import TokenFormat
 from spanloom.functions.steps import search_steps
 
 
-def longest_prefixes(queries: DataFrame, caches: DataFrame, fmt: TokenFormat) -> DataFrame:
+def longest_prefixes(queries: DataFrame, caches: DataFrame, configs: DataFrame, fmt: TokenFormat) -> DataFrame:
     """(length, qid, key, policy, floor_depth, budget, depth, lo, hi, exact, expanded): for each
-    query and each configuration of caches the longest cached prefix. caches: entries with policy,
-    floor_depth, budget and entries (how many leading ones count). Every cache holds its root, so
-    each query has a hit. Null keys have none, repeated queries one each."""
-    tries = queries.where(F.col("key").isNotNull()).select("length", "qid", "key", F.explode(F.sequence(F.lit(0), F.col("length"))).alias("d"))
-    tries = tries.select("length", "qid", F.col("key").alias("query"), F.expr(f"substring(key, 1, d * {fmt.width})").alias("key"))
-    seen = caches.where("entry_no < entries").select("policy", "floor_depth", "budget", "entries", "key", "depth", "lo", "hi", "expanded_at")
-    met = tries.join(seen, "key")
-    best = F.max_by(F.struct("depth", "lo", "hi", (F.coalesce(F.col("expanded_at") <= F.col("entries"), F.lit(False))).alias("expanded")), "depth")
-    hits = met.groupBy("length", "qid", "query", "policy", "floor_depth", "budget").agg(best.alias("h"))
-    return hits.select("length", "qid", F.col("query").alias("key"), "policy", "floor_depth", "budget", "h.depth", "h.lo", "h.hi", (F.col("h.depth") == F.col("length")).alias("exact"), "h.expanded")
+    query and each configuration the longest cached prefix. caches: the entries of each cache, with
+    policy and floor_depth; configs: (policy, floor_depth, budget, entries), a few rows, where
+    entries is how many leading ones of the cache count. Every cache holds its root, so each query
+    has a hit. Null keys have none, repeated queries one each. A query meets each cache once,
+    whatever the number of its budgets, and the roots, which all queries share, aren't joined."""
+    each = queries.where(F.col("key").isNotNull()).select("length", "qid", "key").distinct()
+    entry = F.struct("depth", "entry_no", "lo", "hi", "expanded_at")
+    tries = each.select("length", "qid", F.col("key").alias("query"), F.explode(F.sequence(F.lit(1), F.col("length"))).alias("d"))
+    tries = tries.select("length", "qid", "query", F.expr(f"substring(query, 1, d * {fmt.width})").alias("key"))
+    met = tries.join(caches.where("depth > 0"), "key").groupBy("length", "qid", F.col("query").alias("key"), "policy", "floor_depth").agg(F.collect_list(entry).alias("met"))
+    roots = caches.where("depth = 0").select("policy", "floor_depth", entry.alias("root"))
+    rows = each.crossJoin(F.broadcast(configs.select("policy", "floor_depth", "budget", "entries").join(roots, ["policy", "floor_depth"])))
+    rows = rows.join(met, ["length", "qid", "key", "policy", "floor_depth"], "left")
+    best = F.coalesce(F.array_max(F.filter("met", lambda e: e.entry_no < F.col("entries"))), F.col("root"))
+    rows = rows.withColumn("h", best)
+    return rows.select("length", "qid", "key", "policy", "floor_depth", "budget", "h.depth", "h.lo", "h.hi", (F.col("h.depth") == F.col("length")).alias("exact"), F.coalesce(F.col("h.expanded_at") <= F.col("entries"), F.lit(False)).alias("expanded"))
 
 
 def resolve(hits: DataFrame, located: DataFrame) -> DataFrame:

@@ -32,7 +32,6 @@ QUERIES = {
     "greedy_cache_floor0": q._greedy(0),
     "greedy_cache_floor2": q._greedy(2),
     "greedy_snapshots": q.greedy_snapshots,
-    "greedy_cap": q.greedy_cap,
     "longest_prefix_hit": q.longest_prefix_hit,
     "cached_resolve": q.cached_resolve,
     "steps_summary_fixed": q.steps_summary_fixed,

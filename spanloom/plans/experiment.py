@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.config import Settings
 from spanloom.operators import cache, corpus, grams, resolve, workload
+from spanloom.session import materialize
 from spanloom.sources.tables import once, split_name, table
 
 SETTINGS = Settings()
@@ -55,7 +56,7 @@ class Experiment:
 
     @property
     def depth(self) -> int:
-        return max(*self.settings.caches.fixed_depths, *self.settings.caches.greedy_floors, self.settings.caches.greedy_depth or 0)
+        return max(*self.settings.caches.fixed_depths, *self.settings.caches.greedy_floors, self.settings.caches.whole_levels)
 
     @property
     def intervals(self) -> DataFrame:
@@ -79,22 +80,21 @@ class Experiment:
         return self._once(f"fixed{depth}", lambda: cache.fixed_cache(self.levels, self.num_ranks, depth, self.fmt))
 
     @property
-    def greedy_levels(self) -> tuple[DataFrame, int]:
-        """The levels that greedy caches descend through, and their depth. Without a greedy depth
-        they go down until nothing repeats, one level after the other: as many as the longest
-        repeated text has tokens."""
-        if self.settings.caches.greedy_depth is not None:
-            return self.levels, self.depth
-        deep, depth = cache.deep_levels(self.train, self.fmt)
-        # one more, so that prefixes of the last level count as expanded where they repeat
-        return self.levels.unionAll(deep.where(F.col("depth") > self.depth)), max(depth, self.depth) + 1
+    def largest_budget(self) -> int:
+        return self.budgets.agg(F.max("budget")).first()[0]
+
+    @property
+    def greedy_nodes(self) -> DataFrame:
+        """What a greedy cache of the largest budget may hold."""
 
-    def greedy(self, floor: int) -> DataFrame:
         def build() -> DataFrame:
-            levels, depth = self.greedy_levels
-            return cache.greedy_cache(levels, self.num_ranks, floor, depth, self.fmt)
+            nodes = cache.with_parents(self.levels, self.num_ranks, self.fmt)
+            return cache.deeper_levels(self.train, materialize(nodes), self.depth, self.fmt, self.largest_budget)
 
-        return self._once(f"greedy{floor}", build)
+        return self._once("greedy_nodes", build)
+
+    def greedy(self, floor: int) -> DataFrame:
+        return self._once(f"greedy{floor}", lambda: cache.greedy_cache(self.greedy_nodes, self.num_ranks, floor, self.fmt, self.largest_budget))
 
     @property
     def queries(self) -> DataFrame:
@@ -109,14 +109,6 @@ class Experiment:
     def root_cache(self) -> DataFrame:
         return cache.root_cache(self.num_ranks)
 
-    def _configured(self, entries: DataFrame, policy: str, floor: int, limits: DataFrame | None = None) -> DataFrame:
-        """entries once for each configuration, with policy, floor_depth, budget and entries."""
-        named = entries.withColumns({"policy": F.lit(policy), "floor_depth": F.lit(floor)})
-        if limits is None:
-            size = F.broadcast(entries.agg(F.count("*").alias("entries"), F.max("cum_bytes").alias("budget")))
-            return named.crossJoin(size)
-        return named.crossJoin(F.broadcast(limits.select("budget", "entries"))).where("entry_no < entries")
-
     @property
     def fixed_names(self) -> dict[int, str]:
         return {d: {1: "unigram", 2: "bigram", 3: "trigram"}.get(d, f"{d}-gram") for d in self.settings.caches.fixed_depths}
@@ -135,33 +127,32 @@ class Experiment:
         least = entries.where(F.col("depth") <= floor).agg(F.count("*").alias("least"))
         return cache.limits(entries, self.budgets).crossJoin(F.broadcast(least)).where("entries >= least").drop("least")
 
-    @property
-    def fixed_caches(self) -> DataFrame:
-        parts = [self._configured(self.root_cache, "none", 0)]
-        parts += [self._configured(self.fixed(d), name, d) for d, name in self.fixed_names.items()]
-        return workload.union_all([p.select("policy", "floor_depth", "budget", "entries", *cache.COLUMNS) for p in parts])
+    def _cache_parts(self, greedy: bool) -> list[tuple[DataFrame, str, int]]:
+        """(entries, policy, floor_depth) of the caches."""
+        if greedy:
+            return [(self.greedy(f), "greedy", f) for f in self.settings.caches.greedy_floors]
+        return [(self.root_cache, "none", 0), *((self.fixed(d), name, d) for d, name in self.fixed_names.items())]
 
-    @property
-    def greedy_caches(self) -> DataFrame:
-        parts = [self._configured(self.greedy(f), "greedy", f, self.limits(f)) for f in self.settings.caches.greedy_floors]
-        return workload.union_all([p.select("policy", "floor_depth", "budget", "entries", *cache.COLUMNS) for p in parts])
+    def sizes(self, greedy: bool) -> DataFrame:
+        """(policy, floor_depth, budget, entries, bytes) of the configurations."""
+        parts = []
+        for entries, policy, floor in self._cache_parts(greedy):
+            size = self.limits(floor) if greedy else entries.agg(F.max("cum_bytes").alias("budget"), F.count("*").alias("entries"), F.max("cum_bytes").alias("bytes"))
+            parts.append(size.select(F.lit(policy).alias("policy"), F.lit(floor).alias("floor_depth"), "budget", "entries", "bytes"))
+        return self._once(f"sizes-{greedy}", lambda: workload.union_all(parts))
 
     def resolved(self, greedy: bool) -> DataFrame:
-        caches = self.greedy_caches if greedy else self.fixed_caches
-        name = "resolved_greedy" if greedy else "resolved_fixed"
-        return self._once(name, lambda: resolve.resolve(resolve.longest_prefixes(self.queries, caches, self.fmt), self.located))
+        def build() -> DataFrame:
+            deepest = max(self.settings.workload.lengths)
+            parts = [e.where(F.col("depth") <= deepest).withColumns({"policy": F.lit(p), "floor_depth": F.lit(f)}) for e, p, f in self._cache_parts(greedy)]
+            return resolve.resolve(resolve.longest_prefixes(self.queries, workload.union_all(parts), self.sizes(greedy), self.fmt), self.located)
+
+        return self._once("resolved_greedy" if greedy else "resolved_fixed", build)
 
     def summary(self, greedy: bool) -> DataFrame:
         return resolve.summarize(self.resolved(greedy))
 
-    def sizes(self) -> DataFrame:
-        """(policy, floor_depth, budget, entries, bytes) of all configurations."""
-        parts = [self.fixed_caches.groupBy("policy", "floor_depth", "budget").agg(F.count("*").alias("entries"), F.max("cum_bytes").alias("bytes"))]
-        for f in self.settings.caches.greedy_floors:
-            parts.append(self.limits(f).select(F.lit("greedy").alias("policy"), F.lit(f).alias("floor_depth"), "budget", "entries", "bytes"))
-        return workload.union_all([p.select("policy", "floor_depth", "budget", "entries", "bytes") for p in parts])
-
     def results(self) -> DataFrame:
         """The long result table: one row for each configuration and query length."""
         steps = self.summary(False).unionAll(self.summary(True))
-        return steps.join(F.broadcast(self.sizes()), ["policy", "floor_depth", "budget"])
+        return steps.join(F.broadcast(self.sizes(False).unionAll(self.sizes(True))), ["policy", "floor_depth", "budget"])

@@ -109,7 +109,9 @@ def fixed_cache_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _greedy(floor: int):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return Experiment(spark, sf_dir).greedy(floor)
+        """The cache of the largest budget; keys of hundreds of tokens are told by their md5."""
+        rows = Experiment(spark, sf_dir).greedy(floor)
+        return rows.select("entry_no", F.md5("key").alias("key_md5"), "depth", "lo", "hi", "cnt", "expanded_at", "cum_bytes")
 
     return query
 
@@ -120,16 +122,6 @@ def greedy_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionAll(parts[1])
 
 
-def greedy_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the greedy depth binds: for each floor and budget the entries of the last level that
-    occur more often than the prefix expanded last, and are left as they are."""
-    from spanloom.operators.cache import cut_off
-
-    x = Experiment(spark, sf_dir)
-    parts = [cut_off(x.greedy(f), x.limits(f), f, x.depth, x.fmt).select(F.lit(f).alias("floor_depth"), "budget", "entries", "cut_count", "cut_off") for f in x.settings.caches.greedy_floors]
-    return parts[0].unionAll(parts[1])
-
-
 def longest_prefix_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Experiment(spark, sf_dir)
     return x.resolved(True).select("floor_depth", "budget", "length", "qid", "depth", "lo", "hi", "exact", "expanded")

@@ -16,7 +16,7 @@ words AS (SELECT doc_id, shard, lower(trim(split, E' \t\r\n')) AS split,
     list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\r\f]+'), lambda x: x <> '') AS ws FROM documents),
 tokens AS (SELECT doc_id, split, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos FROM words),
 vocab AS (SELECT w, count(*) AS cnt, row_number() OVER (ORDER BY count(*) DESC, w) - 1 AS tok FROM tokens GROUP BY w),
-tk AS (SELECT doc_id, split, pos, tok, """ + _LE.format(t="tok") + """ AS key FROM tokens JOIN vocab USING (w))"""
+tk AS MATERIALIZED (SELECT doc_id, split, pos, tok, """ + _LE.format(t="tok") + """ AS key FROM tokens JOIN vocab USING (w))"""
 
 _RANKS = """
 train AS (SELECT doc_id, len(ws) AS n FROM words WHERE split = 'train'),
@@ -61,19 +61,50 @@ def _fixed(depth: int, name: str = "fixed") -> str:
     (sum({_cost('r.depth')}) OVER (ORDER BY r.depth, lo))::BIGINT AS cum_bytes FROM {name}_rows r LEFT JOIN {name}_ends e ON r.depth = e.depth)"""
 
 
+#: Doublings of what a rank stands for; enough for repeats of 2**17 tokens.
+_DOUBLINGS = 17
+
+
+def _ranks() -> str:
+    """Ranks of all suffixes by prefix doubling; the end of the stream sorts first."""
+    flat = """
+whole AS MATERIALIZED (SELECT doc_id, 0 AS pos, n, 'FFFFFFFF' AS key, row_number() OVER () AS any FROM train UNION ALL SELECT doc_id, pos, n, key, 0 FROM tk JOIN train USING (doc_id)),
+spots AS MATERIALIZED (SELECT row_number() OVER o - 1 AS p, doc_id, pos, CASE WHEN pos = 0 THEN 0 ELSE n - pos + 1 END AS room, key, left(key""" + "".join(f" || coalesce(lead(key, {i}) OVER o, '')" for i in range(1, 10)) + """, 80) AS key10 FROM whole WINDOW o AS (ORDER BY doc_id, pos)),
+k0 AS MATERIALIZED (SELECT p, rank() OVER (ORDER BY key) AS r FROM spots)"""
+    step = "k{j} AS MATERIALIZED (SELECT a.p, rank() OVER (ORDER BY a.r, coalesce(b.r, 0)) AS r FROM k{i} a LEFT JOIN k{i} b ON b.p = a.p + {span})"
+    return ",".join([flat, *(step.format(j=i + 1, i=i, span=1 << i) for i in range(_DOUBLINGS))])
+
+
+def _nodes() -> str:
+    """All windows whose parent occurs twice, and those of up to two tokens: of neighbours in the
+    order of suffixes the common tokens are counted, and a window is a stretch of ranks."""
+    out = f"""
+near0 AS MATERIALIZED (SELECT a.r - 1 AS rank, b.p AS x, a.p AS y, 0 AS n FROM k{_DOUBLINGS} a JOIN k{_DOUBLINGS} b ON b.r = a.r - 1)"""
+    for i, j in enumerate(range(_DOUBLINGS, -1, -1)):
+        out += f""",
+near{i + 1} AS MATERIALIZED (SELECT rank, x, y, n + CASE WHEN u.r = v.r THEN {1 << j} ELSE 0 END AS n FROM near{i} LEFT JOIN k{j} u ON u.p = x + n LEFT JOIN k{j} v ON v.p = y + n)"""
+    return _ranks() + "," + out + f""",
+sa AS MATERIALIZED (SELECT k.r - 1 AS rank, t.p, t.room, least(coalesce(n, 0), t.room, coalesce(o.room, 0)) AS same FROM k{_DOUBLINGS} k JOIN spots t ON t.p = k.p LEFT JOIN near{_DOUBLINGS + 1} m ON m.rank = k.r - 1 LEFT JOIN spots o ON o.p = m.x),
+sb AS (SELECT *, greatest(same, coalesce(lead(same) OVER (ORDER BY rank), 0)) AS m FROM sa),
+flat AS (SELECT rank, p, same, unnest(range(1, least(room, greatest(m + 1, 2)) + 1)) AS depth FROM sb),
+grouped AS (SELECT *, sum((same < depth)::INT) OVER (PARTITION BY depth ORDER BY rank) AS g FROM flat),
+placed AS MATERIALIZED (SELECT depth::INT AS depth, rank, p, min(rank) OVER w AS lo, count(*) OVER w AS cnt FROM grouped WINDOW w AS (PARTITION BY depth, g)),
+nodes AS MATERIALIZED (SELECT n.depth, n.p, n.lo, n.lo + n.cnt AS hi, n.cnt, coalesce(u.lo, 0) AS up, coalesce(u.cnt, num_ranks) AS up_cnt FROM num, placed n LEFT JOIN placed u ON u.depth = n.depth - 1 AND u.rank = n.lo WHERE n.rank = n.lo)"""
+
+
 def _greedy(floor: int) -> str:
     n = f"greedy{floor}"
     return f"""
-{n}_nodes AS (SELECT * FROM root UNION ALL {_upto(_DEPTH)}),
-{n}_parents AS (SELECT * FROM {n}_nodes WHERE depth >= {floor} AND depth < {_DEPTH} AND cnt >= 2),
-{n}_ends AS (SELECT depth - 1 AS depth, (sum(count(*)) OVER (ORDER BY depth))::BIGINT AS by_level FROM {n}_nodes WHERE depth <= {floor} GROUP BY depth),
 {n}_all AS (
-    SELECT depth, key, lo, hi, cnt, 0 AS a, 0::BIGINT AS b, depth::BIGINT AS c, 0::BIGINT AS d, 0 AS e, 0::BIGINT AS f, lo AS g FROM {n}_nodes WHERE depth <= {floor}
-    UNION ALL SELECT x.depth, x.key, x.lo, x.hi, x.cnt, 1, -p.cnt, p.depth, p.lo, 0, -x.cnt, x.lo FROM {n}_nodes x JOIN {n}_parents p ON left(x.key, length(x.key) - 8) = p.key WHERE x.depth > {floor} AND x.depth > 0
-    UNION ALL SELECT NULL, key, NULL, NULL, NULL, 1, -cnt, depth, lo, 1, 0, 0 FROM {n}_parents),
-{n}_ran AS (SELECT *, count(depth) OVER o AS number, (sum(CASE WHEN depth IS NULL THEN 0 ELSE {_cost('depth')} END) OVER o)::BIGINT AS cum_bytes FROM {n}_all WINDOW o AS (ORDER BY a, b, c, d, e, f, g ROWS UNBOUNDED PRECEDING)),
-{n} AS (SELECT r.number - 1 AS entry_no, r.key, r.depth, r.lo, r.hi, r.cnt, coalesce(by_level, m.number) AS expanded_at, r.cum_bytes
-    FROM {n}_ran r LEFT JOIN {n}_ran m ON m.depth IS NULL AND m.key = r.key LEFT JOIN {n}_ends e ON e.depth = r.depth WHERE r.depth IS NOT NULL)"""
+    SELECT depth, NULL::BIGINT AS p, lo, hi, cnt, 0 AS a, 0::BIGINT AS b, 0::BIGINT AS c, 0::BIGINT AS d, 0 AS e, 0::BIGINT AS f, 0::BIGINT AS g FROM root
+    UNION ALL SELECT depth, p, lo, hi, cnt, 0, 0, depth, 0, 0, 0, lo FROM nodes WHERE depth <= {floor}
+    UNION ALL SELECT depth, p, lo, hi, cnt, 1, -up_cnt, depth - 1, up, 0, -cnt, lo FROM nodes WHERE depth > {floor} AND up_cnt >= 2
+    UNION ALL SELECT depth, NULL, lo, NULL, NULL, 1, -cnt, depth, lo, 1, 0, 0 FROM (SELECT depth, lo, cnt FROM nodes UNION ALL SELECT depth, lo, cnt FROM root) WHERE depth >= {floor} AND cnt >= 2),
+{n}_ran AS MATERIALIZED (SELECT *, count(cnt) OVER o AS number, (sum(CASE WHEN cnt IS NULL THEN 0 ELSE {_cost('depth')} END) OVER o)::BIGINT AS cum_bytes FROM {n}_all WINDOW o AS (ORDER BY a, b, c, d, e, f, g ROWS UNBOUNDED PRECEDING)),
+{n}_fit AS MATERIALIZED (SELECT * FROM {n}_ran WHERE cnt IS NOT NULL AND cum_bytes <= (SELECT max(budget) FROM all_budgets)),
+{n}_ends AS (SELECT depth - 1 AS depth, (sum(count(*)) OVER (ORDER BY depth))::BIGINT AS by_level FROM {n}_fit WHERE depth <= {floor} GROUP BY depth),
+{n} AS MATERIALIZED (SELECT r.number - 1 AS entry_no, r.p, r.depth, r.lo, r.hi, r.cnt, coalesce(by_level, m.number) AS expanded_at, r.cum_bytes
+    FROM {n}_fit r LEFT JOIN {n}_ran m ON m.cnt IS NULL AND m.depth = r.depth AND m.lo = r.lo AND m.number <= (SELECT count(*) FROM {n}_fit) LEFT JOIN {n}_ends e ON e.depth = r.depth)"""
 
 
 _LENGTH_LIST = ", ".join(f"({n})" for n in _LENGTHS)
@@ -110,10 +141,14 @@ _FIXED_CACHES = ",".join(["""
 none AS (SELECT 0::BIGINT AS entry_no, key, depth, lo, hi, cnt, NULL::BIGINT AS expanded_at, 0::BIGINT AS cum_bytes FROM root)""", _fixed(1, "unigram"), _fixed(2, "bigram"), _fixed(3, "trigram")]) + """,
 fixed_caches AS (""" + " UNION ALL ".join(f"SELECT '{n}' AS policy, {d} AS floor_depth, (SELECT max(cum_bytes) FROM {n}) AS budget, (SELECT count(*) FROM {n}) AS entries, * FROM {n}" for d, n in enumerate(("none", "unigram", "bigram", "trigram"))) + ")"
 
-_GREEDY_CACHES = ",".join([_greedy(0), _greedy(2)]) + """,
-all_budgets AS (SELECT budget FROM budgets WHERE budget IS NOT NULL UNION SELECT max(cum_bytes) FROM unigram UNION SELECT max(cum_bytes) FROM bigram UNION SELECT max(cum_bytes) FROM trigram),
-limits AS (""" + " UNION ALL ".join(f"SELECT {f} AS floor_depth, budget, count(*) AS entries, max(cum_bytes) AS bytes FROM greedy{f} JOIN all_budgets ON cum_bytes <= budget GROUP BY budget HAVING count(*) >= (SELECT count(*) FROM greedy{f} WHERE depth <= {f})" for f in (0, 2)) + """),
-greedy_caches AS (""" + " UNION ALL ".join(f"SELECT 'greedy' AS policy, {f} AS floor_depth, l.budget, l.entries, g.* FROM greedy{f} g JOIN limits l ON l.floor_depth = {f} AND g.entry_no < l.entries" for f in (0, 2)) + ")"
+_TEXTS = "texts AS (SELECT doc_id, string_agg(key, '' ORDER BY pos) AS s FROM tk GROUP BY doc_id)"
+
+_BUDGETS = """
+all_budgets AS MATERIALIZED (SELECT budget FROM budgets WHERE budget IS NOT NULL UNION SELECT max(cum_bytes) FROM unigram UNION SELECT max(cum_bytes) FROM bigram UNION SELECT max(cum_bytes) FROM trigram)"""
+
+_GREEDY_CACHES = ",".join([_BUDGETS, _nodes(), _greedy(0), _greedy(2)]) + """,
+limits AS MATERIALIZED (""" + " UNION ALL ".join(f"SELECT {f} AS floor_depth, budget, count(*) AS entries, max(cum_bytes) AS bytes FROM greedy{f} JOIN all_budgets ON cum_bytes <= budget GROUP BY budget HAVING count(*) >= (SELECT count(*) FROM greedy{f} WHERE depth <= {f})" for f in (0, 2)) + """),
+greedy_caches AS MATERIALIZED (""" + " UNION ALL ".join(f"SELECT 'greedy' AS policy, {f} AS floor_depth, l.budget, l.entries, entry_no, coalesce(left(key10, 8 * depth), '') AS key, depth, lo, hi, expanded_at FROM greedy{f} g JOIN limits l ON l.floor_depth = {f} AND g.entry_no < l.entries LEFT JOIN spots USING (p) WHERE depth <= 10" for f in (0, 2)) + ")"
 
 
 def _resolved(caches: str, name: str) -> str:
@@ -161,19 +196,6 @@ _SIZES = """(SELECT policy, floor_depth, budget, count(*) AS entries, max(cum_by
 _HITS = r"""
 h AS (SELECT lookup_id, arrived_at, regexp_replace(regexp_replace(upper(key), '^[^0-9A-F]*0X', ''), '[^0-9A-F]', '', 'g') AS key, greatest(lo, hi) - least(lo, hi) AS size, lo, hi FROM hits)"""
 
-#: Doublings of what a rank stands for; enough for repeats of 2**17 tokens.
-_DOUBLINGS = 17
-
-
-def _ranks() -> str:
-    """Ranks of all suffixes by prefix doubling; the end of the stream sorts first."""
-    flat = """
-whole AS (SELECT doc_id, 0 AS pos, 'FFFFFFFF' AS key FROM train UNION ALL SELECT doc_id, pos, key FROM tk WHERE split = 'train'),
-k0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS p, rank() OVER (ORDER BY key) AS r FROM whole)"""
-    step = "k{j} AS MATERIALIZED (SELECT a.p, rank() OVER (ORDER BY a.r, coalesce(b.r, 0)) AS r FROM k{i} a LEFT JOIN k{i} b ON b.p = a.p + {span})"
-    return ",".join([flat, *(step.format(j=i + 1, i=i, span=1 << i) for i in range(_DOUBLINGS))])
-
-
 SQL = {
     "tokenize_docs": _with(_WORDS, select="SELECT d.doc_id, len(ws) AS n_tokens, coalesce(k, '') AS key FROM words d LEFT JOIN (SELECT doc_id, string_agg(key, '' ORDER BY pos) AS k FROM tk GROUP BY doc_id) USING (doc_id)"),
     "vocab_ids": _with(_WORDS, select=f"SELECT w, tok, cnt, {_LE.format(t='tok')} AS key FROM vocab"),
@@ -195,8 +217,8 @@ SQL = {
     "fixed_cache_bigram": _with(_GRAMS, _fixed(2), select="SELECT * FROM fixed"),
     "fixed_cache_trigram": _with(_GRAMS, _fixed(3), select="SELECT * FROM fixed"),
     "fixed_cache_snapshot": _with(_GRAMS, _fixed(3), select="SELECT budget, count(*) AS entries, max(cum_bytes) AS bytes FROM fixed JOIN (SELECT DISTINCT budget FROM budgets) ON cum_bytes <= budget GROUP BY budget"),
-    "greedy_cache_floor0": _with(_GRAMS, _greedy(0), select="SELECT * FROM greedy0"),
-    "greedy_cache_floor2": _with(_GRAMS, _greedy(2), select="SELECT * FROM greedy2"),
+    "greedy_cache_floor0": _with(_GRAMS, _FIXED_CACHES, _BUDGETS, _nodes(), _greedy(0), _TEXTS, select="SELECT entry_no, md5(coalesce(substr(s, 8 * (pos - 1) + 1, 8 * depth), '')) AS key_md5, depth, lo, hi, cnt, expanded_at, cum_bytes FROM greedy0 LEFT JOIN spots USING (p) LEFT JOIN texts USING (doc_id)"),
+    "greedy_cache_floor2": _with(_GRAMS, _FIXED_CACHES, _BUDGETS, _nodes(), _greedy(2), _TEXTS, select="SELECT entry_no, md5(coalesce(substr(s, 8 * (pos - 1) + 1, 8 * depth), '')) AS key_md5, depth, lo, hi, cnt, expanded_at, cum_bytes FROM greedy2 LEFT JOIN spots USING (p) LEFT JOIN texts USING (doc_id)"),
     "greedy_snapshots": _with(_GRAMS, _FIXED_CACHES, _GREEDY_CACHES, select="SELECT floor_depth, budget, entries, bytes FROM limits"),
     "longest_prefix_hit": _experiment("SELECT floor_depth, budget, length, qid, depth, lo, hi, exact, expanded FROM solved", False, True),
     "cached_resolve": _experiment("SELECT policy, length, qid, cnt, steps FROM solved", True, False),

@@ -22,7 +22,8 @@ def built(docs, fmt):
     levels = grams.levels(rows, [1, 2, 3, 4], fmt, DEPTH).cache()
     ranks = corpus.stream_stats(docs, fmt).select("num_ranks")
     made = {f"fixed{d}": cache.fixed_cache(levels, ranks, d, fmt) for d in (1, 2, 3)}
-    made |= {f"greedy{f}": cache.greedy_cache(levels, ranks, f, DEPTH, fmt) for f in (0, 2)}
+    nodes = cache.with_parents(levels, ranks, fmt).cache()
+    made |= {f"greedy{f}": cache.greedy_cache(nodes, ranks, f, fmt) for f in (0, 2)}
     return {k: v.orderBy("entry_no").cache() for k, v in made.items()}, levels, ranks
 
 
@@ -155,8 +156,9 @@ def test_cached_answers_are_the_uncached_ones(spark, built, docs, fmt, suffixes,
     for name, entries in [*built[0].items(), ("none", cache.root_cache(built[2]))]:
         n = entries.count()
         for limit in sorted({n, max(1, n // 3), max(1, n // 7)}):
-            named = entries.withColumns({"policy": F.lit(name), "floor_depth": F.lit(0), "budget": F.lit(0), "entries": F.lit(limit)})
-            found = resolve.resolve(resolve.longest_prefixes(queries, named, fmt), located).collect()
+            named = entries.withColumns({"policy": F.lit(name), "floor_depth": F.lit(0)})
+            configs = spark.createDataFrame([(name, 0, 0, limit)], "policy string, floor_depth int, budget int, entries bigint")
+            found = resolve.resolve(resolve.longest_prefixes(queries, named, configs, fmt), located).collect()
             assert len(found) == len(rows)
             steps[name, limit == n] = sum(r.steps for r in found)
             for r in found:
@@ -166,13 +168,6 @@ def test_cached_answers_are_the_uncached_ones(spark, built, docs, fmt, suffixes,
     assert all(v <= steps["none", True] for v in steps.values())
 
 
-def test_levels_go_down_until_nothing_repeats(docs, fmt, tokens):
-    levels, depth = cache.deep_levels(docs, fmt)
-    top = {r.depth: r.m for r in levels.groupBy("depth").agg(F.max("cnt").alias("m")).collect()}
-    assert depth == max(top) and all(top[d] >= 2 for d in top if d < depth)
-    assert depth == max(len(d) for d in tokens if tokens.count(d) > 1) or top[depth] >= 1
-
-
 def test_save_and_load(spark, built, fmt, tmp_path):
     from spanloom.config import TokenFormat
 

@@ -1,53 +1,68 @@
-"""Greedy caches without a greatest depth, and where a greatest depth binds."""
+"""Greedy caches, which have no greatest depth, against a heap."""
 
 from __future__ import annotations
 
 import heapq
 
-from spanloom.config import Caches, Settings
-from spanloom.operators import cache
-from spanloom.plans.experiment import Experiment
+import pytest
 
-TEXTS = ["a b c d e f g", "a b c d e f h", "a b c d x", "q a b", "a b c d e f g"]
+from spanloom.operators import cache, grams
+from spanloom.operators.corpus import stream_stats
 
 
-def heap_order(texts, depth=None):
-    """The keys, as tuples of words, in the order of a heap without a floor."""
+def heap_order(tokens, floor, budget, fmt):
+    """(keys in order, number of entries at the expansion of each key): windows of tokens."""
     counts = {}
-    for t in texts:
-        w = t.split()
-        for i in range(len(w)):
-            for j in range(i + 1, len(w) + 1):
-                counts[tuple(w[i:j])] = counts.get(tuple(w[i:j]), 0) + 1
-    out, heap = [], [(-10**9, 0, ())]
+    for d in tokens:
+        for i in range(len(d)):
+            for j in range(i + 1, len(d) + 1):
+                k = fmt.encode(d[i:j])
+                counts[k] = counts.get(k, 0) + 1
+    kids = {}
+    for k in sorted(counts, key=lambda k: (-counts[k], k)):
+        kids.setdefault(k[: -fmt.width], []).append(k)
+    cost = lambda k: fmt.entry_bytes(len(k) // fmt.width)
+    low = sorted((k for k in counts if len(k) <= floor * fmt.width), key=lambda k: (len(k), k))
+    out, spent, done = ["", *low], sum(map(cost, low)), {}
+    for k in out:
+        if len(k) < floor * fmt.width:
+            done[k] = sum(len(x) <= len(k) + fmt.width for x in out)
+    heap = [(-counts.get(k, 10**9), len(k), k) for k in out if len(k) == floor * fmt.width and counts.get(k, 2) >= 2]
+    heapq.heapify(heap)
     while heap:
-        _, d, k = heapq.heappop(heap)
-        if depth is not None and d == depth:
-            continue
-        kids = [x for x in counts if len(x) == d + 1 and x[:d] == k]
-        out += kids
-        for x in kids:
+        _, _, k = heapq.heappop(heap)
+        for x in kids.get(k, []):
+            if budget is not None and spent + cost(x) > budget:
+                return out, done
+            out.append(x)
+            spent += cost(x)
             if counts[x] >= 2:
-                heapq.heappush(heap, (-counts[x], d + 1, x))
-    return out
-
-
-def test_no_greedy_depth_means_none(spark, tmp_path):
-    at = str(tmp_path)
-    docs = [(i, t, "train", 0) for i, t in enumerate(TEXTS)]
-    spark.createDataFrame(docs, "doc_id bigint, text string, split string, shard int").write.parquet(f"{at}/documents.parquet")
-    spark.createDataFrame([(60,), (200,), (600,), (10**6,)], "budget bigint").write.parquet(f"{at}/budgets.parquet")
-    made, kept = {}, {}
-    for depth in (4, None):
-        x = Experiment(spark, at, Settings(caches=Caches(greedy_depth=depth)))
-        words = {r.key: r.w for r in x.vocab.selectExpr("w", "lpad(hex(tok), 2, '0') || '000000' as key").collect()}
-        spell = lambda key: tuple(words[key[i : i + 8]] for i in range(0, len(key), 8))  # noqa: E731, B023
-        rows = x.greedy(0).orderBy("entry_no").collect()
-        made[depth] = [spell(r.key) for r in rows[1:]]
-        assert sorted(made[depth]) == sorted(heap_order(TEXTS, depth))
-        assert all((r.expanded_at is not None) == (r.cnt >= 2 and r.depth != depth) for r in rows)
-        kept[depth] = {r.budget: set(made[depth][: r.entries - 1]) for r in x.limits(0).collect()}
-        if depth:
-            binds = {r.budget: r.cut_off > 0 for r in cache.cut_off(x.greedy(0), x.limits(0), 0, depth, x.fmt).collect()}
-    assert max(map(len, made[None])) == 7 and max(map(len, made[4])) == 4
-    assert binds == {b: kept[4][b] != kept[None][b] for b in kept[4]} and set(binds.values()) == {True, False}
+                heapq.heappush(heap, (-counts[x], len(x), x))
+        done[k] = len(out)
+    return out, done
+
+
+@pytest.fixture(scope="module")
+def nodes(spark, docs, fmt):
+    levels = grams.levels(grams.with_intervals(grams.suffix_counts(docs, 2, fmt)), [1, 2], fmt, 2)
+    ranks = stream_stats(docs, fmt).select("num_ranks")
+    return cache.with_parents(levels, ranks, fmt).cache(), ranks
+
+
+@pytest.mark.parametrize(("floor", "budget"), [(0, None), (2, None), (0, 900), (2, 8000), (0, 9000)])
+def test_greedy_caches_are_those_of_a_heap(docs, nodes, tokens, fmt, suffixes, floor, budget):
+    deep = cache.deeper_levels(docs, nodes[0], 2, fmt, budget)
+    rows = cache.greedy_cache(deep, nodes[1], floor, fmt, budget).orderBy("entry_no").collect()
+    keys, done = heap_order(tokens, floor, budget, fmt)
+    assert [r.key for r in rows] == keys
+    assert {r.key: r.expanded_at for r in rows if r.expanded_at is not None} == done
+    assert budget is not None or max(r.depth for r in rows) > 8
+    for r in rows[1::7]:
+        key = bytes.fromhex(r.key)
+        lo = sum(s < key for s in suffixes)
+        assert (r.lo, r.hi) == (lo, lo + sum(s.startswith(key) for s in suffixes))
+
+
+def test_a_budget_below_the_floor_is_an_error(nodes, fmt):
+    with pytest.raises(ValueError, match="allowed"):
+        cache.greedy_cache(nodes[0], nodes[1], 2, fmt, 500)
