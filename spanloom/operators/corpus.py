@@ -11,6 +11,10 @@ from spanloom.operators.prefix import numbered, running
 from spanloom.session import materialize
 
 
+#: Leading words of the vocabulary that are sent to all executors.
+HEAD_WORDS = 100_000
+
+
 def words(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with the column words: the runs of what is no space, tab, LF, CR or form feed. A null or
     blank text has none."""
@@ -28,13 +32,19 @@ def vocabulary(df: DataFrame, max_words: int | None = None) -> DataFrame:
     return ranked if max_words is None else ranked.where(F.col("tok") < max_words)
 
 
-def encode(df: DataFrame, vocab: DataFrame, fmt: TokenFormat, id_col: str = "doc_id", unknown: int | None = None) -> DataFrame:
+def encode(df: DataFrame, vocab: DataFrame, fmt: TokenFormat, id_col: str = "doc_id", unknown: int | None = None, head: int = HEAD_WORDS) -> DataFrame:
     """df with the column toks, an array of ids, in place of words. Words without an id get
-    `unknown`; where it is None they must not occur. An id from the separator on is an error."""
+    `unknown`; where it is None they must not occur. An id from the separator on is an error. The
+    words of the first `head` ids, which most occurrences belong to, are sent to all; only the
+    other occurrences are brought to their word's id, so no word's rows gather in one task."""
     at = df.select(id_col, F.posexplode("words").alias("pos", "w"))
+    common = F.broadcast(vocab.where(F.col("tok") < head).select("w", "tok"))
+    rare = vocab.where(F.col("tok") >= head).select("w", "tok")
+    rest = at.join(common, "w", "left_anti").join(rare, "w", "inner" if unknown is None else "left")
+    rows = at.join(common, "w").select(id_col, "pos", "tok").unionAll(rest.select(id_col, "pos", "tok"))
     tok = F.col("tok") if unknown is None else F.coalesce("tok", F.lit(unknown))
     checked = F.when(tok < fmt.separator, tok).otherwise(F.raise_error(F.lit(f"a token id needs more than {fmt.token_bytes} bytes")).cast("bigint"))
-    known = at.join(vocab.select("w", "tok"), "w", "inner" if unknown is None else "left").select(id_col, "pos", checked.alias("tok"))
+    known = rows.select(id_col, "pos", checked.alias("tok"))
     lists = known.groupBy(id_col).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "tok"))), lambda x: x.tok).alias("toks"))
     empty = F.array().cast("array<bigint>")
     return df.drop("words").join(lists, id_col, "left").withColumn("toks", F.coalesce("toks", empty))
@@ -60,5 +70,3 @@ def stream_stats(docs: DataFrame, fmt: TokenFormat) -> DataFrame:
     sized = size.withColumn("ds_size", F.col("num_ranks") * fmt.token_bytes)
     pointed = sized.withColumn("ptr_size", pointer_size(F.greatest(F.col("ds_size"), F.lit(1))))
     return pointed.withColumn("index_bytes", F.col("ds_size") + F.col("num_ranks") * F.col("ptr_size"))
-
-

@@ -9,16 +9,22 @@ before their continuations.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.config import TokenFormat
 from spanloom.functions.keys import prefix, token_key
-from spanloom.operators.prefix import running
+from spanloom.operators.prefix import numbered, running
 from spanloom.session import materialize
 
+#: Documents whose suffixes are put into one array; only memory depends on it.
+DOCS_AT_A_TIME = 200
+
 
 def window_counts(docs: DataFrame, k: int, fmt: TokenFormat) -> DataFrame:
     """(key, cnt): the distinct windows of k tokens inside documents. Documents of fewer tokens
@@ -69,26 +75,69 @@ def levels(intervals: DataFrame, depths: list[int], fmt: TokenFormat, cut: int)
 
 def children(parents: DataFrame, deeper: DataFrame, fmt: TokenFormat) -> DataFrame:
     """(parent_key, next_token_key, lo, hi, cnt, place): the next tokens of each prefix, the most
-    frequent first, ties in rank order. deeper: the level below the parents."""
+    frequent first, ties in rank order. deeper: the level below the parents. Places are differences
+    of one global numbering, so that a frequent prefix needs no task of its own."""
     rows = deeper.withColumn("parent_key", F.expr(f"substring(key, 1, length(key) - {fmt.width})"))
     found = rows.join(parents.select(F.col("key").alias("parent_key")), "parent_key", "left_semi")
-    order = Window.partitionBy("parent_key").orderBy(F.desc("cnt"), "lo")
-    place = F.row_number().over(order)
-    return found.select("parent_key", F.substring("key", -fmt.width, fmt.width).alias("next_token_key"), "lo", "hi", "cnt", place.alias("place"))
-
-
-def locate(counts: DataFrame, queries: DataFrame, depth: int, fmt: TokenFormat) -> DataFrame:
+    order = F.concat("parent_key", F.lit("!"), F.lpad(F.hex(F.lit(1 << 62) - F.col("cnt")), 16, "0"), F.lpad(F.hex("lo"), 16, "0"))
+    placed = numbered(materialize(found.withColumn("order", order)), "order", "number")
+    first = placed.groupBy("parent_key").agg(F.min("number").alias("first"))
+    place = (F.col("number") - F.col("first") + 1).cast("int")
+    return placed.join(first, "parent_key").select("parent_key", F.substring("key", -fmt.width, fmt.width).alias("next_token_key"), "lo", "hi", "cnt", place.alias("place"))
+
+
+def _suffix_digits(toks: list[list[int]], ended: list[bool], depth: int, fmt: TokenFormat) -> np.ndarray:
+    """The keys of all suffixes of a batch of documents, separators' included, cut after depth
+    tokens and after the first separator; ended: whether a separator follows the document."""
+    width = fmt.width
+    sizes = np.array([len(t) for t in toks], dtype=np.int64)
+    flat = np.fromiter((x for t in toks for x in t), dtype="<u8", count=int(sizes.sum()))
+    raw = flat.view(np.uint8).reshape(-1, 8)[:, : fmt.token_bytes]
+    digits = np.frombuffer(b"0123456789ABCDEF", dtype=np.uint8)
+    text = np.empty((len(flat), width), dtype=np.uint8)
+    text[:, 0::2], text[:, 1::2] = digits[raw >> 4], digits[raw & 15]
+    starts = np.cumsum(sizes + depth + 1) - (sizes + depth + 1)  # each document has room for its end
+    room = np.zeros((int((sizes + depth + 1).sum()), width), dtype=np.uint8)
+    at = np.arange(len(flat)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    room[at] = text
+    room[(starts + sizes)[np.array(ended, dtype=bool)]] = ord("F")
+    windows = np.lib.stride_tricks.sliding_window_view(room.ravel(), depth * width)[::width]
+    return np.ascontiguousarray(windows[at]).view(f"S{depth * width}").ravel()
+
+
+def locate(docs: DataFrame, queries: DataFrame, depth: int, fmt: TokenFormat) -> DataFrame:
     """(key, lo, hi) for each distinct key of queries, of up to depth tokens without separator: its
     rank interval; for an absent key lo = hi is the rank where it would be inserted, and the empty
-    key has all ranks. counts: of suffixes cut after depth tokens. Suffixes and queries are sorted
-    together; a query's interval is what the running count is before and after its continuations.
-    Null, longer and separator-holding keys have no row."""
+    key has all ranks. Null, longer and separator-holding keys have no row. The sorted keys, a
+    workload of bounded size, are sent to all; each task counts its suffixes in the gaps between
+    them, so what is shuffled are at most two numbers for each query and task."""
     wanted = queries.select("key").where(F.col("key").isNotNull() & (F.length("key") <= depth * fmt.width)).distinct()
     wanted = wanted.where(~F.exists(F.transform(F.sequence(F.lit(0), F.greatest(F.length("key") / fmt.width - 1, F.lit(0)).cast("int")), lambda i: F.substring("key", i * fmt.width + 1, F.lit(fmt.width))), lambda t: t == fmt.separator_key))
-    counts = materialize(counts)  # they are gone through several times
-    # '!' sorts before and '~' after all digits, ' ' before both
-    events = counts.select(F.concat("key", F.lit("!")).alias("at"), "cnt", F.lit(None).cast("string").alias("key"), F.lit(None).cast("boolean").alias("ends"))
-    probes = wanted.crossJoin(counts.sparkSession.createDataFrame([(" ", False), ("~", True)], "mark string, ends boolean"))
-    probes = probes.select(F.concat("key", "mark").alias("at"), F.lit(0).cast("bigint").alias("cnt"), "key", "ends")
-    summed = running(events.unionAll(probes), "at", {"rank": F.col("cnt")}, before=True).where(F.col("key").isNotNull())
-    return summed.groupBy("key").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"))
+    spark = docs.sparkSession
+    keys = sorted(r.key for r in wanted.collect())
+    # '~' sorts behind all digits: what begins with a key lies between the key and the key with it
+    marks = np.array(sorted({k.encode() for k in keys} | {k.encode() + b"~" for k in keys}), dtype=f"S{depth * fmt.width + 1}")
+    shared = spark.sparkContext.broadcast(marks)
+    last = F.broadcast(docs.agg(F.max("doc_id").alias("last")))
+    rows = docs.crossJoin(last).select((F.col("doc_id") != F.col("last")).alias("ended"), "toks")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(len(shared.value) + 1, dtype=np.int64)
+        own = np.array([fmt.separator_key.encode()], dtype=shared.value.dtype)
+        for batch in batches:
+            toks = batch.column(batch.schema.get_field_index("toks")).to_pylist()
+            ended = batch.column(batch.schema.get_field_index("ended")).to_pylist()
+            for a in range(0, len(toks), DOCS_AT_A_TIME):
+                part = _suffix_digits(toks[a : a + DOCS_AT_A_TIME], ended[a : a + DOCS_AT_A_TIME], depth, fmt)
+                found += np.bincount(np.searchsorted(shared.value, part.astype(shared.value.dtype), side="right"), minlength=len(found))
+            found[np.searchsorted(shared.value, own, side="right")[0]] += len(toks)
+        gaps = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(gaps), pa.array(found[gaps])], names=["gap", "n"])
+
+    counts = rows.mapInArrow(count, "gap bigint, n bigint").groupBy("gap").agg(F.sum("n").alias("n"))
+    upto = np.zeros(len(marks) + 1, dtype=np.int64)
+    for r in counts.collect():  # as many rows as there are marks
+        upto[r.gap] = r.n
+    upto = np.cumsum(upto)
+    at = {m.decode(): int(upto[i]) for i, m in enumerate(marks)}
+    return spark.createDataFrame([(k, at[k], at[f"{k}~"]) for k in keys], "key string, lo bigint, hi bigint")

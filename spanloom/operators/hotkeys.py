@@ -17,6 +17,8 @@ from spanloom.sources.tables import table
 
 #: Share of all lookups that makes a key hot.
 HOT_SHARE = 0.015
+#: Parts in which the values of one key are joined with the key's totals.
+SALTS = 32
 
 
 def compressed(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -40,7 +42,10 @@ def key_statistics(df: DataFrame, key: str, value: str, percentiles: tuple[float
     sums = known.groupBy("name").agg(F.sum("weight").alias("n"), F.count("v").alias("n_distinct"), mode.alias("mode"), F.min("v").alias("least"), F.max("v").alias("greatest"))
     base = ran.groupBy("name").agg(F.min(F.col("upto") - F.col("weight")).alias("base")).join(sums.select("name", "n"), "name")
     pick = [(p, f"p{p * 100:g}".replace(".", "_")) for p in percentiles]
-    reached = ran.join(base, "name").groupBy("name").agg(*(F.min(F.when(F.col("upto") - F.col("base") >= F.col("n") * p, F.col("v"))).alias(c) for p, c in pick))
+    # a key with very many values meets its totals in SALTS places
+    salted = base.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    ran = ran.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    reached = ran.join(salted, ["name", "salt"]).groupBy("name").agg(*(F.min(F.when(F.col("upto") - F.col("base") >= F.col("n") * p, F.col("v"))).alias(c) for p, c in pick))
     keys = weights.select("k", named.alias("name")).distinct()
     out = keys.join(sums.join(reached, "name"), "name", "left")
     numbers = ["n_distinct", "mode", "least", "greatest", *(c for _, c in pick)]

@@ -103,7 +103,7 @@ class Experiment:
     @property
     def located(self) -> DataFrame:
         depth = max(self.settings.workload.lengths)
-        return self._once("located", lambda: grams.locate(grams.suffix_counts(self.train, depth, self.fmt), self.queries, depth, self.fmt))
+        return self._once("located", lambda: grams.locate(self.train, self.queries, depth, self.fmt))
 
     @property
     def root_cache(self) -> DataFrame:

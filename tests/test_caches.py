@@ -151,7 +151,7 @@ def test_cached_answers_are_the_uncached_ones(spark, built, docs, fmt, suffixes,
             q = d[at : at + n] if i < 8 else [draw.choice([*flat, 999]) for _ in range(n)]
             rows.append((n, i, fmt.encode(q)))
     queries = spark.createDataFrame(rows, "length int, qid int, key string")
-    located = grams.locate(grams.suffix_counts(docs, 6, fmt), queries, 6, fmt)
+    located = grams.locate(docs, queries, 6, fmt)
     steps = {}
     for name, entries in [*built[0].items(), ("none", cache.root_cache(built[2]))]:
         n = entries.count()
