@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, fields
+from dataclasses import asdict, dataclass, field, fields
 from hashlib import sha256
 
 
@@ -44,10 +44,20 @@ class TokenFormat:
 
 @dataclass(frozen=True)
 class Shards:
-    pattern: str = "en/web-{split}.{index:07d}.json.gz"
+    """Names of shards: a format of split, index and total, the number of shards of the split."""
+
+    pattern: str = "en/web-{split}.{index:05d}-of-{total:05d}.json.gz"
+    totals: dict[str, int] = field(default_factory=dict)
+
+    def total(self, split: str) -> int:
+        if split not in self.totals:
+            raise ValueError(f"the number of shards of {split} isn't set")
+        return self.totals[split]
 
     def file_name(self, split: str, index: int) -> str:
-        return self.pattern.format(split=split, index=index)
+        if not 0 <= index < self.total(split):
+            raise ValueError(f"{split} has {self.total(split)} shards, not one of number {index}")
+        return self.pattern.format(split=split, index=index, total=self.total(split))
 
 
 @dataclass(frozen=True)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spanloom.config import TokenFormat
+from spanloom.config import Shards, TokenFormat
 
 
 def token_key(token: Column, fmt: TokenFormat) -> Column:
@@ -58,5 +60,16 @@ def speedup(baseline: Column, steps: Column) -> Column:
     return baseline / F.greatest(steps, F.lit(1e-9))
 
 
-def shard_file(split: Column, index: Column) -> Column:
-    return F.format_string("en/web-%s.%07d.json.gz", split, index.cast("int"))
+def shard_file(split: Column, index: Column, shards: Shards) -> Column:
+    """Shards.file_name as an expression; null for a split of unknown total."""
+    parts, values = "", []
+    total = F.lit(None).cast("int")
+    for name, n in shards.totals.items():
+        total = F.when(split == name, F.lit(n)).otherwise(total)
+    columns = {"split": split, "index": index.cast("int"), "total": total}
+    for text, name, kind, _ in Formatter().parse(shards.pattern):
+        parts += text.replace("%", "%%")
+        if name is not None:
+            parts += f"%{kind or ('s' if name == 'split' else 'd')}"
+            values.append(columns[name])
+    return F.when(total.isNotNull(), F.format_string(parts, *values))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.config import Shards
 from spanloom.functions import keys
 from spanloom.operators import corpus, grams, resolve
 from spanloom.operators.ranks import suffix_ranks
@@ -39,12 +40,14 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shard_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each shard holds, by name: tokens with one separator per document."""
+    """What each shard holds, by name: tokens with one separator per document. A split has as many
+    shards as its greatest number says."""
     x = Experiment(spark, sf_dir)
     at = table(spark, sf_dir, "documents").select("doc_id", "shard", split_name("split").alias("split"))
     rows = x.docs.select("doc_id", "toks").join(at.where("split is not null and shard is not null"), "doc_id")
     sums = rows.groupBy("split", "shard").agg(F.sum(F.size("toks") + 1).alias("tokens"), F.count("*").alias("documents"))
-    return sums.select(keys.shard_file(F.col("split"), F.col("shard")).alias("file_name"), "tokens", "documents")
+    totals = {r.split: r.total for r in sums.groupBy("split").agg((F.max("shard") + 1).alias("total")).collect()}  # a row for each split
+    return sums.select(keys.shard_file(F.col("split"), F.col("shard"), Shards(totals=totals)).alias("file_name"), "tokens", "documents")
 
 
 def _counts(k: int):

@@ -202,7 +202,7 @@ SQL = {
     "corpus_prefix_limit": _with(_WORDS, select="SELECT doc_id, doc_no, n_tokens FROM (SELECT doc_id, row_number() OVER o - 1 AS doc_no, len(ws) + 1 AS n_tokens, sum(len(ws) + 1) OVER o AS upto FROM words WINDOW o AS (ORDER BY doc_id)) WHERE upto <= 100000 AND doc_no < 500"),
     "doc_offsets": _with(_WORDS, select="SELECT doc_id, n AS n_tokens, (upto - n)::BIGINT AS first_rank, (4 * (upto - n))::BIGINT AS byte_offset, ((4 * upto - 1) // 4096 - (4 * (upto - n)) // 4096 + 1)::BIGINT AS pages FROM (SELECT doc_id, len(ws) + 1 AS n, (sum(len(ws) + 1) OVER (ORDER BY doc_id))::BIGINT AS upto FROM words)"),
     "corpus_stats": _with(_WORDS, _RANKS, select="SELECT (SELECT count(*) FROM train) AS documents, num_ranks, 4 * num_ranks AS ds_size, p AS ptr_size, 4 * num_ranks + num_ranks * p AS index_bytes FROM (SELECT num_ranks, (SELECT min(i) FROM range(1, 9) t(i) WHERE pow(256, i) >= 4 * num_ranks)::INT AS p FROM num)"),
-    "shard_meta": _with(_WORDS, select="SELECT printf('en/web-%s.%07d.json.gz', split, shard) AS file_name, sum(len(ws) + 1)::BIGINT AS tokens, count(*) AS documents FROM words WHERE split IS NOT NULL AND shard IS NOT NULL GROUP BY split, shard"),
+    "shard_meta": _with(_WORDS, select="SELECT printf('en/web-%s.%05d-of-%05d.json.gz', split, shard, max(shard + 1) OVER (PARTITION BY split)) AS file_name, tokens, documents FROM (SELECT split, shard, sum(len(ws) + 1)::BIGINT AS tokens, count(*) AS documents FROM words WHERE split IS NOT NULL AND shard IS NOT NULL GROUP BY split, shard)"),
     "unigram_counts": _with(_WORDS, select="SELECT key, count(*) AS cnt FROM tk GROUP BY key"),
     "bigram_counts": _with(_WORDS, select="SELECT key, count(*) AS cnt FROM (SELECT key || lead(key) OVER (PARTITION BY doc_id ORDER BY pos) AS key FROM tk) WHERE key IS NOT NULL GROUP BY key"),
     "trigram_counts": _with(_WORDS, select="SELECT key, count(*) AS cnt FROM (SELECT key || lead(key) OVER o || lead(key, 2) OVER o AS key FROM tk WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) WHERE key IS NOT NULL GROUP BY key"),

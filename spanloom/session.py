@@ -28,12 +28,15 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); where it is unset, which is
-    only so in local runs, a folder of this process that is removed at its end."""
+    """The folder all executors share (spark.checkpoint.dir); where it is unset, which may only be
+    so in local runs, a folder of this process that is removed at its end."""
     global _local_dir
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at.rstrip("/")
+    master = spark.sparkContext.master or ""
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if _local_dir is None or not os.path.isdir(_local_dir):
         _local_dir = tempfile.mkdtemp(prefix="spanloom-")
         atexit.register(shutil.rmtree, _local_dir, ignore_errors=True)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,17 +21,23 @@ def split_name(column: str) -> Column:
     return F.lower(F.expr(f"trim(BOTH ' \\t\\r\\n' FROM {column})"))
 
 
-def _state(path: str) -> tuple:
-    """What a path held when it was read: names, sizes and times of its files."""
-    if not os.path.exists(path):
+def _state(spark: SparkSession, path: str) -> tuple:
+    """What a path held when it was read, in any file system: names, sizes and times of its files."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
         return (path,)
-    files = [path] if os.path.isfile(path) else [os.path.join(d, f) for d, _, names in os.walk(path) for f in names]
-    return tuple((f, os.stat(f).st_size, os.stat(f).st_mtime_ns) for f in sorted(files))
+    files, found = fs.listFiles(at, True), []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def once(spark: SparkSession, sf_dir: str, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table that build makes, written once for each session and state of the source table."""
-    key = (spark.sparkContext.applicationId, name, _state(f"{sf_dir}/{source}.parquet"))
+    key = (spark.sparkContext.applicationId, name, _state(spark, f"{sf_dir}/{source}.parquet"))
     if key not in _kept:
         _kept[key] = materialize(build())
     return _kept[key]

@@ -27,7 +27,7 @@ def tokens() -> list[list[int]]:
     """40 documents of up to 30 tokens, ids above 255 among them; an empty document, one shorter
     than a window, and two copies."""
     draw = random.Random(0)
-    ids = [*range(10), 256, 257, 512]
+    ids = [*range(9), 255, 258, 513, 4096]
     docs = [[draw.choice(ids) for _ in range(draw.randint(3, 30))] for _ in range(36)]
     return [docs[0], [], [7], *docs[1:20], docs[4], *docs[20:], docs[4]]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import random
 from dataclasses import asdict
@@ -68,8 +69,10 @@ def test_keys(spark):
 
 def test_labels(spark):
     assert [labels.format_bytes(v) for v in (0, 999, 1500, 24_887_018, 1e9, 5e15)] == ["0 B", "999 B", "1.5 KB", "24.9 MB", "1 GB", "5e+03 TB"]
-    assert labels.log_ticks(1, 25) == [1, 2, 5, 10, 20] and labels.log_ticks(5, 1) == []
-    assert labels.served_from_memory(0.004) and not labels.served_from_memory(0.005)
+    ranges = spark.createDataFrame([(1.0, 25.0), (5.0, 1.0), (0.0, 3.0), (0.03, 0.3)], "a double, b double")
+    ticks = [[round(t, 9) for t in r[0]] for r in ranges.select(labels.log_ticks(F.col("a"), F.col("b"))).collect()]
+    assert ticks == [[1, 2, 5, 10, 20], [], [], [0.05, 0.1, 0.2]]
+    assert [r[0] for r in spark.createDataFrame([(0.004,), (0.005,)], "ms double").select(labels.served_from_memory(F.col("ms"))).collect()] == [True, False]
     names = spark.range(1, 5).select(keys.depth_name(F.col("id")), keys.greedy_label(F.col("id") - 1)).collect()
     assert [r[0] for r in names] == ["unigram", "bigram", "trigram", "4-gram"]
     assert names[0][1] == "greedy" and names[2][1] == "greedy, all up to bigram"
@@ -91,13 +94,23 @@ def test_settings(tmp_path):
 
 
 def test_shards_come_back_in_order(spark, tmp_path):
+    named = config.Shards(totals={"train": 12})
     rows = [(i, f"text {i}" if i % 5 else None, i % 3) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, shard int")
-    shards.write_shards(df, str(tmp_path), "train")
-    got = shards.read_shards(spark, str(tmp_path), "train", [2, 0]).orderBy("doc_id").collect()
+    shards.write_shards(df.repartition(5), str(tmp_path), "train", named)
+    assert sorted(p.name for p in (tmp_path / "en").iterdir()) == [f"web-train.0000{i}-of-00012.json.gz" for i in range(3)]
+    got = shards.read_shards(spark, str(tmp_path), "train", [2, 0], named).orderBy("doc_id").collect()
     assert [r.text for r in got] == [t for s in (2, 0) for _, t, k in rows if k == s]
     assert [r.doc_id for r in got] == list(range(20))
-    assert shards.read_shards(spark, str(tmp_path), "train", []).count() == 0
+    assert shards.read_shards(spark, str(tmp_path), "train", [], named).count() == 0
+    with pytest.raises(ValueError):
+        named.file_name("train", 12)
+    with pytest.raises(ValueError):
+        named.file_name("test", 0)
+    flat = tmp_path / "flat" / named.file_name("train", 7)
+    flat.parent.mkdir(parents=True)
+    flat.write_bytes(gzip.compress(b'{"text": "one"}\n{"text": "two"}\n'))
+    assert [r.text for r in shards.read_shards(spark, str(tmp_path / "flat"), "train", [7], named).orderBy("doc_id").collect()] == ["one", "two"]
 
 
 HITS = "lookup_id bigint, key string, lo bigint, hi bigint, arrived_at timestamp, weight int"
