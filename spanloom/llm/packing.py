@@ -4,17 +4,16 @@ Items are dealt into groups of about GROUP_WINDOWS containers' worth each, by a
 In a group every item starts as a partial partition of its own into k windows. The two partial
 partitions with the largest differences between their windows are merged again and again, the
 fullest windows of the one with the emptiest of the other, so that their imbalances cancel; at the
-end one partition with nearly equal windows is left. Where a window exceeds the capacity, its items
-change places with smaller ones of windows that have room for the difference; windows that are
-still too full, or far from full, are opened again and filled with their items from the largest
-down, and the window count rises where an item fits nowhere. Of a few starting numbers k, the least
-possible one first, the best is taken. An item longer than the capacity is
-cut into full pieces, each a container of its own, and a rest, which is an item like others.
+end one partition with nearly equal windows is left. Where windows exceed the capacity, one or two
+of their items change places with up to two lesser ones of another window, as long as the total
+excess falls. Where some is left, the window count rises and the items are differenced anew; the
+first count is the least possible one. So every item lies where differencing and its exchanges
+put it. An item longer than the capacity is cut into full pieces, each a container of its own, and a
+rest, which is an item like others.
 """
 
 from __future__ import annotations
 
-import bisect
 import heapq
 
 import numpy as np
@@ -28,10 +27,10 @@ from spanloom.session import materialize
 
 #: Containers that a group of items would fill; a larger group leaves less unused space at its end.
 GROUP_WINDOWS = 256
-#: Shares by which the number of windows rises over the least possible one.
-RISES = (0.0, 0.01, 0.02)
-#: Windows emptier than this are opened again.
-NEARLY_FULL = 0.985
+#: Windows' worth of excess for which the number of windows rises by one.
+RISE = 4
+#: Above this many pairs of items of one window only single items change places.
+MOST_PAIRS = 400_000
 #: Items of a group at most, on average.
 GROUP_ITEMS = 20_000
 
@@ -81,83 +80,72 @@ def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows_for(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
-    """(window of each item, number of windows) with no window above capacity."""
+    """(window of each item, number of windows) with no window above capacity. No item may be."""
     if not len(sizes):
         return np.zeros(0, dtype=np.int64), 0
-    least = max(1, -(-int(sizes.sum()) // capacity), int((2 * sizes > capacity).sum()))
-    best = None
-    for more in RISES:
-        k = min(len(sizes), least + int(least * more))
+    k = max(1, -(-int(sizes.sum()) // capacity), int((2 * sizes > capacity).sum()))
+    while True:
         window, sums = differencing(sizes, k)
-        _evened(sizes, window, sums, capacity)
-        n = _repacked(sizes, window, sums, capacity)
-        if best is None or n < best[1]:
-            best = (window, n)
-        if best[1] <= k:
+        excess = _evened(sizes, window, sums, capacity)
+        if not excess:
+            return window, k
+        k = min(len(sizes), k + -(-excess // (RISE * capacity)))
+
+
+def _takes(rows: np.ndarray, sizes: np.ndarray, window: np.ndarray, two: bool) -> tuple[np.ndarray, ...]:
+    """(window, size, item, item or -1): the items of rows, with two also the pairs of one window."""
+    order = rows[np.argsort(window[rows], kind="stable")]
+    at = window[order]
+    found = [(at, sizes[order], order, np.full(len(order), -1))]
+    apart = 1
+    while two and apart < len(at):
+        i = np.flatnonzero(at[apart:] == at[:-apart])
+        if not len(i):
             break
-    return best
-
-
-def _repacked(sizes: np.ndarray, window: np.ndarray, sums: np.ndarray, capacity: int) -> int:
-    """Open the windows above the capacity again, and those that differencing left emptier than
-    NEARLY_FULL; their items go, the largest first, to the fullest of these windows that can take
-    them, and the window count rises where none can. Changes window; the number of windows."""
-    keep = (sums <= capacity) & (sums >= NEARLY_FULL * capacity)
-    number = np.cumsum(keep) - 1
-    n = int(keep.sum())
-    loose = np.flatnonzero(~keep[window])
-    window[keep[window]] = number[window[keep[window]]]
-    room: list[tuple[int, int]] = []
-    for i in loose[np.argsort(-sizes[loose], kind="stable")].tolist():
-        size = int(sizes[i])
-        at = bisect.bisect_left(room, (size, -1))
-        if at < len(room):
-            left, w = room.pop(at)
-        else:
-            left, w = capacity, n
-            n += 1
-        window[i] = w
-        bisect.insort(room, (left - size, w))
-    return n
+        x, y = order[i], order[i + apart]
+        found.append((at[i], sizes[x] + sizes[y], x, y))
+        apart += 1
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def _evened(sizes: np.ndarray, window: np.ndarray, sums: np.ndarray, capacity: int) -> int:
-    """Level out what differencing left above the capacity: an item of a too full window changes
-    places with a smaller one, or with nothing, of a window that has room for the difference, the
-    pair whose difference comes nearest to the excess. The excess falls with each exchange, so it
-    ends; what is left of it is returned. Changes window and sums."""
-    for w in np.argsort(-sums, kind="stable").tolist():
-        while sums[w] > capacity:
-            excess = int(sums[w] - capacity)
-            room = capacity - sums
-            open_ = np.flatnonzero(room > 0)
-            if not len(open_):
-                break
-            # what can be taken in exchange: nothing, or an item of a window with room
-            items = np.flatnonzero(room[window] > 0)
-            back = np.concatenate([np.full(len(open_), -1), items])
-            size = np.concatenate([np.zeros(len(open_), dtype=np.int64), sizes[items]])
-            at = np.concatenate([open_, window[items]])
-            best = None
-            for i in np.flatnonzero(window == w).tolist():
-                less = sizes[i] - size
-                fits = np.flatnonzero((less > 0) & (less <= room[at]))
-                if len(fits):
-                    miss = np.where(less[fits] >= excess, less[fits] - excess, (excess - less[fits]) + capacity)
-                    c = int(miss.argmin())
-                    if best is None or miss[c] < best[0]:
-                        best = (int(miss[c]), i, int(fits[c]))
-            if best is None:
+    """Level out what differencing left above the capacity: one or two items of the fullest window
+    change places with none, one or two of a window with room, in the way that leaves the least
+    total excess. The excess falls with each exchange, so it ends; what is left of it is returned.
+    Changes window and sums."""
+    stuck: set[int] = set()
+    while True:
+        over = [w for w in np.flatnonzero(sums > capacity).tolist() if w not in stuck]
+        if not over:
+            return int(np.maximum(sums - capacity, 0).sum())
+        w = max(over, key=lambda x: sums[x])
+        excess, room, best = int(sums[w] - capacity), capacity - sums, None
+        open_ = np.flatnonzero(room > 0)
+        per_window = np.bincount(window, minlength=len(sums)).astype(np.int64)
+        for two in (False, True):
+            if two and (per_window**2).sum() > MOST_PAIRS:
+                break  # among so many items single ones fit
+            at, size, x, y = _takes(np.flatnonzero(room[window] > 0), sizes, window, two)
+            # what can be taken in exchange may also be nothing
+            at, size = np.concatenate([at, open_]), np.concatenate([size, np.zeros(len(open_), dtype=size.dtype)])
+            x, y = (np.concatenate([c, np.full(len(open_), -1)]) for c in (x, y))
+            _, own, u, v = _takes(np.flatnonzero(window == w), sizes, window, two)
+            for i in range(len(own)):
+                less = own[i] - size
+                left = np.where(less > 0, np.maximum(excess - less, 0) + np.maximum(less - room[at], 0), excess)
+                c = int(left.argmin()) if len(left) else -1
+                if c >= 0 and left[c] < (best[0] if best else excess):
+                    best = (int(left[c]), int(at[c]), int(less[c]), (int(u[i]), int(v[i])), (int(x[c]), int(y[c])))
+            if best and best[0] == 0:
                 break
-            _, i, c = best
-            to = int(at[c])
-            less = int(sizes[i] - size[c])
-            window[i] = to
-            if back[c] >= 0:
-                window[back[c]] = w
-            sums[w] -= less
-            sums[to] += less
-    return int(np.maximum(sums - capacity, 0).sum())
+        if best is None:
+            stuck.add(w)
+            continue
+        _, to, less, gone, back = best
+        window[[i for i in gone if i >= 0]] = to
+        window[[i for i in back if i >= 0]] = w
+        sums[w] -= less
+        sums[to] += less
 
 
 def fill_containers(sizes: DataFrame, capacities: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens") -> DataFrame:
