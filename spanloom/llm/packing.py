@@ -29,6 +29,8 @@ from spanloom.session import materialize
 GROUP_WINDOWS = 256
 #: Windows' worth of excess for which the number of windows rises by one.
 RISE = 4
+#: Windows, those with the most room, whose pairs of items are tried.
+WIDEST = 32
 #: Above this many pairs of items of one window only single items change places.
 MOST_PAIRS = 400_000
 #: Items of a group at most, on average.
@@ -125,7 +127,8 @@ def _evened(sizes: np.ndarray, window: np.ndarray, sums: np.ndarray, capacity: i
         for two in (False, True):
             if two and (per_window**2).sum() > MOST_PAIRS:
                 break  # among so many items single ones fit
-            at, size, x, y = _takes(np.flatnonzero(room[window] > 0), sizes, window, two)
+            wide = room > (np.partition(room, -WIDEST)[-WIDEST] - 1 if two and len(room) > WIDEST else 0)
+            at, size, x, y = _takes(np.flatnonzero((wide & (room > 0))[window]), sizes, window, two)
             # what can be taken in exchange may also be nothing
             at, size = np.concatenate([at, open_]), np.concatenate([size, np.zeros(len(open_), dtype=size.dtype)])
             x, y = (np.concatenate([c, np.full(len(open_), -1)]) for c in (x, y))

@@ -1,13 +1,19 @@
 """Encoding texts with a public byte-level BPE tokenizer through a tokenization automaton.
 
-The automaton runs over tokens: an arc x -> y says that y may follow x in the output of the
+The automaton's states are tokens: an arc x -> y says that y may follow x in the output of the
 merges. It starts as one state with an arc for every byte. Each merge (u, v) -> w adds one
 gadget: a state for w that leaves as v's state leaves, an arc for w into every state that u's
-arc came from, and it removes the arc from u to v. All gadgets are added in the order of
-the merges, so a word has exactly one accepted path, which is its encoding. As every gadget
-copies one row and one column and clears one cell, an arc's presence follows from the gadgets
-of its two ends alone; rows are filled on first use and kept in a table, which the encoder
-then follows. Decoding is writing the arcs' labels one after another.
+arc came from, and it removes the arc from u to v. The gadgets are added one after another, in the
+order of the merges, to the table of states, where a state is found by the bytes of its arcs' label
+from the last one back; a gadget whose arc from u to v is closed by then makes no state, as its token
+never comes out. A sequence of tokens is an encoding if each arc between two neighbours is open, and
+every string of bytes has exactly one. So there is one last token for each beginning of a word, and
+encoding goes through a word once, from state to state by the table, without a choice and without
+going back. Decoding is writing the arcs' labels one after another.
+
+As every gadget copies one row and one column of the arcs and clears one cell, an arc's presence
+follows from the gadgets of its two ends; the matrix of all pairs of tokens, which would have
+billions of cells, isn't written out, but an arc that was once asked for is kept.
 """
 
 from __future__ import annotations
@@ -43,22 +49,36 @@ class TokenAutomaton:
     """See the module's text. vocabulary: bytes -> id; merges: pairs of bytes in order."""
 
     def __init__(self, vocabulary: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
-        self.ids = vocabulary
         self.label = {i: b for b, i in vocabulary.items()}
         self.born: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.gadget: dict[tuple[int, int], int] = {}
+        self.arcs: dict[tuple[int, int], bool] = {}
+        #: next node by (node, byte), from the end of a label back; node 0 is the root
+        self.back: dict[int, int] = {}
+        self.state: list[int] = [-1]  # the token whose label leads to a node, or -1
+        for b, i in vocabulary.items():
+            if len(b) == 1:
+                self._add_state(b, i)
+        made = {i for b, i in vocabulary.items() if len(b) == 1}
         for time, (u, v) in enumerate(merges):
             a, b, w = vocabulary[u], vocabulary[v], vocabulary[u + v]
-            self.gadget.setdefault((a, b), time)
             if w not in self.born:
                 self.born[w], self.parts[w] = time, (a, b)
-        self.arcs: dict[tuple[int, int], bool] = {}
-        self.sound: dict[int, bool] = {}
-        self.longest: dict[bytes, int] = {}
-        for b in vocabulary:
-            for head in (b[:1], b[:2]):
-                self.longest[head] = max(self.longest.get(head, 1), len(b))
+                if a in made and b in made and self._open(a, b, time):
+                    made.add(w)
+                    self._add_state(u + v, w)
+            self.gadget.setdefault((a, b), time)
+
+    def _add_state(self, label: bytes, token: int) -> None:
+        node = 0
+        for byte in reversed(label):
+            at = node << 8 | byte
+            node = self.back.get(at, 0)
+            if not node:
+                node = self.back[at] = len(self.state)
+                self.state.append(-1)
+        self.state[node] = token
 
     def _open(self, x: int, y: int, horizon: float) -> bool:
         """Whether no gadget added before horizon removed the arc from x to y."""
@@ -82,51 +102,31 @@ class TokenAutomaton:
             found = self.arcs[x, y] = self._open(x, y, float("inf"))
         return found
 
-    def reachable(self, w: int) -> bool:
-        """Whether the merges make w out of its own bytes."""
-        found = self.sound.get(w)
-        if found is None:
-            if w not in self.parts:
-                found = len(self.label[w]) == 1
-            else:
-                u, v = self.parts[w]
-                found = self.reachable(u) and self.reachable(v) and self._open(u, v, self.born[w])
-            self.sound[w] = found
-        return found
-
     def encode(self, word: bytes) -> list[int]:
-        """The one path whose labels spell word. A position that was left without success can
-        lie on no path, as the path to it is the only one; so the work is linear."""
-        n, ids, longest = len(word), self.ids, self.longest
-        whole = ids.get(word)
-        if whole is not None and self.reachable(whole):
-            return [whole]
-        path: list[int] = []
-        ends = [0]
-        tried = [min(n, longest.get(word[:2], 1))]
-        dead: set[int] = set()
-        while ends[-1] < n:
-            at, size = ends[-1], tried[-1]
-            step = None
-            while size > 0:
-                if at + size not in dead:
-                    y = ids.get(word[at : at + size])
-                    if y is not None and self.reachable(y) and (not path or self.arc(path[-1], y)):
-                        step = y
+        """The one path whose labels spell word."""
+        back, state, arcs, label = self.back, self.state, self.arcs, self.label
+        last = [-1] * (len(word) + 1)  # the last token of each beginning of the word
+        for end in range(1, len(word) + 1):
+            node, at = 0, end
+            while at:
+                node = back.get(node << 8 | word[at - 1])
+                if not node:
+                    break
+                at -= 1
+                token = state[node]
+                if token >= 0:
+                    before = last[at]
+                    if not at or (before >= 0 and (arcs[before, token] if (before, token) in arcs else self.arc(before, token))):
+                        last[end] = token
                         break
-                size -= 1
-            if step is None:
-                if not path:
-                    raise ValueError("the vocabulary lacks a byte")
-                dead.add(ends.pop())
-                tried.pop()
-                tried[-1] = len(self.label[path.pop()]) - 1
-            else:
-                path.append(step)
-                tried[-1] = size
-                ends.append(at + size)
-                tried.append(min(n - at - size, longest.get(word[at + size : at + size + 2], 1)))
-        return path
+            if last[end] < 0:
+                raise ValueError("the vocabulary lacks a byte")
+        path: list[int] = []
+        at = len(word)
+        while at:
+            path.append(last[at])
+            at -= len(label[last[at]])
+        return path[::-1]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.label.__getitem__, ids))
