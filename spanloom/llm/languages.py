@@ -1,17 +1,18 @@
 """The languages of texts and of their parts, by error-correcting output codes.
 
 Every language has a codeword of BITS bits, chosen so that any two differ in many. For each bit a
-binary classifier over the character n-grams of words tells its two groups of languages apart
-(smoothed log odds of the n-grams in clean labelled samples). The margins of a word's n-grams add
+binary classifier over the character runs of words tells its two groups of languages apart
+(smoothed log odds of the runs in clean labelled samples). The margins of a word's runs add
 up, so a word has a margin for each bit, and so has every stretch of words. Decoding weights the
 loss of each bit by how reliable its classifier was on the samples, and takes the codeword with the
 least loss; what the second best loses more is the confidence, and below AMBIGUOUS it is flagged.
 
 A text is first held in windows: where all windows speak for one language, it is written in that
 language. Otherwise the best sequence of languages over its words is found (a change of language
-costs CHANGE words' worth of evidence), which cuts it into segments. A segment counts as written in
-its language from LONG words on, if its margins are those of a language at all; letters of no known
-n-gram speak for no language, so noise and unknown scripts end up with none.
+costs CHANGE words' worth of evidence), which cuts it into segments. One of the states is no
+language: numbers, names and unknown scripts, whose characters speak for none, are cut off by it
+from a stretch beside them, and each stretch is judged by its own words. A segment counts as written
+in its language from LONG words on, if its margins are those of a language at all.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from spanloom.llm.text import U64, chunks, mix, named, piece_class, windows, wor
 
 BITS = 15
 GRAMS = (1, 2, 3, 4)
-#: Slots of the hashed n-grams; with BITS floats each, this bounds the model.
+#: Slots of the hashed runs; with BITS floats each, this bounds the model.
 SLOTS = 1 << 16
 #: Labelled samples that the classifiers are fitted on at most: the first by the hash of their id.
 MAX_SAMPLES = 20_000
@@ -38,6 +39,8 @@ WINDOW = 6
 CHANGE = 4.0
 #: Share of the usual evidence per word that a segment must have to be in a language at all.
 LEAST_EVIDENCE = 0.35
+#: Share of the usual evidence below which a window speaks for no language.
+SILENT = 0.15
 AMBIGUOUS = 0.9
 KEPT_WORDS = 150_000
 
@@ -64,7 +67,7 @@ def codewords(n: int, bits: int = BITS, seed: int = 7) -> np.ndarray:
 
 
 def gram_slots(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(word number, slot) of the n-grams of each word with its ends marked, in order of word."""
+    """(word number, slot) of the character runs of each word with its ends marked, in order of word."""
     joined = "".join(f"\x02{w}\x03" for w in words)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(U64)
     sizes = np.fromiter((len(w) + 2 for w in words), dtype=np.int64, count=len(words))
@@ -89,7 +92,7 @@ def bare(word: str) -> str:
         a += 1
     while b > a and not w[b - 1].isalpha():
         b -= 1
-    return w[a:b] if b - a <= 40 else w[a : a + 40]
+    return w[a:b]
 
 
 @dataclass
@@ -238,7 +241,9 @@ def segments_of(model: Model, words: _Words, texts: list[str]) -> tuple[np.ndarr
     sizes = np.diff(bounds)
     whole = (run[bounds[1:]] - run[bounds[:-1]]).argmax(axis=1)
     width = min(WINDOW, len(evidence))
-    in_window = (run[width:] - run[:-width]).argmax(axis=1)
+    in_window = run[width:] - run[:-width]
+    loud = in_window.max(axis=1) >= SILENT * width * float(model.usual.mean())
+    in_window = np.where(loud, in_window.argmax(axis=1), -1)
     valid = text[: len(in_window)] == text[width - 1 :]
     differs = np.zeros(len(in_window), dtype=bool)
     differs[valid] = in_window[valid] != whole[text[: len(in_window)]][valid]
@@ -249,7 +254,9 @@ def segments_of(model: Model, words: _Words, texts: list[str]) -> tuple[np.ndarr
         at = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in rows])
         own = np.zeros(len(rows) + 1, dtype=np.int64)
         np.cumsum(sizes[rows], out=own[1:])
-        spoken[at] = best_sequences(evidence[at].astype(np.float32), own, CHANGE * float(model.usual.mean()))
+        none = np.full((len(at), 1), LEAST_EVIDENCE * float(model.usual.mean()))
+        states = np.concatenate([evidence[at], none], axis=1).astype(np.float32)
+        spoken[at] = best_sequences(states, own, CHANGE * float(model.usual.mean()))
     new = np.r_[True, (spoken[1:] != spoken[:-1]) | (text[1:] != text[:-1])] if len(spoken) else np.zeros(0, dtype=bool)
     first = np.flatnonzero(new)
     count = np.diff(np.r_[first, len(spoken)])
@@ -258,7 +265,7 @@ def segments_of(model: Model, words: _Words, texts: list[str]) -> tuple[np.ndarr
     mean = (msum[first + count] - msum[first]) / count[:, None]
     best, sure = model.decode(mean)
     strength = model.evidence(mean)[np.arange(len(best)), best] / model.usual[best]
-    lang = np.where(strength >= LEAST_EVIDENCE, best, -1)
+    lang = np.where((strength >= LEAST_EVIDENCE) & (spoken[first] < len(model.langs)), best, -1)
     return text[first], first - bounds[text[first]], count, lang, np.where(lang >= 0, sure, 0.0)
 
 

@@ -63,3 +63,18 @@ def test_stated(spark):
     given = {"en": "en", " EN-gb": "en", "English": "en", "dut": "nl", "nld_BE": "nl", "zh": None, "": None, "mul": None, "e n": None, "fre": "fr"}
     rows = spark.createDataFrame([(k,) for k in given], "l string").select("l", L.stated(F.col("l")).alias("s")).collect()
     assert {r.l: r.s for r in rows} == given
+
+
+def test_numbers_and_foreign_scripts_take_no_part_in_a_stretch(spark, model, samples):
+    by = {}
+    for lang, text in samples[1::2]:
+        by.setdefault(lang, []).extend(text.split())
+    say = lambda lang, n: " ".join(by[lang][:n])
+    rows = [
+        (1, say("de", 22) + " 17" * 80, None),  # a stretch that long is one, whatever stands beside it
+        (2, "17 " * 80 + say("fr", 22) + " 한국어" * 80, "xx"),
+        (3, "4 5 6 " * 30 + say("it", 5) + " 7 8 9" * 30, None),  # numbers don't make a stretch of a quotation
+        (4, say("es", 30) + " " + "x" * 100_000 + " " + say("es", 30), "en"),
+    ]
+    got = sorted(map(tuple, L.wrong_labels(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), model).collect()))
+    assert got == [(1, "de"), (2, "fr"), (4, "es")]
