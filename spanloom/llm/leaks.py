@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.tables import heldout_splits, split_name, table
-from spanloom.llm.text import U64, chunks, plain_words, windows
+from spanloom.llm.text import U64, chunks, mix, plain_words, windows
+from spanloom.session import materialize
 
 #: Consecutive plain words of a passage that make a leak.
 MIN_WORDS = 12
@@ -100,7 +101,11 @@ def search(names: np.ndarray, bounds: np.ndarray, p: Passages) -> list[np.ndarra
     rows = np.flatnonzero(begins)
     if not len(rows):
         return none
-    rows = rows[np.lexsort([levels[k][rows] for k in reversed(LEVELS)])]  # the suffix array
+    first = np.repeat(bounds[:-1], np.diff(bounds))  # where the text of each word starts
+    ahead = np.zeros(len(names), dtype=U64)  # the word before each one in its text
+    ahead[1:] = names[:-1]
+    ahead[np.arange(len(names)) == first] = 0
+    rows = rows[np.lexsort([ahead[rows], *(levels[k][rows] for k in reversed(LEVELS))])]  # the suffix array
     q = np.arange(len(p.start))
     lo, hi = np.zeros(len(q), dtype=np.int64), np.full(len(q), len(rows), dtype=np.int64)
     done = []
@@ -108,9 +113,17 @@ def search(names: np.ndarray, bounds: np.ndarray, p: Passages) -> list[np.ndarra
     for k in (*LEVELS, None):
         stop = p.need[q] < k if k else np.ones(len(q), dtype=bool)
         if stop.any():
-            size = (hi - lo)[stop]
-            mine = np.repeat(q[stop], size)
-            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo[stop], size)
+            begin, end, own = lo[stop], hi[stop], q[stop]
+            if k is None:
+                # what stands behind the same word as the suffix belongs to a longer match: left out
+                # here already, as passages of one repeated word have very many such pairs
+                inner = np.flatnonzero(p.offset[own] > 0)
+                same, after = end.copy(), end.copy()
+                same[inner], after[inner] = _narrow(ahead[rows], begin[inner], end[inner], p.names[p.start[own[inner]] - 1])
+                begin, end, own = np.concatenate([begin, after]), np.concatenate([same, end]), np.concatenate([own, own])
+            size = end - begin
+            mine = np.repeat(own, size)
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
             at = rows[at]
             need = p.need[mine]
             ok = left[at] >= need
@@ -129,7 +142,6 @@ def search(names: np.ndarray, bounds: np.ndarray, p: Passages) -> list[np.ndarra
     if not done:
         return none
     mine, at = (np.concatenate(x) for x in zip(*done))
-    first = np.repeat(bounds[:-1], np.diff(bounds))  # where the text of each word starts
     before = (p.offset[mine] > 0) & (at > first[at]) if len(at) else np.zeros(0, dtype=bool)
     before[before] = p.names[p.start[mine[before]] - 1] == names[at[before] - 1]
     mine, at = mine[~before], at[~before]
@@ -151,8 +163,6 @@ def _levels_at(p: Passages, mine: np.ndarray, tail: np.ndarray, depth: int) -> n
     for j in range(depth):
         out *= U64(0x9E3779B97F4A7C15)
         out += p.names[np.minimum(at + j, len(p.names) - 1)]
-    from spanloom.llm.text import mix
-
     return mix(out)
 
 
@@ -160,7 +170,8 @@ def find_leaks(corpus: DataFrame, items: DataFrame, corpus_id: str = "doc_id", i
     """(item_id, doc_id, item_word, doc_word, n_words): every longest run of at least min_words
     plain words that an item and a document share; for a shorter item all its words. Null and
     wordless items and documents match nothing; repeated rows give repeated matches. The items
-    are searched in blocks of block_chars characters."""
+    are searched in blocks of block_chars characters, one after the other; the matches of a block
+    are written before the next one is fetched."""
     spark = corpus.sparkSession
     known = items.select(F.col(item_id).cast("bigint").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null")
     total = known.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -196,7 +207,8 @@ def find_leaks(corpus: DataFrame, items: DataFrame, corpus_id: str = "doc_id", i
                     docs, names, sizes, held = [], [], [], 0
             yield flush()
 
-        found.append(rows.mapInArrow(run, "item bigint, doc bigint, item_word bigint, doc_word bigint, n_words bigint"))
+        found.append(materialize(rows.mapInArrow(run, "item bigint, doc bigint, item_word bigint, doc_word bigint, n_words bigint")))
+        shared.destroy()
     return reduce(DataFrame.unionAll, found).withColumnsRenamed({"item": item_id, "doc": corpus_id})
 
 

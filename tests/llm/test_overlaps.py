@@ -187,3 +187,13 @@ def test_leaks(spark, docs, rows):
     assert {r.doc_id for r in left.collect()} == {r[0] for r in rows} - {d for _, d in want if d is not None}
     assert leaks.find_leaks(docs.limit(0), table).count() == 0
     assert leaks.find_leaks(docs, table.limit(0)).count() == 0
+
+
+def test_leaks_of_repeated_words(spark):
+    items = spark.createDataFrame([(1, "la " * 300), (2, "x y " * 50), (3, "a " * 30 + "b")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "go " + "la " * 2000 + "x y " * 9), (2, "a " * 20 + "b"), (3, "la la")], "doc_id bigint, text string")
+    found = {tuple(r) for r in leaks.find_leaks(docs, items).collect()}
+    whole = {r for r in found if r[0] == 1 and r[2] == 0}
+    assert {r[:2] for r in found} == {(1, 1), (2, 1), (3, 2)}
+    assert len(whole) == 1989 and max(r[4] for r in whole) == 300
+    assert (3, 2, 10, 0, 21) in found and (2, 1, 0, 2001, 18) in found
