@@ -29,8 +29,10 @@ from spanloom.session import materialize
 GROUP_WINDOWS = 256
 #: Windows' worth of excess for which the number of windows rises by one.
 RISE = 4
+#: Windows' worth of excess up to which pairs of items are tried.
+NEARLY = 0.25
 #: Windows, those with the most room, whose pairs of items are tried.
-WIDEST = 32
+WIDEST = 24
 #: Above this many pairs of items of one window only single items change places.
 MOST_PAIRS = 400_000
 #: Items of a group at most, on average.
@@ -88,7 +90,9 @@ def windows_for(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     k = max(1, -(-int(sizes.sum()) // capacity), int((2 * sizes > capacity).sum()))
     while True:
         window, sums = differencing(sizes, k)
-        excess = _evened(sizes, window, sums, capacity)
+        excess = _evened(sizes, window, sums, capacity, False)
+        if 0 < excess <= NEARLY * capacity:
+            excess = _evened(sizes, window, sums, capacity, True)
         if not excess:
             return window, k
         k = min(len(sizes), k + -(-excess // (RISE * capacity)))
@@ -110,10 +114,10 @@ def _takes(rows: np.ndarray, sizes: np.ndarray, window: np.ndarray, two: bool) -
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def _evened(sizes: np.ndarray, window: np.ndarray, sums: np.ndarray, capacity: int) -> int:
-    """Level out what differencing left above the capacity: one or two items of the fullest window
-    change places with none, one or two of a window with room, in the way that leaves the least
-    total excess. The excess falls with each exchange, so it ends; what is left of it is returned.
+def _evened(sizes: np.ndarray, window: np.ndarray, sums: np.ndarray, capacity: int, pairs: bool) -> int:
+    """Level out what differencing left above the capacity: an item of the fullest window (with
+    pairs: one or two) changes places with none or one (or two) of a window with room, in the way
+    that leaves the least total excess. The excess falls with each exchange, so it ends; what is left of it is returned.
     Changes window and sums."""
     stuck: set[int] = set()
     while True:
@@ -123,9 +127,8 @@ def _evened(sizes: np.ndarray, window: np.ndarray, sums: np.ndarray, capacity: i
         w = max(over, key=lambda x: sums[x])
         excess, room, best = int(sums[w] - capacity), capacity - sums, None
         open_ = np.flatnonzero(room > 0)
-        per_window = np.bincount(window, minlength=len(sums)).astype(np.int64)
-        for two in (False, True):
-            if two and (per_window**2).sum() > MOST_PAIRS:
+        for two in (False, True) if pairs else (False,):
+            if two and (np.bincount(window).astype(np.int64) ** 2).sum() > MOST_PAIRS:
                 break  # among so many items single ones fit
             wide = room > (np.partition(room, -WIDEST)[-WIDEST] - 1 if two and len(room) > WIDEST else 0)
             at, size, x, y = _takes(np.flatnonzero((wide & (room > 0))[window]), sizes, window, two)
