@@ -10,9 +10,13 @@ Not every suffix is needed. Texts of a similarity of 0.6 have so many runs of th
 that they share one of the rarest 40 % of the runs of each (all runs being in one order, the rare
 ones by name, then those that many documents hold, by count). So the array holds the suffixes that
 begin with one of the rarest 43 % of its text's distinct runs, and no others; this loses no pair.
-By their places in that order it is known how many spans a pair must share within what the array
-holds, which excludes nearly all others before their texts are fetched; of the rest the exact
-similarity is computed from the whole texts, and the coverage by their shared spans.
+Suffixes meet only if the parities of their texts' runs don't rule the similarity out, as a run in
+one text alone changes one parity at most: what else shares a span, a number that grows with the
+square of the collection, is dropped where it is met and goes nowhere. By their places in that order
+it is known how many spans a pair must share within what the array holds, which excludes nearly all
+others before their texts are fetched; of the rest the exact similarity is computed from the whole
+texts, and the coverage by their shared spans. The ranges of the array are gone through in groups,
+one after the other, so that only a group of them is on disk at a time.
 
 Runs that very many documents hold don't stand in the array. Texts without a rare run in common can
 only be similar if the frequent runs are most of both: these texts are classed by their set of
@@ -23,13 +27,14 @@ two classes are paired only where they have so few other runs that they can be s
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.similar import MIN_PLAIN_WORDS, MIN_SIMILARITY, SHINGLE, Frequent, copies, first_of_copies, first_runs, frequent_runs, rarest_runs, text_names, verified_pairs
+from spanloom.llm.similar import MIN_PLAIN_WORDS, MIN_SIMILARITY, SHINGLE, Frequent, copies, first_of_copies, first_runs, frequent_runs, parities, rarest_runs, text_names, verified_pairs
 from spanloom.llm.tables import heldout_splits, split_name, table
 from spanloom.llm.text import U64, chunks, mix, plain_words, windows
 from spanloom.session import materialize
@@ -42,6 +47,10 @@ PLACE_BITS = ((3, 44), (6, 10), (12, 10))
 #: Share of the smaller of two sets that must be in common among the leading suffixes, and by which
 #: these are more than the least number.
 SLACK = 0.05
+#: Bits of the parity sketch that suffixes carry.
+BITS = 512
+#: Groups of ranges that the array is gone through in, at most, and texts for each of these.
+GROUPS, GROUP_TEXTS = 8, 1_000
 #: Levels of the number of rare runs by which members of classes are brought together.
 LEVELS = 16
 
@@ -59,9 +68,10 @@ def places(names: np.ndarray, bounds: np.ndarray, at: np.ndarray, text: np.ndarr
 
 def suffixes(docs: DataFrame, frequent: Frequent, rare: bool) -> DataFrame:
     """A row for each text of docs (id, held, taught, text) of 20 plain words or more: id, held,
-    taught, h1, h2, n (distinct runs), r (rare ones among them) and places (of its suffixes in the
-    array, in order of their runs). Without rare, places are those of the frequent runs for texts
-    that these alone could make similar to another, and common is the name of the set of these."""
+    taught, h1, h2, n (distinct runs), r (rare ones among them), places (of its suffixes in the
+    array, in order of their runs) and bits (parities of its runs). Without rare, places are those of
+    the frequent runs for texts that these alone could make similar to another, common is the name
+    of the set of these, and there are no bits."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,18 +94,20 @@ def suffixes(docs: DataFrame, frequent: Frequent, rare: bool) -> DataFrame:
             np.add.at(sums, text[alone], mix(runs[alone] ^ U64(0xC1A55)))
             rows = np.flatnonzero(np.diff(bounds) >= MIN_PLAIN_WORDS)
             common = pa.array(mix(sums)[rows].view(np.int64), mask=np.bincount(text[alone], minlength=len(kept))[rows] == 0)
+            bits = parities(text, runs, len(kept), BITS)[rows].tobytes() if rare else b""
+            bits = pa.array([bits[i * BITS // 8 : (i + 1) * BITS // 8] if rare else None for i in range(len(rows))], pa.binary())
             own = lambda x, kind: pa.array([x[kept[i]] for i in rows], kind)  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays(
-                [own(ids, pa.int64()), own(held, pa.bool_()), own(taught, pa.bool_()), *(pa.array(x[rows].view(np.int64)) for x in (h1, h2)), *(pa.array(x[rows].astype(np.int32)) for x in (n, r)), common, pa.array([place[ends[i] : ends[i + 1]] for i in rows], pa.list_(pa.int64()))],
-                names=["id", "held", "taught", "h1", "h2", "n", "r", "common", "places"],
+                [own(ids, pa.int64()), own(held, pa.bool_()), own(taught, pa.bool_()), *(pa.array(x[rows].view(np.int64)) for x in (h1, h2)), *(pa.array(x[rows].astype(np.int32)) for x in (n, r)), common, pa.array([place[ends[i] : ends[i + 1]] for i in rows], pa.list_(pa.int64())), bits],
+                names=["id", "held", "taught", "h1", "h2", "n", "r", "common", "places", "bits"],
             )
 
-    return docs.select("id", "held", "taught", "text").mapInArrow(run, "id bigint, held boolean, taught boolean, h1 bigint, h2 bigint, n int, r int, common bigint, places array<bigint>")
+    return docs.select("id", "held", "taught", "text").mapInArrow(run, "id bigint, held boolean, taught boolean, h1 bigint, h2 bigint, n int, r int, common bigint, places array<bigint>, bits binary")
 
 
-def sharing(head: np.ndarray, ids: np.ndarray, n: np.ndarray, known: np.ndarray, rank: np.ndarray, kind: np.ndarray, least: float) -> list[np.ndarray]:
+def sharing(head: np.ndarray, ids: np.ndarray, n: np.ndarray, known: np.ndarray, rank: np.ndarray, kind: np.ndarray, least: float, bits: np.ndarray | None = None) -> list[np.ndarray]:
     """(a, b, need) of the suffixes, in order of head, that share their first words and stand in
-    texts of both kinds. n: size of the text's set, known: how many of its runs the array may
+    texts of both kinds that may be similar by their parities (bits). n: size of the text's set, known: how many of its runs the array may
     hold, rank: the run's place among them. Two sets need o runs in common; all but the first
     n - o + s of a set hold o - s of these at most, so s or more are among the first ones."""
     out = []
@@ -112,6 +124,8 @@ def sharing(head: np.ndarray, ids: np.ndarray, n: np.ndarray, known: np.ndarray,
         more = 1 + (SLACK * np.minimum(n[x], n[y])).astype(np.int64)
         room_x, room_y = n[x] - both, n[y] - both
         ok = (rank[x] < room_x + more) & (rank[y] < room_y + more)
+        if bits is not None:  # two sets with both in common differ in n[x] + n[y] - 2 * both runs
+            ok[ok] = np.bitwise_count(bits[x[ok]] ^ bits[y[ok]]).sum(axis=1) <= (room_x + room_y)[ok]
         need = np.maximum(1, np.minimum(more, np.minimum(known[x] - room_x, known[y] - room_y)))
         x, y, need = ids[x[ok]], ids[y[ok]], need[ok]
         out.append(np.stack([np.minimum(x, y), np.maximum(x, y), need]))
@@ -119,29 +133,50 @@ def sharing(head: np.ndarray, ids: np.ndarray, n: np.ndarray, known: np.ndarray,
     return out
 
 
-def array_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """(a, b): the pairs of rows (id, kind, n, known, places) that share enough suffixes of the
-    array. kind: 1 held-out, 2 training, 3 both."""
-    flat = rows.select("id", ((F.col("n").cast("bigint") * (1 << 32) + F.col("known")) * 4 + F.col("kind")).alias("meta"), F.posexplode("places").alias("rank", "place"))
+def array_pairs(rows: DataFrame, least: float, groups: int = 1) -> DataFrame:
+    """(a, b): the pairs of rows (id, kind, n, known, places, bits) that share enough suffixes of the
+    array. kind: 1 held-out, 2 training, 3 both. Without groups of ranges the array is built once,
+    with them once for each, of the suffixes that fall into it; the pairs' spans are summed up."""
     rest = sum(bits for _, bits in PLACE_BITS[1:])
+    meta = ((F.col("n").cast("bigint") * (1 << 32) + F.col("known")) * 4 + F.col("kind")).alias("meta")
+    found = [_spans(rows.select("id", meta, "bits", F.posexplode("places").alias("rank", "place")).where(f"pmod(shiftright(place, {rest}), {groups}) = {g}"), least, rest) for g in range(groups)]
+    met = reduce(DataFrame.unionAll, map(materialize, found)) if groups > 1 else found[0]
+    return met.groupBy("a", "b").agg(F.sum("spans").alias("spans"), F.max("need").alias("need")).where("spans >= need").select("a", "b")
+
+
+def _matrix(column: pa.Array) -> np.ndarray | None:
+    """A row of 64-bit numbers for each binary value; None where there are none."""
+    if column.null_count:
+        return None
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]].view(U64).reshape(len(column), -1)
+
+
+def _spans(flat: DataFrame, least: float, rest: int) -> DataFrame:
+    """(a, b, spans, need) of the suffixes (id, meta, bits, rank, place)."""
     array = flat.repartition(F.shiftright("place", rest)).sortWithinPartitions("place", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # suffixes of a stretch that may go on in the next batch
 
         def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            meta, rank, place, ids = cols
-            found = sharing(place >> rest, ids, meta >> 34, (meta >> 2) & 0xFFFFFFFF, rank, meta & 3, least)
+            meta, rank, place, ids, *bits = cols
+            found = sharing(place >> rest, ids, meta >> 34, (meta >> 2) & 0xFFFFFFFF, rank, meta & 3, least, *bits)
             if found:
                 a, b, need = np.concatenate(found, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need.astype(np.int32))], names=["a", "b", "need"])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             cols = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("meta", "rank", "place", "id")]
+            bits = _matrix(batch.column(batch.schema.get_field_index("bits")))
+            cols += [] if bits is None else [bits]
             if held is not None:
                 cols = [np.concatenate(c) for c in zip(held, cols)]
             heads = cols[2] >> rest
-            cut = int(np.searchsorted(heads, heads[-1])) if len(heads) else 0
+            cut = int(np.searchsorted(heads, heads[-1]))
             held = [c[cut:] for c in cols]
             if cut:
                 yield from pairs([c[:cut] for c in cols])
@@ -149,7 +184,7 @@ def array_pairs(rows: DataFrame, least: float) -> DataFrame:
             yield from pairs(held)
 
     met = array.mapInArrow(run, "a bigint, b bigint, need int")
-    return met.groupBy("a", "b").agg(F.count("*").alias("spans"), F.max("need").alias("need")).where("spans >= need").select("a", "b")
+    return met.groupBy("a", "b").agg(F.count("*").alias("spans"), F.max("need").alias("need"))
 
 
 def common_pairs(reps: DataFrame, least: float) -> DataFrame:
@@ -157,7 +192,8 @@ def common_pairs(reps: DataFrame, least: float) -> DataFrame:
     texts = materialize(reps.where("common is not null").select("id", "kind", "r", (F.col("n") - F.col("r")).alias("f"), "common", "places"))
     kinds = F.max(F.col("kind").bitwiseAND(1)) + F.max(F.col("kind").bitwiseAND(2))
     classes = materialize(texts.groupBy("common").agg(kinds.alias("kind"), F.first("f").alias("n"), F.first("places").alias("places")))
-    near = array_pairs(classes.select(F.col("common").alias("id"), "kind", "n", F.col("n").alias("known"), "places"), least)
+    none = F.lit(None).cast("binary").alias("bits")  # a class stands for texts of different runs
+    near = array_pairs(classes.select(F.col("common").alias("id"), "kind", "n", F.col("n").alias("known"), "places", none), least)
     near = near.unionAll(classes.where("kind = 3").select(F.col("common").alias("a"), F.col("common").alias("b")))
     sizes = lambda x: classes.select(F.col("common").alias(x), F.col("n").alias(f"f{x}"))
     both = near.join(sizes("a"), "a").join(sizes("b"), "b").select("a", "b", F.greatest("fa", "fb").alias("most"), F.least("fa", "fb").alias("few"))
@@ -180,16 +216,15 @@ def cross_split_pairs(docs: DataFrame, heldout: list[str], train: str = "train",
     equal words form a class that is searched once, and its pairs are written out at the end."""
     name = split_name(split_col)
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), name.isin(heldout).alias("held"), name.alias("s")).where(F.col("held") | (F.col("s") == train))
-    frequent = frequent_runs(docs, SHINGLE, FREQUENT)
     docs = docs.withColumn("taught", ~F.col("held")).drop("s")
     frequent = frequent_runs(docs, SHINGLE, FREQUENT)
     rows = materialize(suffixes(docs, frequent, rare=False))
     of_class = copies(rows, "held", "taught")
     members = of_class.select("id", "rep", "held", "taught")
     kind = F.col("held").cast("int") + F.col("taught").cast("int") * 2
-    # the array's suffixes aren't kept: they are named in a pass of their own, on their way to it
-    named = suffixes(first_of_copies(docs, of_class, "held", "taught"), frequent, rare=True)
-    candidates = array_pairs(named.withColumn("kind", kind).withColumn("known", F.col("r")), least)
+    groups = min(GROUPS, 1 + rows.count() // GROUP_TEXTS)
+    named = suffixes(first_of_copies(docs, of_class, "held", "taught"), frequent, rare=True).select("id", kind.alias("kind"), "n", F.col("r").alias("known"), "places", "bits")
+    candidates = array_pairs(materialize(named) if groups > 1 else named, least, groups)
     candidates = candidates.unionAll(common_pairs(first_of_copies(rows, of_class, "held", "taught").withColumn("kind", kind), least))
     candidates = materialize(candidates.distinct())
     found = verified_pairs(candidates, docs.select("id", "text"), "id", least=least, cover=cover)
