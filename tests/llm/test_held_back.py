@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from spanloom.llm import overlap
+from spanloom.llm import overlap, versions
 from spanloom.llm.similar import about, first_of_copies, parities
 from spanloom.session import materialize
 
@@ -51,3 +51,26 @@ def test_groups_of_ranges_find_what_one_array_finds(spark):
     rows = materialize(overlap.suffixes(docs, nothing, rare=True).select("id", kind, "n", F.col("r").alias("known"), "places", "bits"))
     one, five = (sorted(tuple(r) for r in overlap.array_pairs(rows, 0.6, g).collect()) for g in (1, 5))
     assert one == five and {(i, i + 1) for i in range(0, 60, 2)} <= set(one)
+
+
+def test_pairs_get_their_sketches_in_passes_and_groups_stay_the_same(spark, monkeypatch):
+    draw = np.random.default_rng(3)
+    rows = []
+    for g in range(12):
+        t = [f"w{x}" for x in draw.integers(0, 10_000, 80)]
+        for _ in range(4):
+            at = int(draw.integers(0, 80))
+            rows.append((len(rows), g, " ".join([*t[:at], f"x{len(rows)}", *t[at:]])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, g int, text string")
+    whole, sizes = versions.allowed, []
+
+    def counted(pairs, sketches, least):
+        sizes.append(pairs.count())
+        return whole(pairs, sketches, least)
+
+    monkeypatch.setattr(versions, "allowed", counted)
+    cut = versions.in_passes
+    monkeypatch.setattr(versions, "in_passes", lambda rows, by, pairs, at_once: cut(rows, by, pairs, 40))
+    found = sorted(tuple(r) for r in versions.version_groups(docs.select("doc_id", "text")).collect())
+    assert found == [(4 * g, i) for i, g, _ in rows]
+    assert sum(sizes) > len(rows) and max(sizes) < sum(sizes) and len(sizes) > 2
