@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.config import TokenFormat
 from spanloom.functions.steps import search_steps
+from spanloom.operators.frontier import Frontier
 
 
 def longest_prefixes(queries: DataFrame, caches: DataFrame, configs: DataFrame, fmt: TokenFormat) -> DataFrame:
@@ -29,6 +30,43 @@ def longest_prefixes(queries: DataFrame, caches: DataFrame, configs: DataFrame,
     return rows.select("length", "qid", "key", "policy", "floor_depth", "budget", "h.depth", "h.lo", "h.hi", (F.col("h.depth") == F.col("length")).alias("exact"), F.coalesce(F.col("h.expanded_at") <= F.col("entries"), F.lit(False)).alias("expanded"))
 
 
+#: An end before the windows of any class.
+NOTHING = (-(1 << 62), 0, 0, 0, 0)
+
+
+def ordered_prefixes(queries: DataFrame, located: DataFrame, frontier: Frontier, fixed: list[tuple[str, int]], fmt: TokenFormat) -> DataFrame:
+    """As longest_prefixes, for the greedy caches of a frontier and the fixed ones of (policy, depth):
+    whether a cache holds a prefix, and all its children, follows from where its order ends.
+    located: (key, lo, hi) of all prefixes of the queries among all ranks."""
+    deepest = queries.agg(F.max("length")).first()[0] or 0
+    deep = sum(n > 0 for n in frontier.levels[1:])
+    rows = [(policy, depth, size, NOTHING) for policy, depth in fixed for _, size in [frontier.whole(depth)]]
+    for floor in frontier.floors:
+        for budget, _, c in frontier.cuts(floor, deepest):
+            rows.append(("greedy", floor, budget, None if c is None else (-c.count, c.depth - 1, c.up, -c.cnt, c.lo)))
+    end = "struct<a:bigint,b:bigint,c:bigint,d:bigint,e:bigint>"
+    configs = queries.sparkSession.createDataFrame(rows, f"policy string, floor_depth int, budget bigint, end {end}")
+    each = queries.where(F.col("key").isNotNull()).select("length", "qid", "key").distinct()
+    tries = each.select("length", "qid", F.col("key").alias("query"), F.explode(F.sequence(F.lit(1), F.col("length"))).alias("d")).select("length", "qid", "query", "d", F.expr(f"substring(query, 1, d * {fmt.width})").alias("key"))
+    met = tries.join(located, "key").groupBy("length", "qid", F.col("query").alias("key")).agg(F.sort_array(F.collect_list(F.struct("d", "lo", "hi"))).alias("met"))
+    top = F.struct(F.lit(0).alias("d"), F.lit(0).cast("bigint").alias("lo"), F.lit(frontier.ranks).cast("bigint").alias("hi"))
+    path = met.withColumn("path", F.concat(F.array(top), "met")).drop("met")
+    at = lambda *v: F.struct(*(x.cast("bigint").alias(n) for x, n in zip(v, "abcde")))
+    size = lambda e: e.hi - e.lo
+    everything, floor = F.col("end").isNull(), F.col("floor_depth")
+
+    def held(e: Column) -> Column:
+        up = F.get("path", e.d - 1)
+        here = at(-size(up), e.d - 1, up.lo, -size(e), e.lo)
+        return (e.d == 0) | ((size(e) > 0) & ((e.d <= floor) | ((size(up) >= 2) & (everything | (here < F.col("end"))))))
+
+    whole = F.struct(F.col("end.a").alias("a"), F.col("end.b").alias("b"), F.col("end.c").alias("c"))
+    below = F.struct(*(x.cast("bigint").alias(n) for x, n in ((-size(F.col("h")), "a"), (F.col("h.d"), "b"), (F.col("h.lo"), "c"))))
+    expanded = F.when(F.col("h.d") < floor, F.col("h.d") < F.lit(deep)).otherwise((size(F.col("h")) >= 2) & (everything | (below < whole)))
+    hits = path.crossJoin(F.broadcast(configs)).withColumn("h", F.array_max(F.filter("path", held)))
+    return hits.select("length", "qid", "key", "policy", "floor_depth", "budget", F.col("h.d").alias("depth"), "h.lo", "h.hi", (F.col("h.d") == F.col("length")).alias("exact"), F.coalesce(expanded, F.lit(False)).alias("expanded"))
+
+
 def resolve(hits: DataFrame, located: DataFrame) -> DataFrame:
     """hits with found_lo, found_hi, cnt and steps: a cached query is answered as it stands, one
     whose longest prefix is expanded is absent, and any other is searched in the prefix's ranks.

@@ -33,6 +33,8 @@ SAMPLES = 200
 
 def packed(values: np.ndarray) -> bytes:
     """An array in byte planes, compressed: small or sorted numbers take little."""
+    if not len(values):
+        return bytes(8)
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
     return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from spanloom.config import Settings
 from spanloom.operators import cache, corpus, grams, resolve, workload
+from spanloom.operators.frontier import Frontier
 from spanloom.session import materialize
-from spanloom.sources.tables import once, split_name, table
+from spanloom.sources.tables import kept, once, split_name, table
 
 SETTINGS = Settings()
 
@@ -83,6 +84,14 @@ class Experiment:
     def largest_budget(self) -> int:
         return self.budgets.agg(F.max("budget")).first()[0]
 
+    @property
+    def frontier(self) -> Frontier:
+        """Where the greedy caches of all budgets end."""
+        caches = self.settings.caches
+        wanted = sorted(r.budget for r in table(self.spark, self.sf_dir, "budgets").select("budget").where("budget is not null").distinct().collect())
+        name = f"frontier-{self.settings.digest()}-{wanted}"
+        return kept(self.spark, self.sf_dir, name, "documents", lambda: Frontier(self.train, self.fmt, caches.greedy_floors, caches.fixed_depths, wanted))
+
     @property
     def greedy_nodes(self) -> DataFrame:
         """What a greedy cache of the largest budget may hold."""
@@ -123,36 +132,48 @@ class Experiment:
 
     def limits(self, floor: int) -> DataFrame:
         """(budget, entries, bytes) of the greedy cache; budgets below the floor are skipped."""
-        entries = self.greedy(floor)
-        least = entries.where(F.col("depth") <= floor).agg(F.count("*").alias("least"))
-        return cache.limits(entries, self.budgets).crossJoin(F.broadcast(least)).where("entries >= least").drop("least")
-
-    def _cache_parts(self, greedy: bool) -> list[tuple[DataFrame, str, int]]:
-        """(entries, policy, floor_depth) of the caches."""
-        if greedy:
-            return [(self.greedy(f), "greedy", f) for f in self.settings.caches.greedy_floors]
+        return self.spark.createDataFrame(self.frontier.limits(floor), "budget bigint, entries bigint, bytes bigint")
+
+    def _fixed_parts(self) -> list[tuple[DataFrame, str, int]]:
+        """(entries, policy, floor_depth) of the caches that aren't greedy."""
         return [(self.root_cache, "none", 0), *((self.fixed(d), name, d) for d, name in self.fixed_names.items())]
 
-    def sizes(self, greedy: bool) -> DataFrame:
-        """(policy, floor_depth, budget, entries, bytes) of the configurations."""
-        parts = []
-        for entries, policy, floor in self._cache_parts(greedy):
-            size = self.limits(floor) if greedy else entries.agg(F.max("cum_bytes").alias("budget"), F.count("*").alias("entries"), F.max("cum_bytes").alias("bytes"))
-            parts.append(size.select(F.lit(policy).alias("policy"), F.lit(floor).alias("floor_depth"), "budget", "entries", "bytes"))
-        return self._once(f"sizes-{greedy}", lambda: workload.union_all(parts))
+    @property
+    def sizes(self) -> DataFrame:
+        """(policy, floor_depth, budget, entries, bytes) of all configurations."""
+        rows = [(p, d, size, n, size) for p, d in [("none", 0), *((name, d) for d, name in self.fixed_names.items())] for n, size in [self.frontier.whole(d)]]
+        rows += [("greedy", f, *x) for f in self.settings.caches.greedy_floors for x in self.frontier.limits(f)]
+        return self.spark.createDataFrame(rows, "policy string, floor_depth int, budget bigint, entries bigint, bytes bigint")
+
+    def resolved_fixed(self) -> DataFrame:
+        """The answers of the caches that aren't greedy, from their entries."""
 
-    def resolved(self, greedy: bool) -> DataFrame:
         def build() -> DataFrame:
             deepest = max(self.settings.workload.lengths)
-            parts = [e.where(F.col("depth") <= deepest).withColumns({"policy": F.lit(p), "floor_depth": F.lit(f)}) for e, p, f in self._cache_parts(greedy)]
-            return resolve.resolve(resolve.longest_prefixes(self.queries, workload.union_all(parts), self.sizes(greedy), self.fmt), self.located)
+            parts = [e.where(F.col("depth") <= deepest).withColumns({"policy": F.lit(p), "floor_depth": F.lit(f)}) for e, p, f in self._fixed_parts()]
+            sizes = [e.agg(F.max("cum_bytes").alias("budget"), F.count("*").alias("entries")).select(F.lit(p).alias("policy"), F.lit(f).alias("floor_depth"), "budget", "entries") for e, p, f in self._fixed_parts()]
+            return resolve.resolve(resolve.longest_prefixes(self.queries, workload.union_all(parts), workload.union_all(sizes), self.fmt), self.located)
+
+        return self._once("resolved_fixed", build)
+
+    def resolved(self) -> DataFrame:
+        """The answers of all configurations, from where the caches end."""
+
+        def build() -> DataFrame:
+            parts = self.queries.where(F.col("key").isNotNull()).select(F.explode(F.transform(F.sequence(F.lit(1), F.col("length")), lambda d: F.substring("key", F.lit(1), d * self.fmt.width))).alias("key"))
+            located = materialize(grams.locate(self.train, parts, max(self.settings.workload.lengths), self.fmt))
+            fixed = [("none", 0), *((name, d) for d, name in self.fixed_names.items())]
+            return resolve.resolve(resolve.ordered_prefixes(self.queries, located, self.frontier, fixed, self.fmt), located)
+
+        wanted = self.frontier.budgets
+        return self._once(f"resolved-{wanted}", build)
 
-        return self._once("resolved_greedy" if greedy else "resolved_fixed", build)
+    def summary_fixed(self) -> DataFrame:
+        return resolve.summarize(self.resolved_fixed())
 
-    def summary(self, greedy: bool) -> DataFrame:
-        return resolve.summarize(self.resolved(greedy))
+    def summary(self) -> DataFrame:
+        return resolve.summarize(self.resolved())
 
     def results(self) -> DataFrame:
         """The long result table: one row for each configuration and query length."""
-        steps = self.summary(False).unionAll(self.summary(True))
-        return steps.join(F.broadcast(self.sizes(False).unionAll(self.sizes(True))), ["policy", "floor_depth", "budget"])
+        return self.summary().join(F.broadcast(self.sizes), ["policy", "floor_depth", "budget"])

@@ -93,7 +93,7 @@ def query_intervals_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def uncached_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Experiment(spark, sf_dir)
-    return x.resolved(False).where("policy = 'none'").select("length", "qid", "found_lo", "found_hi", "steps")
+    return x.resolved_fixed().where("policy = 'none'").select("length", "qid", "found_lo", "found_hi", "steps")
 
 
 def _fixed(depth: int):
@@ -127,29 +127,28 @@ def greedy_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def longest_prefix_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Experiment(spark, sf_dir)
-    return x.resolved(True).select("floor_depth", "budget", "length", "qid", "depth", "lo", "hi", "exact", "expanded")
+    return x.resolved().where("policy = 'greedy'").select("floor_depth", "budget", "length", "qid", "depth", "lo", "hi", "exact", "expanded")
 
 
 def cached_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = Experiment(spark, sf_dir)
-    return x.resolved(False).select("policy", "length", "qid", "cnt", "steps")
+    return x.resolved_fixed().select("policy", "length", "qid", "cnt", "steps")
 
 
 def steps_summary_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Experiment(spark, sf_dir).summary(False).drop("floor_depth")
+    return Experiment(spark, sf_dir).summary_fixed().drop("floor_depth")
 
 
 def steps_summary_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Experiment(spark, sf_dir).summary(True).drop("policy")
+    return Experiment(spark, sf_dir).summary().where("policy = 'greedy'").drop("policy")
 
 
 def steps_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean steps by length without a cache, with each fixed cache and with each greedy cache at
     the size of the largest fixed cache."""
     x = Experiment(spark, sf_dir)
-    size = x.fixed(max(x.settings.caches.fixed_depths)).agg(F.max("cum_bytes").alias("largest"))
-    greedy = x.summary(True).crossJoin(F.broadcast(size)).where("budget = largest").drop("largest")
-    rows = x.summary(False).unionAll(greedy.select(*x.summary(False).columns))
+    _, largest = x.frontier.whole(max(x.settings.caches.fixed_depths))
+    rows = x.summary().where((F.col("policy") != "greedy") | (F.col("budget") == largest))
     name = F.when(F.col("policy") == "greedy", F.concat(F.lit("greedy"), F.col("floor_depth").cast("string"))).otherwise(F.col("policy"))
     wide = rows.select("length", name.alias("name"), "mean").groupBy("length").pivot("name", ["none", "unigram", "bigram", "trigram", "greedy0", "greedy2"]).agg(F.first("mean"))
     return wide.withColumnRenamed("none", "no_cache")
@@ -159,7 +158,7 @@ def pareto_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean steps of queries of four tokens against bytes, and the factor saved over no cache."""
     x = Experiment(spark, sf_dir)
     at = x.results().where(F.col("length") == x.settings.workload.latency_length)
-    base = x.summary(False).where(f"policy = 'none' and length = {x.settings.workload.latency_length}").select(F.col("mean").alias("base"))
+    base = at.where("policy = 'none'").select(F.col("mean").alias("base"))
     rows = at.crossJoin(F.broadcast(base))
     return rows.select("policy", "floor_depth", "budget", "entries", "bytes", "mean", keys.speedup(F.col("base"), F.col("mean")).alias("speedup"))
 
@@ -168,9 +167,10 @@ def fixed_vs_greedy_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each fixed cache and length the steps of the greedy cache with the lowest floor at the
     same budget, and how many times fewer they are."""
     x = Experiment(spark, sf_dir)
-    fixed = x.summary(False).where("policy != 'none'").select("policy", "budget", "length", F.col("mean").alias("fixed_steps"))
+    steps = x.summary()
+    fixed = steps.where("policy not in ('none', 'greedy')").select("policy", "budget", "length", F.col("mean").alias("fixed_steps"))
     low = min(x.settings.caches.greedy_floors)
-    greedy = x.summary(True).where(F.col("floor_depth") == low).select("budget", "length", F.col("mean").alias("greedy_steps"))
+    greedy = steps.where((F.col("policy") == "greedy") & (F.col("floor_depth") == low)).select("budget", "length", F.col("mean").alias("greedy_steps"))
     return fixed.join(greedy, ["budget", "length"]).withColumn("ratio", keys.speedup(F.col("fixed_steps"), F.col("greedy_steps")))
 
 
@@ -179,7 +179,7 @@ def latency_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages that their two reads per step touch at most."""
     x = Experiment(spark, sf_dir)
     work = x.settings.workload
-    rows = x.resolved(False).unionAll(x.resolved(True)).where((F.col("length") == work.latency_length) & (F.col("qid") < work.latency_queries))
+    rows = x.resolved().where((F.col("length") == work.latency_length) & (F.col("qid") < work.latency_queries))
     return rows.groupBy("policy", "floor_depth", "budget").agg(F.count("*").alias("queries"), F.sum("steps").alias("steps"), F.greatest(F.sum("steps"), F.lit(1)).alias("divisor"))
 
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.session import materialize
 
-_kept: dict[tuple, DataFrame] = {}
+_kept: dict[tuple, Any] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,9 +36,14 @@ def _state(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted(found))
 
 
-def once(spark: SparkSession, sf_dir: str, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table that build makes, written once for each session and state of the source table."""
+def kept(spark: SparkSession, sf_dir: str, name: str, source: str, build: Callable[[], Any]) -> Any:
+    """What build makes, made once for each session and state of the source table."""
     key = (spark.sparkContext.applicationId, name, _state(spark, f"{sf_dir}/{source}.parquet"))
     if key not in _kept:
-        _kept[key] = materialize(build())
+        _kept[key] = build()
     return _kept[key]
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that build makes, written once for each session and state of the source table."""
+    return kept(spark, sf_dir, name, source, lambda: materialize(build()))
