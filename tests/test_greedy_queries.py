@@ -10,7 +10,7 @@ from spanloom.plans.experiment import Experiment
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["latency_set", "steps_summary_greedy", "fixed_vs_greedy_ratio", "longest_prefix_hit", "steps_by_length", "greedy_snapshots"])
+@pytest.mark.parametrize("name", ["latency_set", "steps_summary_greedy", "fixed_vs_greedy_ratio", "longest_prefix_hit", "steps_by_length", "greedy_snapshots", "pareto_points"])
 def test_no_entries_are_built(spark, monkeypatch, name):
     def refuse(*_):
         raise AssertionError("entries of a greedy cache")
