@@ -23,7 +23,7 @@ from spanloom.operators.prefix import numbered, running
 from spanloom.session import materialize
 
 #: Documents whose suffixes are put into one array; only memory depends on it.
-DOCS_AT_A_TIME = 200
+DOCS_AT_A_TIME = 1000
 
 
 def window_counts(docs: DataFrame, k: int, fmt: TokenFormat) -> DataFrame:
@@ -86,23 +86,25 @@ def children(parents: DataFrame, deeper: DataFrame, fmt: TokenFormat) -> DataFra
     return placed.join(first, "parent_key").select("parent_key", F.substring("key", -fmt.width, fmt.width).alias("next_token_key"), "lo", "hi", "cnt", place.alias("place"))
 
 
-def _suffix_digits(toks: list[list[int]], ended: list[bool], depth: int, fmt: TokenFormat) -> np.ndarray:
-    """The keys of all suffixes of a batch of documents, separators' included, cut after depth
-    tokens and after the first separator; ended: whether a separator follows the document."""
-    width = fmt.width
-    sizes = np.array([len(t) for t in toks], dtype=np.int64)
-    flat = np.fromiter((x for t in toks for x in t), dtype="<u8", count=int(sizes.sum()))
-    raw = flat.view(np.uint8).reshape(-1, 8)[:, : fmt.token_bytes]
-    digits = np.frombuffer(b"0123456789ABCDEF", dtype=np.uint8)
-    text = np.empty((len(flat), width), dtype=np.uint8)
-    text[:, 0::2], text[:, 1::2] = digits[raw >> 4], digits[raw & 15]
-    starts = np.cumsum(sizes + depth + 1) - (sizes + depth + 1)  # each document has room for its end
-    room = np.zeros((int((sizes + depth + 1).sum()), width), dtype=np.uint8)
-    at = np.arange(len(flat)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-    room[at] = text
-    room[(starts + sizes)[np.array(ended, dtype=bool)]] = ord("F")
-    windows = np.lib.stride_tricks.sliding_window_view(room.ravel(), depth * width)[::width]
-    return np.ascontiguousarray(windows[at]).view(f"S{depth * width}").ravel()
+def _token_bytes(toks: np.ndarray, width: int) -> np.ndarray:
+    """The ids' bytes, least first, the last of them greater by one: zeros are no token, and come first."""
+    raw = toks.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].copy()
+    raw[:, -1] += 1
+    return raw
+
+
+def _suffix_heads(flat: np.ndarray, sizes: np.ndarray, ended: np.ndarray, width: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes from each byte on, `size` of them, as a view; where the tokens are; and the first eight of
+    these bytes from each token on, as a number. Separators,
+    which have only set bits, follow the documents but the last of all: what lies behind is of no account,
+    as no query holds any."""
+    text = np.full((len(flat) + len(sizes), width), 255, dtype=np.uint8)
+    at = np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes)
+    text[at] = _token_bytes(flat, width)
+    text[(np.cumsum(sizes + 1) - 1)[~ended]] = 0
+    room = np.append(text.ravel(), np.zeros(size, dtype=np.uint8))
+    lead = np.ndarray((len(text) * width,), dtype=">u8", buffer=room, strides=(1,))
+    return np.lib.stride_tricks.sliding_window_view(room, size), at * width, lead[at * width].astype(np.uint64)
 
 
 def locate(docs: DataFrame, queries: DataFrame, depth: int, fmt: TokenFormat) -> DataFrame:
@@ -115,29 +117,45 @@ def locate(docs: DataFrame, queries: DataFrame, depth: int, fmt: TokenFormat) ->
     wanted = wanted.where(~F.exists(F.transform(F.sequence(F.lit(0), F.greatest(F.length("key") / fmt.width - 1, F.lit(0)).cast("int")), lambda i: F.substring("key", i * fmt.width + 1, F.lit(fmt.width))), lambda t: t == fmt.separator_key))
     spark = docs.sparkSession
     keys = sorted(r.key for r in wanted.collect())
-    # '~' sorts behind all digits: what begins with a key lies between the key and the key with it
-    marks = np.array(sorted({k.encode() for k in keys} | {k.encode() + b"~" for k in keys}), dtype=f"S{depth * fmt.width + 1}")
+    if not keys:
+        return spark.createDataFrame([], "key string, lo bigint, hi bigint")
+    ids = [np.frombuffer(bytes.fromhex(k), dtype=np.uint8).reshape(-1, fmt.token_bytes).astype(np.uint64) @ (np.uint64(1) << np.arange(0, 8 * fmt.token_bytes, 8, dtype=np.uint64)) for k in keys]
+    top = max([docs.agg(F.max(F.array_max("toks"))).first()[0] or 0, *(int(x.max()) for x in ids if len(x))])
+    width = next(n for n in range(1, 9) if top < 1 << (8 * n - 1))
+    size = -(-depth * width // 8) * 8
+    # what begins with a key lies between the key and the key with all bits set behind it
+    codes = [_token_bytes(x, width).tobytes() for x in ids]
+    lows, highs = (np.array([c.ljust(size, fill) for c in codes], dtype=f"S{size}") for fill in (b"\0", b"\xff"))
+    marks = np.unique(np.concatenate([lows, highs]))
     shared = spark.sparkContext.broadcast(marks)
     last = F.broadcast(docs.agg(F.max("doc_id").alias("last")))
     rows = docs.crossJoin(last).select((F.col("doc_id") != F.col("last")).alias("ended"), "toks")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(len(shared.value) + 1, dtype=np.int64)
-        own = np.array([fmt.separator_key.encode()], dtype=shared.value.dtype)
+        marks = shared.value
+        begins, firsts = np.unique(marks.view(">u8").reshape(len(marks), -1)[:, 0].astype(np.uint64), return_index=True)
+        upto, below = np.zeros(len(marks) + 1, dtype=np.int64), np.zeros(len(marks) + 1, dtype=np.int64)
         for batch in batches:
-            toks = batch.column(batch.schema.get_field_index("toks")).to_pylist()
-            ended = batch.column(batch.schema.get_field_index("ended")).to_pylist()
-            for a in range(0, len(toks), DOCS_AT_A_TIME):
-                part = _suffix_digits(toks[a : a + DOCS_AT_A_TIME], ended[a : a + DOCS_AT_A_TIME], depth, fmt)
-                found += np.bincount(np.searchsorted(shared.value, part.astype(shared.value.dtype), side="right"), minlength=len(found))
-            found[np.searchsorted(shared.value, own, side="right")[0]] += len(toks)
-        gaps = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(gaps), pa.array(found[gaps])], names=["gap", "n"])
-
-    counts = rows.mapInArrow(count, "gap bigint, n bigint").groupBy("gap").agg(F.sum("n").alias("n"))
-    upto = np.zeros(len(marks) + 1, dtype=np.int64)
+            lists, ended = (batch.column(batch.schema.get_field_index(c)) for c in ("toks", "ended"))
+            for a in range(0, len(lists), DOCS_AT_A_TIME):
+                part = lists.slice(a, DOCS_AT_A_TIME)
+                heads, at, lead = _suffix_heads(part.flatten().to_numpy(), part.value_lengths().to_numpy(), ended.slice(a, DOCS_AT_A_TIME).to_numpy(zero_copy_only=False), width, size)
+                group = np.searchsorted(begins, lead)
+                alike = np.append(begins, np.uint64(0))[group] == lead
+                alike &= group < len(begins)
+                gaps = np.bincount(np.append(firsts, len(marks))[group[~alike]], minlength=len(marks) + 1)
+                rows = np.ascontiguousarray(heads[at[alike]]).view(marks.dtype).ravel()
+                left, right = (np.searchsorted(marks, rows, side=x) for x in ("left", "right"))
+                upto += gaps + np.bincount(left, minlength=len(upto))
+                below += gaps + np.bincount(right, minlength=len(below))
+        gaps = np.flatnonzero(upto + below)
+        yield pa.RecordBatch.from_arrays([pa.array(gaps), pa.array(upto[gaps]), pa.array(below[gaps])], names=["gap", "upto", "below"])
+
+    counts = rows.mapInArrow(count, "gap bigint, upto bigint, below bigint").groupBy("gap").agg(F.sum("upto").alias("upto"), F.sum("below").alias("below"))
+    upto, below = np.zeros(len(marks) + 1, dtype=np.int64), np.zeros(len(marks) + 1, dtype=np.int64)
     for r in counts.collect():  # as many rows as there are marks
-        upto[r.gap] = r.n
-    upto = np.cumsum(upto)
-    at = {m.decode(): int(upto[i]) for i, m in enumerate(marks)}
-    return spark.createDataFrame([(k, at[k], at[f"{k}~"]) for k in keys], "key string, lo bigint, hi bigint")
+        upto[r.gap], below[r.gap] = r.upto, r.below
+    lo, hi = np.cumsum(below)[np.searchsorted(marks, lows)], np.cumsum(upto)[np.searchsorted(marks, highs)]
+    if keys and not keys[0]:
+        lo[0], hi[0] = 0, docs.agg(F.coalesce(F.sum(F.size("toks") + 1), F.lit(0))).first()[0]
+    return spark.createDataFrame(pa.table({"key": pa.array(keys, pa.string()), "lo": pa.array(lo, pa.int64()), "hi": pa.array(hi, pa.int64())}))
