@@ -64,7 +64,7 @@ class Frontier:
 
     def __init__(self, docs: DataFrame, fmt: TokenFormat, floors: tuple[int, ...], depths: tuple[int, ...], budgets: list[int]):
         self.fmt, self.floors = fmt, floors
-        self.text = suffixes.blocks(docs, fmt, max(suffixes.HEAD, *floors, *depths))
+        self.text = suffixes.document_blocks(docs, fmt, max(suffixes.HEAD, *floors, *depths))
         self.head = self.text.head
         self.rows = suffixes.ranges(self.text)
         ends = _ends(self.rows)
@@ -73,6 +73,7 @@ class Frontier:
         self.ranks = sum(e.n for e in ends)
         self.meets = [self._common(a.last, b.first) for a, b in zip(ends, ends[1:])]
         self.classes: Counter = Counter()
+        self.found: dict[tuple[int, int, int], Cut] = {}
         self.levels = [0] * (self.head + 1)
         self.rounds = [(0, self.head, self.rows)]
         said = self._count(self.rows, 0, self.head, 2)
@@ -199,15 +200,21 @@ class Frontier:
     def cuts(self, floor: int, deepest: int) -> list[tuple[int, int, Cut | None]]:
         """(budget, entries, cut). Of a cut whose parent has more than deepest tokens only the class is
         looked for."""
-        return [(b, n, c and (self._cut(*c) if c[1] <= deepest + 1 else Cut(c[0], c[1], 0, 0, 0))) for b, n, _, c in self._walk(floor)]
-
-    def _cut(self, count: int, depth: int, taken: int) -> Cut:
-        """The window of number `taken` in a class."""
-        before, step, rows = next(r for r in self.rounds if r[0] < depth <= r[0] + r[1])
-        j, edged, starts = depth - before, before == 0, self.before
-
-        def families(batch: pa.RecordBatch, i: int, part: int):
-            at, lo, agree, room = _arrays(batch, i)
+        ends = [(b, n, c) for b, n, _, c in self._walk(floor)]
+        if any(c and c[1] <= deepest + 1 and c not in self.found for _, _, c in ends):
+            wanted = sorted({c for f in self.floors for *_, c in self._walk(f) if c and c[1] <= deepest + 1 and c not in self.found})
+            for r in self.rounds:  # those of all floors and budgets in one pass over a round's rows
+                if mine := [c for c in wanted if r[0] < c[1] <= r[0] + r[1]]:
+                    self.found.update(zip(mine, self._cuts(mine, *r)))
+        return [(b, n, c and (self.found[c] if c[1] <= deepest + 1 else Cut(c[0], c[1], 0, 0, 0))) for b, n, c in ends]
+
+    def _cuts(self, wanted: list[tuple[int, int, int]], before: int, step: int, rows: DataFrame) -> list[Cut]:
+        """Of each (count, depth, taken) the window of number `taken` in the class."""
+        edged, starts = before == 0, self.before
+        classes = sorted({(u, j) for u, j, _ in wanted})
+
+        def families(arrays: tuple, part: int, count: int, j: int):
+            at, lo, agree, room = arrays
             parents, whole, kids = _families(lo, agree, room, j)
             u = np.diff(np.append(parents, len(lo)))
             inner = whole & (u == count)
@@ -219,43 +226,61 @@ class Frontier:
         def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i, part in enumerate(column(batch, "part")):
-                    _, _, _, parents, u, kids, inner, ends = families(batch, i, part)
-                    n = np.diff(np.append(np.searchsorted(kids, parents), len(kids)))
-                    edge = [[int(parents[k]), int(u[k]), int(n[k]), int(ends[k]), len(parents)] for k in (0, len(parents) - 1) if edged]
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([int(n[inner].sum())], pa.int64()), pa.array([packed(np.array(edge, dtype=np.int64).ravel())], pa.binary())], names=["part", "n", "ends"])
-
-        said = {r.part: (r.n, unpacked(r.ends, "<i8").reshape(-1, 5).tolist()) for r in rows.mapInArrow(total, "part bigint, n bigint, ends binary").collect()}
-        items = [(self.before[p], n, None, [p]) for p, (n, _) in said.items() if n]
-        if edged:
-            items += [(lo, n, lo, over) for lo, u, n, over in self._joined(j, {p: said[p][1] for p in self.parts}) if u == count and n]
-        # the inner parents of a range lie behind the one that it begins with
-        for _, n, one, over in sorted(items, key=lambda x: (x[0], x[2] is None)):
-            if taken < n:
-                break
-            taken -= n
-        within = set(over)
+                    arrays, out = _arrays(batch, i), ([], [], [])
+                    for k, (count, depth) in enumerate(classes):
+                        _, _, _, parents, u, kids, inner, ends = families(arrays, part, count, depth - before)
+                        n = np.diff(np.append(np.searchsorted(kids, parents), len(kids)))
+                        edge = [[int(parents[e]), int(u[e]), int(n[e]), int(ends[e]), len(parents)] for e in (0, len(parents) - 1) if edged]
+                        for x, y in zip(out, (k, int(n[inner].sum()), packed(np.array(edge, dtype=np.int64).ravel()))):
+                            x.append(y)
+                    yield pa.RecordBatch.from_arrays([pa.array([part] * len(classes), pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["part", "k", "n", "ends"])
+
+        said: list[dict] = [{} for _ in classes]
+        for r in rows.mapInArrow(total, "part bigint, k bigint, n bigint, ends binary").collect():
+            said[r.k][r.part] = (r.n, unpacked(r.ends, "<i8").reshape(-1, 5).tolist())
+        where = []  # of each cut the number within what is fetched, the one parent at ranges' ends, and the ranges
+        for count, depth, taken in wanted:
+            mine = said[classes.index((count, depth))]
+            items = [(self.before[p], n, None, [p]) for p, (n, _) in mine.items() if n]
+            if edged:
+                items += [(lo, n, lo, over) for lo, u, n, over in self._joined(depth - before, {p: mine[p][1] for p in self.parts}) if u == count and n]
+            # the inner parents of a range lie behind the one that it begins with
+            for _, n, one, over in sorted(items, key=lambda x: (x[0], x[2] is None)):
+                if taken < n:
+                    break
+                taken -= n
+            where.append((taken, one, over))
+        asked = [(count, depth - before, one is None, set(over)) for (count, depth, _), (_, one, over) in zip(wanted, where)]
 
         def children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i, part in enumerate(column(batch, "part")):
-                    at, agree, room, parents, _, kids, inner, ends = families(batch, i, part)
-                    wanted = inner if one is None else ends
-                    of = np.searchsorted(parents, kids, side="right") - 1
-                    # a window ends where the next one of its parent's or another row begins
-                    stops = np.flatnonzero((agree < j) | (room < j))
-                    stop = np.append(stops, len(at))[np.searchsorted(stops, kids, side="right")]
-                    keep = wanted[of]
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *(pa.array([packed(x)], pa.binary()) for x in (at[parents[of[keep]]], at[kids[keep]], (stop - kids)[keep]))], names=["part", "up", "lo", "cnt"])
-
-        got = rows.where(F.col("part").isin(*within)).mapInArrow(children, "part bigint, up binary, lo binary, cnt binary").collect()
-        up, lo, cnt = (np.concatenate([unpacked(r[c], "<i8") for r in sorted(got)]) for c in ("up", "lo", "cnt"))
-        if one is not None:  # pieces of the one parent, whose windows go on from range to range
-            mine = (up == one) | np.isin(up, [self.before[p] for p in over[1:]])
-            lo, cnt = lo[mine], cnt[mine]
-            begins = {self.before[p]: self.meets[self.parts.index(p) - 1] >= j for p in over[1:]}
-            new = np.array([not begins.get(x, False) for x in lo.tolist()])
-            first = np.flatnonzero(new)
-            lo, cnt = lo[first], np.add.reduceat(cnt, first)
-            up = np.full(len(lo), one)
-        by = np.lexsort((lo, -cnt, up))[taken]
-        return Cut(count, depth, int(up[by]), int(cnt[by]), int(lo[by]))
+                    arrays = _arrays(batch, i)
+                    for k, (count, j, within, over) in enumerate(asked):
+                        if part not in over:
+                            continue
+                        at, agree, room, parents, _, kids, inner, ends = families(arrays, part, count, j)
+                        wanted = inner if within else ends
+                        of = np.searchsorted(parents, kids, side="right") - 1
+                        # a window ends where the next one of its parent's or another row begins
+                        stops = np.flatnonzero((agree < j) | (room < j))
+                        stop = np.append(stops, len(at))[np.searchsorted(stops, kids, side="right")]
+                        keep = wanted[of]
+                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([part], pa.int64()), *(pa.array([packed(x)], pa.binary()) for x in (at[parents[of[keep]]], at[kids[keep]], (stop - kids)[keep]))], names=["k", "part", "up", "lo", "cnt"])
+
+        every = rows.where(F.col("part").isin(*set().union(*(a[3] for a in asked)))).mapInArrow(children, "k bigint, part bigint, up binary, lo binary, cnt binary").collect()
+        cuts = []
+        for k, ((count, depth, _), (taken, one, over)) in enumerate(zip(wanted, where)):
+            got = sorted(r for r in every if r.k == k)
+            up, lo, cnt = (np.concatenate([unpacked(r[c], "<i8") for r in got]) for c in ("up", "lo", "cnt"))
+            if one is not None:  # pieces of the one parent, whose windows go on from range to range
+                mine = (up == one) | np.isin(up, [self.before[p] for p in over[1:]])
+                lo, cnt = lo[mine], cnt[mine]
+                begins = {self.before[p]: self.meets[self.parts.index(p) - 1] >= depth - before for p in over[1:]}
+                new = np.array([not begins.get(x, False) for x in lo.tolist()])
+                first = np.flatnonzero(new)
+                lo, cnt = lo[first], np.add.reduceat(cnt, first)
+                up = np.full(len(lo), one)
+            by = np.lexsort((lo, -cnt, up))[taken]
+            cuts.append(Cut(count, depth, int(up[by]), int(cnt[by]), int(lo[by])))
+        return cuts

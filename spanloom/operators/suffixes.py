@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ BLOCK, AHEAD = 1 << 17, 4096
 HEAD, STEP = 8, 16
 #: Suffixes of a range, and of a pass.
 RANGE_ROWS, PASS_ROWS = 500_000, 6_000_000
+#: Passes at most: beyond that a pass has more suffixes, a share of the disk that all would take.
+PASSES = 8
 #: Sampled suffixes for each range.
 SAMPLES = 200
 
@@ -109,6 +112,46 @@ def blocks(docs: DataFrame, fmt: TokenFormat, head: int = HEAD) -> Blocks:
     return Blocks(table, width, table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], head)
 
 
+def document_blocks(docs: DataFrame, fmt: TokenFormat, head: int = HEAD) -> Blocks:
+    """Blocks for what lies inside documents: the documents of a batch one after another, wherever
+    they are, so that nothing is shuffled. Only the last document of all has no separator behind it.
+    Behind the blocks of a batch one number stays free."""
+    width, block, ahead = token_bytes(docs), BLOCK, AHEAD
+    last = docs.agg(F.max("doc_id")).first()[0]
+
+    def stream(raw: np.ndarray, sizes: np.ndarray, ended: bool) -> tuple[int, bytes]:
+        """The suffixes of the documents, a separator before each; and the text."""
+        n = len(raw) + len(sizes)
+        text = np.full((n + ended, width), 255, dtype=np.uint8)
+        text[np.arange(len(raw)) + np.repeat(np.arange(1, len(sizes) + 1), sizes)] = raw
+        return n, text.tobytes()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 24
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("toks"))
+            sizes = lists.value_lengths().to_numpy()
+            raw = lists.flatten().to_numpy().astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].copy()
+            raw[:, -1] += 1
+            final = np.asarray([i == last for i in column(batch, "doc_id")], dtype=bool)
+            mine = np.repeat(final, sizes)
+            for part, some, ended in ((raw[~mine], sizes[~final], True), (raw[mine], sizes[final], False)):
+                if not len(some):
+                    continue
+                n, text = stream(part, some, ended)
+                rows = ([], [], [])
+                for a in range(0, n + ended, block):
+                    rows[0].append(number)
+                    rows[1].append(max(0, min(block, n - a)))
+                    rows[2].append(text[a * width : (a + block + ahead) * width].ljust((min(n - a, block) + ahead) * width, b"\0"))
+                    number += 1
+                number += 1
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], names=["block", "n", "text"])
+
+    table = materialize(docs.select("doc_id", "toks").mapInArrow(cut, "block bigint, n bigint, text binary"))
+    return Blocks(table, width, table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], head)
+
+
 def _heads(text: bytes, at: np.ndarray, n: int, width: int, padded: int) -> np.ndarray:
     """The n tokens from each place of a block on, filled up with zeros to `padded` bytes."""
     windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, dtype=np.uint8), n * width)
@@ -117,22 +160,46 @@ def _heads(text: bytes, at: np.ndarray, n: int, width: int, padded: int) -> np.n
     return out
 
 
+def _leads(text: bytes, n: int, head: int, width: int) -> np.ndarray:
+    """The first bytes of the heads of n places, as numbers."""
+    lead = np.ndarray((n,), dtype=">u8", buffer=text + bytes(8), strides=(width,)).astype(np.uint64)
+    return lead if head * width >= 8 else lead >> np.uint64(64 - 8 * head * width) << np.uint64(64 - 8 * head * width)
+
+
 def _agreement(rows: np.ndarray, width: int, n: int) -> np.ndarray:
     """Of each row but the first, the number of leading tokens that it has in common with the row
     before it; 0 for the first."""
     same = np.zeros(len(rows), dtype=np.int16)
-    differ = rows[1:, : n * width] != rows[:-1, : n * width]
-    first = differ.argmax(axis=1)
-    same[1:] = np.where(differ[np.arange(len(first)), first], first // width, n)
+    equal = np.ones(max(0, len(rows) - 1), dtype=bool)
+    for k in range(n * width):
+        equal &= rows[1:, k] == rows[:-1, k]
+        if k % width == width - 1:
+            same[1:] += equal
     return same
 
 
 def _room(rows: np.ndarray, width: int, n: int) -> np.ndarray:
     """The number of leading tokens of each row before a separator or the end of the stream."""
-    tokens = rows[:, : n * width].reshape(len(rows), n, width)
-    ends = (tokens == 255).all(axis=2) | (tokens[:, :, -1] == 0)
-    first = ends.argmax(axis=1)
-    return np.where(ends[np.arange(len(rows)), first], first, n).astype(np.int16)
+    # a token's last byte is 1 to 128
+    inside = np.ones(len(rows), dtype=bool)
+    room = np.zeros(len(rows), dtype=np.int16)
+    for k in range(n):
+        inside &= rows[:, (k + 1) * width - 1] - np.uint8(1) < 254
+        room += inside
+    return room
+
+
+def _order(words: np.ndarray) -> np.ndarray:
+    """The order of rows by their words; only rows that agree in the first are compared in the others."""
+    by = np.argsort(words[:, 0], kind="stable")
+    lead = words[by, 0]
+    first = np.ones(len(by) + 1, dtype=bool)
+    first[1:-1] = lead[1:] != lead[:-1]
+    tied = np.flatnonzero(~(first[:-1] & first[1:]))
+    if len(tied) and words.shape[1] > 1:
+        rows = by[tied]
+        by[tied] = rows[np.lexsort((*words[rows, 1:].T[::-1], np.cumsum(first[:-1])[tied]))]
+    return by
 
 
 RANGE = "part bigint, n bigint, pos binary, same binary, room binary, first binary, last binary, tied bigint"
@@ -161,6 +228,7 @@ def ranges(text: Blocks) -> DataFrame:
         keys = np.sort(keys)
         cuts = np.unique(keys[np.arange(1, wanted) * len(keys) // wanted])
     shared = spark.sparkContext.broadcast(cuts)
+    parts = len(cuts) + 1
 
     def send(low: int, high: int):
         """Suffixes of the ranges from low on and below high."""
@@ -169,14 +237,27 @@ def ranges(text: Blocks) -> DataFrame:
             marks = shared.value
             least = int.from_bytes(marks[low - 1].ljust(padded, b"\0")[:8], "big") if low else 0
             most = int.from_bytes(marks[high - 1].ljust(padded, b"\0")[:8], "big") if high <= len(marks) else (1 << 64) - 1
+            ends = marks[max(0, low - 1) : high]
+            begins = np.array([int.from_bytes(m.ljust(padded, b"\0")[:8], "big") for m in ends.tolist()], dtype=np.uint64)
             for batch in batches:
                 for b, n, data in zip(column(batch, "block"), column(batch, "n"), column(batch, "text")):
-                    rows = _heads(data, np.arange(n), head, width, padded)
+                    if not n:
+                        continue
+                    lead = _leads(data, n, head, width)
+                    at = np.flatnonzero((lead >= least) & (lead <= most))
+                    at = at[np.argsort(lead[at], kind="stable")]
+                    lead, rows = lead[at], _heads(data, at, head, width, padded)
+                    # which side of an end of a range a row is on is open where it begins as the end does
+                    stops = []
+                    for mark, x, y in zip(ends, np.searchsorted(lead, begins, side="left").tolist(), np.searchsorted(lead, begins, side="right").tolist()):
+                        if y > x:
+                            by = x + np.argsort(rows[x:y].view(kind).ravel(), kind="stable")
+                            at[x:y], rows[x:y] = at[by], rows[by]
+                            x += int(np.searchsorted(rows[x:y].view(kind).ravel(), mark, side="left"))
+                        stops.append(x)
+                    bounds = dict(zip(range(max(0, low - 1) + 1, high + 1), stops))
+                    bounds = {0: 0, parts: len(at)} | bounds
                     words = rows.view(">u8").astype(np.uint64)
-                    at = np.flatnonzero((words[:, 0] >= least) & (words[:, 0] <= most))
-                    at = at[np.lexsort(words[at].T[::-1])]
-                    rows, words = rows[at], words[at]
-                    bounds = [0, *np.searchsorted(rows.view(kind).ravel(), marks, side="left").tolist(), len(at)]
                     out = ([], [], [], [])
                     for part in range(low, high):
                         x, y = bounds[part], bounds[part + 1]
@@ -198,14 +279,13 @@ def ranges(text: Blocks) -> DataFrame:
             w[:, 0] = np.cumsum(w[:, 0], dtype=np.uint64)
             words.append(w)
         pos, words = np.concatenate(pos), np.concatenate(words)
-        by = np.lexsort(words.T[::-1])
+        by = _order(words)
         pos, digits = pos[by], np.ascontiguousarray(words[by].astype(">u8")).view(np.uint8).reshape(len(by), padded)
         same, room = _agreement(digits, width, head), _room(digits, width, head)
         made = {"part": rows.column("part")[:1], "n": [len(by)], "pos": [packed(pos)], "same": [packed(same)], "room": [packed(room)], "first": [digits[0].tobytes()], "last": [digits[-1].tobytes()], "tied": [int((same >= head).sum())]}
         return pa.table({k: v.cast(pa.int64()) if k == "part" else pa.array(v, pa.int64() if isinstance(v[0], int) else pa.binary()) for k, v in made.items()})
 
-    parts = len(cuts) + 1
-    each = max(1, text.pass_rows // text.range_rows)
+    each = max(1, text.pass_rows // text.range_rows, -(-parts // PASSES))
     out = None
     for low in range(0, parts, each):
         sent = text.table.mapInArrow(send(low, min(parts, low + each)), "part bigint, block bigint, at binary, keys binary")
