@@ -87,17 +87,16 @@ class Frontier:
         while left:
             least = self._least()
             step = min(suffixes.AHEAD, suffixes.STEP if depth == self.head else 2 * full)
-            rows = suffixes.further(self.text, rows, depth, full, step, inside=True, least=least)
+            rows = suffixes.further(self.text, rows, depth, full, step, least=least)
             self.rounds.append((depth, step, rows))
             left = sum(x[2] for x in self._count(rows, depth, step, least).values())
             full, depth = step, depth + step
 
     def _common(self, a: bytes, b: bytes) -> int:
         """Tokens that two heads have in common before a separator or the end of the stream."""
-        w, n = self.text.width, 0
-        while n < self.head and (t := a[n * w : (n + 1) * w]) == b[n * w : (n + 1) * w] and t != b"\xff" * w and t[-1]:
-            n += 1
-        return n
+        x, y = (np.frombuffer(t, dtype=">u8").astype(np.uint64) for t in (a, b))
+        alike = (x == y) & (x != 0) & (x != np.uint64((1 << self.text.bits) - 1))
+        return int(np.argmin(np.append(alike, False)))
 
     def _count(self, rows: DataFrame, depth: int, step: int, least: int) -> dict:
         """Adds the classes of a round to the classes; {range: (ends by depth, windows by depth,
@@ -120,10 +119,10 @@ class Frontier:
                                 ends += [int(parents[k]), int(u[k]), int(n[k]), int(whole[k]), len(parents)]
                             whole[[0, -1]] = False
                         ok = whole & (u >= least) & (n > 0)
-                        values, at = np.unique(u[ok], return_inverse=True)
-                        us.append(values)
-                        js.append(np.full(len(values), depth + j))
-                        ns.append(np.bincount(at, weights=n[ok], minlength=len(values)).astype(np.int64))
+                        each = np.bincount(u[ok], weights=n[ok]).astype(np.int64)
+                        us.append(np.flatnonzero(each))
+                        js.append(np.full(len(us[-1]), depth + j))
+                        ns.append(each[us[-1]])
                     cat = lambda x: packed(np.concatenate([np.asarray(y, dtype=np.int64) for y in x]))
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([left], pa.int64()), *(pa.array([x], pa.binary()) for x in (cat(us), cat(js), cat(ns), cat([ends]), cat([sizes])))], names=["part", "left", "u", "j", "n", "ends", "sizes"])
 

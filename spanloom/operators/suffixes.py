@@ -29,7 +29,9 @@ HEAD, STEP = 8, 16
 #: Suffixes of a range, and of a pass.
 RANGE_ROWS, PASS_ROWS = 500_000, 6_000_000
 #: Passes at most: beyond that a pass has more suffixes, a share of the disk that all would take.
-PASSES = 8
+PASSES = 5
+#: Suffixes that a task sends at a time.
+SENT_ROWS = 1_000_000
 #: Sampled suffixes for each range.
 SAMPLES = 200
 
@@ -55,28 +57,40 @@ def column(batch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def token_bytes(docs: DataFrame) -> int:
-    """Bytes that tell the tokens apart: of an id's bytes, least first, the leading ones, with
+def _top(docs: DataFrame) -> int:
+    return docs.agg(F.max(F.array_max("toks"))).first()[0] or 0
+
+
+def token_bytes(top: int) -> int:
+    """Bytes that tell the tokens up to top apart: of an id's bytes, least first, the leading ones, with
     room for adding one to the last of them."""
-    top = docs.agg(F.max(F.array_max("toks"))).first()[0] or 0
     return next(n for n in range(1, 9) if top < 1 << (8 * n - 1))
 
 
+def token_bits(top: int, width: int) -> int:
+    """Bits of a code of such a token: the last byte takes what its values, the end of the stream and
+    the separator need."""
+    return 8 * (width - 1) + ((top >> 8 * (width - 1)) + 2).bit_length()
+
+
 @dataclass
 class Blocks:
     """table: (block, n, text); of each block the packed tokens of its n positions and of what
-    comes behind. The end of the stream is 0, the separator has only set bits."""
+    comes behind. The end of the stream is 0, the separator has only set bits. inside: only what lies
+    inside documents counts, and positions are kept of suffixes alone that have to be sorted further."""
 
     table: DataFrame
     width: int
     ranks: int
+    bits: int
     head: int = HEAD
+    inside: bool = False
     range_rows: int = field(default_factory=lambda: RANGE_ROWS)
     pass_rows: int = field(default_factory=lambda: PASS_ROWS)
 
 
 def blocks(docs: DataFrame, fmt: TokenFormat, head: int = HEAD) -> Blocks:
-    width, block, ahead = token_bytes(docs), BLOCK, AHEAD
+    width, block, ahead = token_bytes(top := _top(docs)), BLOCK, AHEAD
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,14 +123,14 @@ def blocks(docs: DataFrame, fmt: TokenFormat, head: int = HEAD) -> Blocks:
 
     pieces = stream(docs, fmt).select("first", "toks").mapInArrow(cut, "block bigint, begin bigint, piece binary")
     table = materialize(pieces.groupBy("block").applyInArrow(join, "block bigint, n bigint, text binary"))
-    return Blocks(table, width, table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], head)
+    return Blocks(table, width, table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], token_bits(top, width), head)
 
 
 def document_blocks(docs: DataFrame, fmt: TokenFormat, head: int = HEAD) -> Blocks:
     """Blocks for what lies inside documents: the documents of a batch one after another, wherever
     they are, so that nothing is shuffled. Only the last document of all has no separator behind it.
-    Behind the blocks of a batch one number stays free."""
-    width, block, ahead = token_bytes(docs), BLOCK, AHEAD
+    Behind the blocks of a batch one number stays free. The head is made to fill whole words."""
+    width, block, ahead = token_bytes(top := _top(docs)), BLOCK, AHEAD
     last = docs.agg(F.max("doc_id")).first()[0]
 
     def stream(raw: np.ndarray, sizes: np.ndarray, ended: bool) -> tuple[int, bytes]:
@@ -149,42 +163,44 @@ def document_blocks(docs: DataFrame, fmt: TokenFormat, head: int = HEAD) -> Bloc
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], names=["block", "n", "text"])
 
     table = materialize(docs.select("doc_id", "toks").mapInArrow(cut, "block bigint, n bigint, text binary"))
-    return Blocks(table, width, table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], head)
-
-
-def _heads(text: bytes, at: np.ndarray, n: int, width: int, padded: int) -> np.ndarray:
-    """The n tokens from each place of a block on, filled up with zeros to `padded` bytes."""
-    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, dtype=np.uint8), n * width)
-    out = np.zeros((len(at), padded), dtype=np.uint8)
-    out[:, : n * width] = windows[at * width]
+    per = 64 // (bits := token_bits(top, width))
+    return Blocks(table, width, table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], bits, -(-head // per) * per, inside=True)
+
+
+def _codes(text: bytes, width: int, bits: int) -> np.ndarray:
+    """Numbers of the tokens of a text, in the order of their bytes: 0 is the end, the greatest the separator."""
+    raw = np.frombuffer(text, dtype=np.uint8).reshape(-1, width)
+    last = bits - 8 * (width - 1)
+    out = np.zeros(len(raw), dtype=np.uint64)
+    for k in range(width - 1):
+        out = out << np.uint64(8) | raw[:, k]
+    return out << np.uint64(last) | raw[:, -1] & np.uint8((1 << last) - 1)
+
+
+def _words(codes: np.ndarray, bits: int) -> np.ndarray:
+    """From each place on, for which so many are there, as many codes as fit into one number."""
+    per = 64 // bits
+    n = max(0, len(codes) - per + 1)
+    out = codes[:n].copy()
+    for k in range(1, per):
+        out <<= np.uint64(bits)
+        out |= codes[k : k + n]
     return out
 
 
-def _leads(text: bytes, n: int, head: int, width: int) -> np.ndarray:
-    """The first bytes of the heads of n places, as numbers."""
-    lead = np.ndarray((n,), dtype=">u8", buffer=text + bytes(8), strides=(width,)).astype(np.uint64)
-    return lead if head * width >= 8 else lead >> np.uint64(64 - 8 * head * width) << np.uint64(64 - 8 * head * width)
-
-
-def _agreement(rows: np.ndarray, width: int, n: int) -> np.ndarray:
-    """Of each row but the first, the number of leading tokens that it has in common with the row
-    before it; 0 for the first."""
-    same = np.zeros(len(rows), dtype=np.int16)
-    equal = np.ones(max(0, len(rows) - 1), dtype=bool)
-    for k in range(n * width):
-        equal &= rows[1:, k] == rows[:-1, k]
-        if k % width == width - 1:
-            same[1:] += equal
-    return same
+def _token(words: list[np.ndarray], d: int, bits: int) -> np.ndarray:
+    """The code of number d of each row of words."""
+    per = 64 // bits
+    return words[d // per] >> np.uint64(bits * (per - 1 - d % per)) & np.uint64((1 << bits) - 1)
 
 
-def _room(rows: np.ndarray, width: int, n: int) -> np.ndarray:
+def _room(words: list[np.ndarray], n: int, bits: int) -> np.ndarray:
     """The number of leading tokens of each row before a separator or the end of the stream."""
-    # a token's last byte is 1 to 128
-    inside = np.ones(len(rows), dtype=bool)
-    room = np.zeros(len(rows), dtype=np.int16)
-    for k in range(n):
-        inside &= rows[:, (k + 1) * width - 1] - np.uint8(1) < 254
+    inside = np.ones(len(words[0]), dtype=bool)
+    room = np.zeros(len(inside), dtype=np.int16)
+    for d in range(n):
+        token = _token(words, d, bits)
+        inside &= token - np.uint64(1) < np.uint64((1 << bits) - 2)
         room += inside
     return room
 
@@ -202,26 +218,78 @@ def _order(words: np.ndarray) -> np.ndarray:
     return by
 
 
+def _sorted(words: list[np.ndarray], n: int, bits: int, groups: np.ndarray | None = None, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by their n tokens, within groups, which are ascending numbers, and of each row
+    in it the tokens that it has in common with the one before it, if that is of its group. Each step
+    takes the tokens that fit into a number beside group and row, and goes on with what is tied; rows
+    that fewer than `least` agree in aren't told apart any further."""
+    order = np.arange(len(words[0]))
+    same = np.zeros(len(order), dtype=np.int16)
+    slots, group, d = order.copy(), np.zeros(len(order), dtype=np.uint64) if groups is None else groups.astype(np.uint64), 0
+    while d < n and len(slots):
+        row_bits, group_bits = int(len(slots) - 1).bit_length(), int(group[-1]).bit_length()
+        c = max(1, min(n - d, (64 - row_bits - group_bits) // bits))
+        rows = order[slots]
+        mine = [w[rows] if d // (64 // bits) <= k <= (d + c - 1) // (64 // bits) else w for k, w in enumerate(words)]
+        value = _token(mine, d, bits)
+        for k in range(d + 1, d + c):
+            value = value << np.uint64(bits) | _token(mine, k, bits)
+        if row_bits + group_bits + c * bits <= 64:
+            keys = (group << np.uint64(c * bits) | value) << np.uint64(row_bits) | np.arange(len(slots), dtype=np.uint64)
+            keys.sort()
+            by, value = (keys & np.uint64((1 << row_bits) - 1)).astype(np.int64), keys >> np.uint64(row_bits) & np.uint64((1 << c * bits) - 1)
+        else:
+            by = _order(np.column_stack([group, value]))
+            value = value[by]
+        order[slots] = rows[by]
+        alike = group[1:] == group[:-1]
+        differ = value[1:] ^ value[:-1]
+        common = np.full(len(differ), d, dtype=np.int16)
+        for k in range(1, c + 1):
+            common += differ < np.uint64(1 << bits * (c - k))
+        same[slots[1:]] = np.where(alike, common, same[slots[1:]])
+        starts = np.flatnonzero(np.concatenate([[True], ~alike | (differ != 0)]))
+        sizes = np.diff(np.append(starts, len(slots)))
+        tied = sizes >= max(2, least)
+        slots, group, d = slots[np.repeat(tied, sizes)], np.repeat(np.arange(np.count_nonzero(tied), dtype=np.uint64), sizes[tied]), d + c
+    return order, same
+
+
 RANGE = "part bigint, n bigint, pos binary, same binary, room binary, first binary, last binary, tied bigint"
 
 
 def ranges(text: Blocks) -> DataFrame:
     """The suffixes sorted by their first tokens: for each range, numbered in the order, its n
     suffixes' positions, the tokens that each has in common with the one before it in the range
-    (at most head), the tokens before the document's end (as much), and its first and last tokens.
-    Suffixes of the same first tokens are in the same range; tied of them have none of their own."""
-    spark, width, head, block = text.table.sparkSession, text.width, text.head, BLOCK
-    padded = -(-head * width // 8) * 8
-    kind = f"S{padded}"
+    (at most head), the tokens before the document's end (as much), and its first and last tokens,
+    as numbers of eight bytes. Suffixes of the same first tokens are in the same range; tied of them
+    have none of their own."""
+    spark, width, bits, head, block, inside = text.table.sparkSession, text.width, text.bits, text.head, BLOCK, text.inside
+    per = 64 // bits
+    many = -(-head // per)
+    spare = np.uint64(bits * (many * per - head))
+    kind = f"S{8 * many}"
     wanted = -(-text.ranks // text.range_rows)
     cuts = np.empty(0, dtype=kind)
+
+    def heads(data: bytes) -> np.ndarray:
+        return _words(np.append(_codes(data, width, bits), np.zeros(many * per, dtype=np.uint64)), bits)
+
+    def of(leads: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        out = [leads[at + k * per] for k in range(many)]
+        out[-1] = out[-1] >> spare << spare
+        return out
+
+    def keyed(words: list[np.ndarray]) -> np.ndarray:
+        return np.column_stack(words).astype(">u8").view(kind).ravel()
+
     if wanted > 1:
         every = max(1, text.ranks // (wanted * SAMPLES))
 
         def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for b, n, data in zip(column(batch, "block"), column(batch, "n"), column(batch, "text")):
-                    some = _heads(data, np.arange(b % every, n, every), head, width, padded)
+                    some = keyed(of(heads(data), np.arange(b % every, n, every)))
                     yield pa.RecordBatch.from_arrays([pa.array([some.tobytes()], pa.binary())], names=["keys"])
 
         keys = np.frombuffer(b"".join(r.keys for r in text.table.mapInArrow(sample, "keys binary").collect()), dtype=kind)
@@ -231,64 +299,61 @@ def ranges(text: Blocks) -> DataFrame:
     parts = len(cuts) + 1
 
     def send(low: int, high: int):
-        """Suffixes of the ranges from low on and below high."""
+        """Suffixes of the ranges from low on and below high, those of many blocks in one row."""
+
+        def split(base: int, at: list[np.ndarray], words: list[list[np.ndarray]], marks: np.ndarray, begins: np.ndarray) -> pa.RecordBatch:
+            at, words = np.concatenate(at), [np.concatenate(w) for w in zip(*words)]
+            part = np.searchsorted(begins, words[0], side="right")
+            # which side of an end of a range a row is on is open where it begins as the end does
+            if len(begins) and len(open_ := np.flatnonzero(begins[np.maximum(part, 1) - 1] == words[0])):
+                part[open_] = np.searchsorted(marks, keyed([w[open_] for w in words]), side="right")
+            part += max(0, low - 1)
+            mine = np.flatnonzero((part >= low) & (part < high))
+            by = mine[np.argsort((part[mine] - low).astype(np.uint16 if high - low < 1 << 16 else np.int64), kind="stable")]
+            bounds = np.searchsorted(part[by], np.arange(low, high + 1)).tolist()
+            at, words = at[by], [w[by] for w in words]
+            rows = [(p, base, at[x:y].tobytes(), b"".join(w[x:y].tobytes() for w in words)) for p, x, y in zip(range(low, high), bounds, bounds[1:]) if x < y]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "base", "at", "words"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            marks = shared.value
-            least = int.from_bytes(marks[low - 1].ljust(padded, b"\0")[:8], "big") if low else 0
-            most = int.from_bytes(marks[high - 1].ljust(padded, b"\0")[:8], "big") if high <= len(marks) else (1 << 64) - 1
-            ends = marks[max(0, low - 1) : high]
-            begins = np.array([int.from_bytes(m.ljust(padded, b"\0")[:8], "big") for m in ends.tolist()], dtype=np.uint64)
+            marks = shared.value[max(0, low - 1) : high]
+            begins = np.array([int.from_bytes(m.ljust(8 * many, b"\0")[:8], "big") for m in marks.tolist()], dtype=np.uint64)
+            least = begins[0] if low else np.uint64(0)
+            most = begins[-1] if high < parts else np.uint64((1 << 64) - 1)
+            base, at, words = 0, [], []
             for batch in batches:
                 for b, n, data in zip(column(batch, "block"), column(batch, "n"), column(batch, "text")):
-                    if not n:
-                        continue
-                    lead = _leads(data, n, head, width)
-                    at = np.flatnonzero((lead >= least) & (lead <= most))
-                    at = at[np.argsort(lead[at], kind="stable")]
-                    lead, rows = lead[at], _heads(data, at, head, width, padded)
-                    # which side of an end of a range a row is on is open where it begins as the end does
-                    stops = []
-                    for mark, x, y in zip(ends, np.searchsorted(lead, begins, side="left").tolist(), np.searchsorted(lead, begins, side="right").tolist()):
-                        if y > x:
-                            by = x + np.argsort(rows[x:y].view(kind).ravel(), kind="stable")
-                            at[x:y], rows[x:y] = at[by], rows[by]
-                            x += int(np.searchsorted(rows[x:y].view(kind).ravel(), mark, side="left"))
-                        stops.append(x)
-                    bounds = dict(zip(range(max(0, low - 1) + 1, high + 1), stops))
-                    bounds = {0: 0, parts: len(at)} | bounds
-                    words = rows.view(">u8").astype(np.uint64)
-                    out = ([], [], [], [])
-                    for part in range(low, high):
-                        x, y = bounds[part], bounds[part + 1]
-                        if x < y:
-                            lead = words[x:y, 0]
-                            out[0].append(part)
-                            out[1].append(b)
-                            out[2].append(packed(at[x:y].astype(np.uint32)))
-                            out[3].append(packed(np.column_stack([np.diff(lead, prepend=np.uint64(0)), words[x:y, 1:]])))
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["part", "block", "at", "keys"])
+                    if at and (sum(map(len, at)) >= SENT_ROWS or not 0 <= (b - base) * block < (1 << 32) - block):
+                        yield split(base, at, words, marks, begins)
+                        at, words = [], []
+                    if not at:
+                        base = b
+                    leads = heads(data)
+                    some = np.flatnonzero((leads[:n] >= least) & (leads[:n] <= most))
+                    at.append((some + (b - base) * block).astype(np.uint32))
+                    words.append(of(leads, some))
+            if at:
+                yield split(base, at, words, marks, begins)
 
         return run
 
     def order(rows: pa.Table) -> pa.Table:
-        pos, words = [], []
-        for b, at, keys in zip(*(rows.column(c).to_pylist() for c in ("block", "at", "keys"))):
-            pos.append(unpacked(at, "<u4").astype(np.int64) + b * block)
-            w = unpacked(keys, f"V{padded}").view("<u8").reshape(-1, padded // 8).copy()
-            w[:, 0] = np.cumsum(w[:, 0], dtype=np.uint64)
-            words.append(w)
-        pos, words = np.concatenate(pos), np.concatenate(words)
-        by = _order(words)
-        pos, digits = pos[by], np.ascontiguousarray(words[by].astype(">u8")).view(np.uint8).reshape(len(by), padded)
-        same, room = _agreement(digits, width, head), _room(digits, width, head)
-        made = {"part": rows.column("part")[:1], "n": [len(by)], "pos": [packed(pos)], "same": [packed(same)], "room": [packed(room)], "first": [digits[0].tobytes()], "last": [digits[-1].tobytes()], "tied": [int((same >= head).sum())]}
+        got = [(base, np.frombuffer(at, "<u4"), np.frombuffer(words, "<u8").reshape(many, -1)) for base, at, words in zip(*(rows.column(c).to_pylist() for c in ("base", "at", "words")))]
+        pos = np.concatenate([at.astype(np.int64) + base * block for base, at, _ in got])
+        words = [np.concatenate([w[k] for *_, w in got]) for k in range(many)]
+        by, same = _sorted(words, head, bits)
+        room = _room(words, head, bits)[by]
+        ends = [np.array([_token([w[by[[e]]] for w in words], d, bits)[0] for d in range(head)]).astype(">u8").tobytes() for e in (0, -1)]
+        pos, agree = pos[by], np.minimum(same, room) if inside else same
+        if inside:
+            pos = pos[members(np.zeros(len(by), dtype=np.int64), agree, head, 2)[0]]
+        made = {"part": rows.column("part")[:1], "n": [len(by)], "pos": [packed(pos)], "same": [packed(same)], "room": [packed(room)], "first": [ends[0]], "last": [ends[1]], "tied": [int((agree >= head).sum())]}
         return pa.table({k: v.cast(pa.int64()) if k == "part" else pa.array(v, pa.int64() if isinstance(v[0], int) else pa.binary()) for k, v in made.items()})
 
     each = max(1, text.pass_rows // text.range_rows, -(-parts // PASSES))
     out = None
     for low in range(0, parts, each):
-        sent = text.table.mapInArrow(send(low, min(parts, low + each)), "part bigint, block bigint, at binary, keys binary")
+        sent = text.table.mapInArrow(send(low, min(parts, low + each)), "part bigint, base bigint, at binary, words binary")
         done = materialize(sent.groupBy("part").applyInArrow(order, RANGE))
         out = done if out is None else out.unionAll(done)
     return out
@@ -310,62 +375,80 @@ def members(lo: np.ndarray, same: np.ndarray, full: int, least: int) -> tuple[np
 ROUND = "part bigint, lo binary, at binary, pos binary, same binary, room binary, tied bigint"
 
 
-def further(text: Blocks, rows: DataFrame, depth: int, before: int, step: int, inside: bool = False, least: int = 2) -> DataFrame:
+def further(text: Blocks, rows: DataFrame, depth: int, before: int, step: int, least: int = 2) -> DataFrame:
     """Rows of ranges or of an earlier round, whose `before` tokens end at depth: those that agree
     in all of them are sorted by the next `step` tokens. In each range, in order: the index of the
     first of the old group and its own, the position, the tokens in common with the one before it,
-    if it is of the group, and those before the document's end. inside: groups that hold a
-    separator are left out; so are those of fewer than `least`."""
-    width, block = text.width, BLOCK
+    if it is of the group, and those before the document's end. Groups of fewer than `least` are left
+    out, and inside documents those that hold a separator."""
+    width, bits, block, inside = text.width, text.bits, BLOCK, text.inside
+    per = 64 // bits
+    many = -(-step // per)
     ranged = "lo" not in rows.columns
+    # blocks that are held at a time: what is fetched from them stays within a bound
+    held_blocks = max(1, min(8, 128 // step, text.ranks // (48 * block)))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            got: tuple[list, list, list] = ([], [], [])
             for i, part in enumerate(column(batch, "part")):
                 get = lambda c, k: unpacked(batch.column(batch.schema.get_field_index(c))[i].as_py(), k)  # noqa: E731, B023
                 pos, same = get("pos", "<i8"), get("same", "<i2")
                 if inside:
                     same = np.minimum(same, get("room", "<i2"))
-                at, lo = (np.arange(len(pos)), np.zeros(len(pos), dtype=np.int64)) if ranged else (get("at", "<i8"), get("lo", "<i8"))
+                at, lo = (np.arange(len(same)), np.zeros(len(same), dtype=np.int64)) if ranged else (get("at", "<i8"), get("lo", "<i8"))
                 which, group = members(lo, same, before, least)
-                pos, start = pos[which], at[group]
-                to = (pos + depth) // block
-                by = np.argsort(to, kind="stable")
-                bounds = np.flatnonzero(np.diff(to[by], prepend=-1))
-                ends = np.append(bounds[1:], len(by))
-                cut = [by[x:y] for x, y in zip(bounds, ends)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(to[c[0]]) for c in cut], pa.int64()), pa.array([part] * len(cut), pa.int64()), pa.array([packed(start[c]) for c in cut], pa.binary()), pa.array([packed(pos[c]) for c in cut], pa.binary())],
-                    names=["block", "part", "lo", "pos"],
-                )
+                if inside:
+                    pos = pos[np.searchsorted(members(lo, same, before, 2)[0], which)]
+                else:
+                    pos = pos[which]
+                for x, y in zip(got, (np.full(len(which), part), at[group], pos)):
+                    x.append(y)
+            part, start, pos = (np.concatenate([np.empty(0, dtype=np.int64), *x]) for x in got)
+            to = (pos + depth) // block // held_blocks
+            by = np.argsort(to, kind="stable")
+            part, start, pos, to = part[by], start[by], pos[by], to[by]
+            cut = np.append(np.flatnonzero(np.diff(to, prepend=-1)), len(to)).tolist()
+            rows = [(int(to[x]), *(packed(c[x:y]) for c in (part, start)), pos[x:y].tobytes()) for x, y in zip(cut, cut[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k else pa.int64()) for k in range(4)], names=["held", "part", "lo", "pos"])
 
     def fetch(asked: pa.Table, held: pa.Table) -> pa.Table:
-        out = []
-        data = held.column("text")[0].as_py() if held.num_rows else b"\0" * (block + step) * width  # behind the end
-        b = asked.column("block")[0].as_py() if asked.num_rows else 0
-        room = len(data) // width
-        data += b"\0" * step * width
-        for pos in asked.column("pos").to_pylist():
-            at = np.minimum(unpacked(pos, "<i8") + depth - b * block, room)
-            out.append(packed(_heads(data, at, step, width, step * width).view(f"V{step * width}").ravel()))
-        return pa.table({"part": asked.column("part"), "lo": asked.column("lo"), "pos": asked.column("pos"), "toks": pa.array(out, pa.binary())})
+        get = lambda c, k: np.concatenate([np.empty(0, dtype=k), *(unpacked(x, k) for x in asked.column(c).to_pylist())])
+        part, lo = get("part", "<i8"), get("lo", "<i8")
+        pos = np.frombuffer(b"".join(asked.column("pos").to_pylist()), "<i8")
+        blocks, texts = zip(*sorted(zip(held.column("block").to_pylist(), held.column("text").to_pylist()))) if held.num_rows else ((-1,), (b"",))
+        behind = np.zeros(step + 2 * per, dtype=np.uint64)  # the end
+        codes = [np.append(_codes(t, width, bits), behind) for t in texts]
+        begins, sizes = np.cumsum([0, *map(len, codes)]), np.array([len(c) - len(behind) for c in codes])
+        words = _words(np.concatenate(codes), bits)
+        by = np.argsort(part, kind="stable")
+        part, lo, pos = part[by], lo[by], pos[by]
+        to = (pos + depth) // block
+        i = np.minimum(np.searchsorted(blocks, to), len(blocks) - 1)
+        at = begins[i] + np.where(np.array(blocks)[i] == to, np.minimum(pos + depth - to * block, sizes[i]), sizes[i])
+        cut = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part)).tolist()
+        out = [(int(part[x]), packed(lo[x:y]), pos[x:y].tobytes(), b"".join(words[at[x:y] + k * per].tobytes() for k in range(many))) for x, y in zip(cut, cut[1:])]
+        return pa.table([pa.array([r[k] for r in out], pa.binary() if k else pa.int64()) for k in range(4)], names=["part", "lo", "pos", "toks"])
 
     def order(rows: pa.Table) -> pa.Table:
-        get = lambda c, k: np.concatenate([unpacked(x, k) for x in rows.column(c).to_pylist()])
-        lo, pos = get("lo", "<i8"), get("pos", "<i8")
-        toks = get("toks", f"V{step * width}").view(np.uint8).reshape(len(lo), step * width)
-        keys = np.concatenate([lo.astype(">i8").view(np.uint8).reshape(-1, 8), toks], axis=1)
-        by = np.argsort(keys.view(f"S{keys.shape[1]}").ravel(), kind="stable")
-        lo, pos, toks = lo[by], pos[by], toks[by]
+        lo = np.concatenate([unpacked(x, "<i8") for x in rows.column("lo").to_pylist()])
+        by = np.argsort(lo, kind="stable")
+        lo, pos = lo[by], np.frombuffer(b"".join(rows.column("pos").to_pylist()), "<i8")[by]
+        toks = [np.frombuffer(x, "<u8").reshape(many, -1) for x in rows.column("toks").to_pylist()]
+        words = [np.concatenate([x[k] for x in toks])[by] for k in range(many)]
         first = np.ones(len(lo), dtype=bool)
         first[1:] = lo[1:] != lo[:-1]
         starts = np.flatnonzero(first)
         at = lo + np.arange(len(lo)) - np.repeat(starts, np.diff(np.append(starts, len(lo))))
-        same = _agreement(toks, width, step)
-        same[first] = 0
-        made = [rows.column("part")[:1].cast(pa.int64()), *(pa.array([packed(x)], pa.binary()) for x in (lo, at, pos, same, _room(toks, width, step))), pa.array([int((same >= step).sum())], pa.int64())]
+        by, same = _sorted(words, step, bits, np.cumsum(first) - 1, least)
+        pos, room = pos[by], _room(words, step, bits)[by]
+        agree = np.minimum(same, room) if inside else same
+        if inside:
+            pos = pos[members(lo, agree, step, 2)[0]]
+        made = [rows.column("part")[:1].cast(pa.int64()), *(pa.array([packed(x)], pa.binary()) for x in (lo, at, pos, same, room)), pa.array([int((agree >= step).sum())], pa.int64())]
         return pa.table(made, names=["part", "lo", "at", "pos", "same", "room", "tied"])
 
-    asked = rows.where("tied > 0").mapInArrow(ask, "block bigint, part bigint, lo binary, pos binary")
-    got = asked.groupBy("block").cogroup(text.table.groupBy("block")).applyInArrow(fetch, "part bigint, lo binary, pos binary, toks binary")
+    asked = rows.where("tied > 0").mapInArrow(ask, "held bigint, part binary, lo binary, pos binary")
+    held = text.table.withColumn("held", F.floor(F.col("block") / held_blocks))
+    got = asked.groupBy("held").cogroup(held.groupBy("held")).applyInArrow(fetch, "part bigint, lo binary, pos binary, toks binary")
     return materialize(got.groupBy("part").applyInArrow(order, ROUND))
