@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from spanloom.config import TokenFormat
 from spanloom.functions.keys import prefix, token_key
+from spanloom.operators import suffixes
 from spanloom.operators.prefix import numbered, running
 from spanloom.session import materialize
 
@@ -107,12 +108,45 @@ def _suffix_heads(flat: np.ndarray, sizes: np.ndarray, ended: np.ndarray, width:
     return np.lib.stride_tricks.sliding_window_view(room, size), at * width, lead[at * width].astype(np.uint64)
 
 
-def locate(docs: DataFrame, queries: DataFrame, depth: int, fmt: TokenFormat) -> DataFrame:
+def _steps(marks: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For the search of a row among sorted rows of numbers, one column after another: the numbers of
+    each column; the pairs of what comes before and the number there, as numbers; the first row of each."""
+    node, out = np.zeros(len(marks), dtype=np.int64), []
+    for column in marks.T:
+        values, at = np.unique(column, return_inverse=True)
+        pairs = node * (2 * len(values) + 1) + 2 * at + 1
+        known, first = np.unique(pairs, return_index=True)
+        node = np.searchsorted(known, pairs)
+        out.append((values, known, np.append(first, len(marks))))
+    return out
+
+
+def _count_gaps(steps: list, leads: np.ndarray, rows: np.ndarray, per: int, upto: np.ndarray, below: np.ndarray) -> None:
+    """Adds how many of the suffixes at rows have as many marks before them, to upto; to below those
+    before or equal to them. Only suffixes that begin as a mark does are compared any further."""
+    node = np.zeros(len(rows), dtype=np.int64)
+    for k, (values, known, first) in enumerate(steps):
+        words = leads[rows + k * per]
+        at = np.searchsorted(values, words)
+        there = values[np.minimum(at, len(values) - 1)] == words
+        pairs = node * (2 * len(values) + 1) + 2 * at + there
+        at = np.searchsorted(known, pairs) if k else at
+        alike = known[np.minimum(at, len(known) - 1)] == pairs
+        gaps = np.bincount(first[at[~alike]], minlength=len(upto))
+        upto += gaps
+        below += gaps
+        rows, node = rows[alike], at[alike]
+    upto += np.bincount(steps[-1][2][node], minlength=len(upto))
+    below += np.bincount(steps[-1][2][node] + 1, minlength=len(upto))
+
+
+def locate(docs: DataFrame, queries: DataFrame, depth: int, fmt: TokenFormat, text: suffixes.Blocks | None = None) -> DataFrame:
     """(key, lo, hi) for each distinct key of queries, of up to depth tokens without separator: its
     rank interval; for an absent key lo = hi is the rank where it would be inserted, and the empty
     key has all ranks. Null, longer and separator-holding keys have no row. The sorted keys, a
     workload of bounded size, are sent to all; each task counts its suffixes in the gaps between
-    them, so what is shuffled are at most two numbers for each query and task."""
+    them, so what is shuffled are at most two numbers for each query and task. text: blocks of docs,
+    which are read instead where they are there already."""
     wanted = queries.select("key").where(F.col("key").isNotNull() & (F.length("key") <= depth * fmt.width)).distinct()
     wanted = wanted.where(~F.exists(F.transform(F.sequence(F.lit(0), F.greatest(F.length("key") / fmt.width - 1, F.lit(0)).cast("int")), lambda i: F.substring("key", i * fmt.width + 1, F.lit(fmt.width))), lambda t: t == fmt.separator_key))
     spark = docs.sparkSession
@@ -120,37 +154,54 @@ def locate(docs: DataFrame, queries: DataFrame, depth: int, fmt: TokenFormat) ->
     if not keys:
         return spark.createDataFrame([], "key string, lo bigint, hi bigint")
     ids = [np.frombuffer(bytes.fromhex(k), dtype=np.uint8).reshape(-1, fmt.token_bytes).astype(np.uint64) @ (np.uint64(1) << np.arange(0, 8 * fmt.token_bytes, 8, dtype=np.uint64)) for k in keys]
-    top = max([docs.agg(F.max(F.array_max("toks"))).first()[0] or 0, *(int(x.max()) for x in ids if len(x))])
-    width = next(n for n in range(1, 9) if top < 1 << (8 * n - 1))
-    size = -(-depth * width // 8) * 8
+    top = max([suffixes._top(docs) if text is None else text.top, *(int(x.max()) for x in ids if len(x))])
+    width = suffixes.token_bytes(top)
+    bits = suffixes.token_bits(top, width)
+    per = 64 // bits
+    many = -(-depth // per)
     # what begins with a key lies between the key and the key with all bits set behind it
-    codes = [_token_bytes(x, width).tobytes() for x in ids]
-    lows, highs = (np.array([c.ljust(size, fill) for c in codes], dtype=f"S{size}") for fill in (b"\0", b"\xff"))
+    codes = [suffixes._codes(_token_bytes(x, width).tobytes(), width, bits) for x in ids]
+    lows, highs = (np.full((len(codes), many * per), fill, dtype=np.uint64) for fill in (0, (1 << bits) - 1))
+    for i, c in enumerate(codes):
+        lows[i, : len(c)] = highs[i, : len(c)] = c
+    shifts = np.uint64(bits) * np.arange(per - 1, -1, -1, dtype=np.uint64)
+    lows, highs = ((x.reshape(len(codes), many, per) << shifts).sum(axis=2, dtype=np.uint64).astype(">u8").view(f"S{8 * many}").ravel() for x in (lows, highs))
     marks = np.unique(np.concatenate([lows, highs]))
-    shared = spark.sparkContext.broadcast(marks)
-    last = F.broadcast(docs.agg(F.max("doc_id").alias("last")))
-    rows = docs.crossJoin(last).select((F.col("doc_id") != F.col("last")).alias("ended"), "toks")
+    shared = spark.sparkContext.broadcast(np.array([m.ljust(8 * many, b"\0") for m in marks.tolist()]).view(f"V{8 * many}").view(">u8").reshape(-1, many).astype(np.uint64))
+
+    def whole(lists: pa.Array, ended: pa.Array) -> tuple[bytes, np.ndarray]:
+        """The text of documents, and where its tokens are."""
+        heads, at, _ = _suffix_heads(lists.flatten().to_numpy(), lists.value_lengths().to_numpy(), ended.to_numpy(zero_copy_only=False), width, 8)
+        return heads[:-1:width, :width].tobytes(), at // width
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = shared.value
-        begins, firsts = np.unique(marks.view(">u8").reshape(len(marks), -1)[:, 0].astype(np.uint64), return_index=True)
+        steps = _steps(shared.value)
         upto, below = np.zeros(len(marks) + 1, dtype=np.int64), np.zeros(len(marks) + 1, dtype=np.int64)
         for batch in batches:
-            lists, ended = (batch.column(batch.schema.get_field_index(c)) for c in ("toks", "ended"))
-            for a in range(0, len(lists), DOCS_AT_A_TIME):
-                part = lists.slice(a, DOCS_AT_A_TIME)
-                heads, at, lead = _suffix_heads(part.flatten().to_numpy(), part.value_lengths().to_numpy(), ended.slice(a, DOCS_AT_A_TIME).to_numpy(zero_copy_only=False), width, size)
-                group = np.searchsorted(begins, lead)
-                alike = np.append(begins, np.uint64(0))[group] == lead
-                alike &= group < len(begins)
-                gaps = np.bincount(np.append(firsts, len(marks))[group[~alike]], minlength=len(marks) + 1)
-                rows = np.ascontiguousarray(heads[at[alike]]).view(marks.dtype).ravel()
-                left, right = (np.searchsorted(marks, rows, side=x) for x in ("left", "right"))
-                upto += gaps + np.bincount(left, minlength=len(upto))
-                below += gaps + np.bincount(right, minlength=len(below))
+            if "text" in batch.schema.names:
+                texts = ((data, np.arange(n)) for data, n in zip(suffixes.column(batch, "text"), suffixes.column(batch, "n")))
+            else:
+                lists, ended = (batch.column(batch.schema.get_field_index(c)) for c in ("toks", "ended"))
+                texts = (whole(lists.slice(a, DOCS_AT_A_TIME), ended.slice(a, DOCS_AT_A_TIME)) for a in range(0, len(lists), DOCS_AT_A_TIME))
+            for data, starts in texts:
+                # blocks have the tokens of the corpus alone, keys may have greater ones
+                raw = np.frombuffer(data, dtype=np.uint8).reshape(-1, held)
+                if held < width:
+                    wide = np.zeros((len(raw), width), dtype=np.uint8)
+                    wide[:, :held], wide[:, held - 1], wide[:, -1] = raw, raw[:, -1] - 1, 1
+                    wide[raw[:, -1] == 0], wide[raw[:, -1] == 255] = 0, 255
+                    raw = wide
+                codes = suffixes._codes(raw.tobytes(), width, bits)
+                leads = suffixes._words(np.append(codes, np.zeros(many * per, dtype=np.uint64)), bits)
+                _count_gaps(steps, leads, starts, per, upto, below)
         gaps = np.flatnonzero(upto + below)
         yield pa.RecordBatch.from_arrays([pa.array(gaps), pa.array(upto[gaps]), pa.array(below[gaps])], names=["gap", "upto", "below"])
 
+    if text is None:
+        held, last = width, F.broadcast(docs.agg(F.max("doc_id").alias("last")))
+        rows = docs.crossJoin(last).select((F.col("doc_id") != F.col("last")).alias("ended"), "toks")
+    else:
+        held, rows = text.width, text.table.select("n", "text")
     counts = rows.mapInArrow(count, "gap bigint, upto bigint, below bigint").groupBy("gap").agg(F.sum("upto").alias("upto"), F.sum("below").alias("below"))
     upto, below = np.zeros(len(marks) + 1, dtype=np.int64), np.zeros(len(marks) + 1, dtype=np.int64)
     for r in counts.collect():  # as many rows as there are marks

@@ -9,6 +9,7 @@ which bounds the disk that it takes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,7 +32,7 @@ RANGE_ROWS, PASS_ROWS = 500_000, 6_000_000
 #: Passes at most: beyond that a pass has more suffixes, a share of the disk that all would take.
 PASSES = 5
 #: Suffixes that a task sends at a time.
-SENT_ROWS = 1_000_000
+SENT_ROWS = 150_000
 #: Sampled suffixes for each range.
 SAMPLES = 200
 
@@ -57,6 +58,17 @@ def column(batch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def _keep_memory() -> None:
+    """Have this process keep what its arrays gave back: fetching it anew from the system for each
+    array takes longer than working on it. Where the C library has no such setting nothing changes."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 30)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 1 << 28)  # M_TRIM_THRESHOLD
+    except (AttributeError, OSError):
+        pass
+
+
 def _top(docs: DataFrame) -> int:
     return docs.agg(F.max(F.array_max("toks"))).first()[0] or 0
 
@@ -83,6 +95,7 @@ class Blocks:
     width: int
     ranks: int
     bits: int
+    top: int = 0
     head: int = HEAD
     inside: bool = False
     range_rows: int = field(default_factory=lambda: RANGE_ROWS)
@@ -123,7 +136,7 @@ def blocks(docs: DataFrame, fmt: TokenFormat, head: int = HEAD) -> Blocks:
 
     pieces = stream(docs, fmt).select("first", "toks").mapInArrow(cut, "block bigint, begin bigint, piece binary")
     table = materialize(pieces.groupBy("block").applyInArrow(join, "block bigint, n bigint, text binary"))
-    return Blocks(table, width, table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], token_bits(top, width), head)
+    return Blocks(table, width, table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], token_bits(top, width), top, head)
 
 
 def document_blocks(docs: DataFrame, fmt: TokenFormat, head: int = HEAD) -> Blocks:
@@ -164,7 +177,7 @@ def document_blocks(docs: DataFrame, fmt: TokenFormat, head: int = HEAD) -> Bloc
 
     table = materialize(docs.select("doc_id", "toks").mapInArrow(cut, "block bigint, n bigint, text binary"))
     per = 64 // (bits := token_bits(top, width))
-    return Blocks(table, width, table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], bits, -(-head // per) * per, inside=True)
+    return Blocks(table, width, table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], bits, top, -(-head // per) * per, inside=True)
 
 
 def _codes(text: bytes, width: int, bits: int) -> np.ndarray:
@@ -316,6 +329,7 @@ def ranges(text: Blocks) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "base", "at", "words"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _keep_memory()
             marks = shared.value[max(0, low - 1) : high]
             begins = np.array([int.from_bytes(m.ljust(8 * many, b"\0")[:8], "big") for m in marks.tolist()], dtype=np.uint64)
             least = begins[0] if low else np.uint64(0)
@@ -338,6 +352,7 @@ def ranges(text: Blocks) -> DataFrame:
         return run
 
     def order(rows: pa.Table) -> pa.Table:
+        _keep_memory()
         got = [(base, np.frombuffer(at, "<u4"), np.frombuffer(words, "<u8").reshape(many, -1)) for base, at, words in zip(*(rows.column(c).to_pylist() for c in ("base", "at", "words")))]
         pos = np.concatenate([at.astype(np.int64) + base * block for base, at, _ in got])
         words = [np.concatenate([w[k] for *_, w in got]) for k in range(many)]
@@ -413,6 +428,7 @@ def further(text: Blocks, rows: DataFrame, depth: int, before: int, step: int, l
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k else pa.int64()) for k in range(4)], names=["held", "part", "lo", "pos"])
 
     def fetch(asked: pa.Table, held: pa.Table) -> pa.Table:
+        _keep_memory()
         get = lambda c, k: np.concatenate([np.empty(0, dtype=k), *(unpacked(x, k) for x in asked.column(c).to_pylist())])
         part, lo = get("part", "<i8"), get("lo", "<i8")
         pos = np.frombuffer(b"".join(asked.column("pos").to_pylist()), "<i8")

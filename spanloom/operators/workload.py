@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spanloom.config import TokenFormat, Workload
 from spanloom.functions.keys import encode
 from spanloom.operators.prefix import running
+from spanloom.session import materialize
 
 #: Windows that share a bucket when draws are brought to their documents.
 BUCKET = 4096
@@ -21,8 +22,9 @@ def sample_windows(docs: DataFrame, work: Workload, fmt: TokenFormat) -> DataFra
     hex digits of md5('seed|length|i') modulo the number of windows. Windows lie inside documents.
     A length that no document has is left out."""
     lengths = F.array(*(F.lit(n) for n in work.lengths))
-    sized = docs.select("doc_id", "toks", F.explode(lengths).alias("length"))
-    sized = sized.withColumn("n", (F.size("toks") - F.col("length") + 1).cast("bigint")).where("n > 0")
+    # they are gone through several times, the texts but once
+    sizes = materialize(docs.select("doc_id", F.size("toks").alias("size")))
+    sized = sizes.withColumn("length", F.explode(lengths)).withColumn("n", (F.col("size") - F.col("length") + 1).cast("bigint")).where("n > 0")
     sized = sized.withColumn("at", F.concat(F.lpad(F.col("length").cast("string"), 4, "0"), F.lpad(F.hex(F.col("doc_id") + F.lit(1 << 62)), 16, "0")))
     placed = running(sized.select("doc_id", "length", "n", "at"), "at", {"all_before": F.col("n")}, before=True)
     per_length = placed.groupBy("length").agg(F.sum("n").alias("windows"), F.min("all_before").alias("base"))
@@ -33,7 +35,7 @@ def sample_windows(docs: DataFrame, work: Workload, fmt: TokenFormat) -> DataFra
     spans = placed.join(F.broadcast(per_length), "length").withColumn("from", F.col("all_before") - F.col("base"))
     spans = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("from") / BUCKET), F.floor((F.col("from") + F.col("n") - 1) / BUCKET))))
     met = draws.select("length", "qid", "w", "bucket").join(spans.select("length", "bucket", "doc_id", "from", "n"), ["length", "bucket"]).where("w >= from and w < from + n")
-    tokens = met.join(docs.select("doc_id", "toks"), "doc_id")
+    tokens = docs.select("doc_id", "toks").join(F.broadcast(met), "doc_id")  # as many rows as windows are drawn
     window = F.slice("toks", (F.col("w") - F.col("from") + 1).cast("int"), F.col("length"))
     return tokens.select("length", "qid", encode(window, fmt).alias("key"))
 

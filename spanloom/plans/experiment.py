@@ -161,7 +161,7 @@ class Experiment:
 
         def build() -> DataFrame:
             parts = self.queries.where(F.col("key").isNotNull()).select(F.explode(F.transform(F.sequence(F.lit(1), F.col("length")), lambda d: F.substring("key", F.lit(1), d * self.fmt.width))).alias("key"))
-            located = materialize(grams.locate(self.train, parts, max(self.settings.workload.lengths), self.fmt))
+            located = materialize(grams.locate(self.train, parts, max(self.settings.workload.lengths), self.fmt, self.frontier.text))
             fixed = [("none", 0), *((name, d) for d, name in self.fixed_names.items())]
             return resolve.resolve(resolve.ordered_prefixes(self.queries, located, self.frontier, fixed, self.fmt), located)
 
