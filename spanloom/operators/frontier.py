@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from spanloom.config import TokenFormat
 from spanloom.operators import suffixes
 from spanloom.operators.suffixes import column, packed, unpacked
+from spanloom.session import materialize
 
 
 @dataclass
@@ -74,6 +75,7 @@ class Frontier:
         self.meets = [self._common(a.last, b.first) for a, b in zip(ends, ends[1:])]
         self.classes: Counter = Counter()
         self.found: dict[tuple[int, int, int], Cut] = {}
+        self.counted: dict[int, DataFrame] = {}  # what the ranges say, by the depth that a round begins at
         self.levels = [0] * (self.head + 1)
         self.rounds = [(0, self.head, self.rows)]
         said = self._count(self.rows, 0, self.head, 2)
@@ -127,7 +129,8 @@ class Frontier:
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([left], pa.int64()), *(pa.array([x], pa.binary()) for x in (cat(us), cat(js), cat(ns), cat([ends]), cat([sizes])))], names=["part", "left", "u", "j", "n", "ends", "sizes"])
 
         out = {}
-        for r in rows.mapInArrow(count, "part bigint, left bigint, u binary, j binary, n binary, ends binary, sizes binary").collect():
+        self.counted[depth] = materialize(rows.mapInArrow(count, "part bigint, left bigint, u binary, j binary, n binary, ends binary, sizes binary"))
+        for r in self.counted[depth].collect():
             for u, j, n in zip(*(unpacked(x, "<i8").tolist() for x in (r.u, r.j, r.n))):
                 self.classes[u, j] += n
             ends = unpacked(r.ends, "<i8").reshape(-1, 2, 5).tolist()
@@ -222,20 +225,20 @@ class Frontier:
                 ends[[0, -1]] = True
             return at + starts[part], agree, room, parents, u, kids, inner & ~ends, ends & whole
 
+        said: list[dict] = [{} for _ in classes]
+        counted = self.counted[before]
+
         def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for i, part in enumerate(column(batch, "part")):
-                    arrays, out = _arrays(batch, i), ([], [], [])
+                for part, *data in zip(*(column(batch, c) for c in ("part", "u", "j", "n", "ends"))):
+                    u, j, n, ends = (unpacked(x, "<i8") for x in data)
+                    edges = ends.reshape(-1, 2, 5)
                     for k, (count, depth) in enumerate(classes):
-                        _, _, _, parents, u, kids, inner, ends = families(arrays, part, count, depth - before)
-                        n = np.diff(np.append(np.searchsorted(kids, parents), len(kids)))
-                        edge = [[int(parents[e]), int(u[e]), int(n[e]), int(ends[e]), len(parents)] for e in (0, len(parents) - 1) if edged]
-                        for x, y in zip(out, (k, int(n[inner].sum()), packed(np.array(edge, dtype=np.int64).ravel()))):
-                            x.append(y)
-                    yield pa.RecordBatch.from_arrays([pa.array([part] * len(classes), pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["part", "k", "n", "ends"])
+                        mine = int(n[(u == count) & (j == depth)].sum())
+                        edge = edges[depth - 1] if edged else edges.reshape(-1, 5)
+                        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int64()), (k, pa.int64()), (mine, pa.int64()), (packed(edge.ravel()), pa.binary()))], names=["part", "k", "n", "ends"])
 
-        said: list[dict] = [{} for _ in classes]
-        for r in rows.mapInArrow(total, "part bigint, k bigint, n bigint, ends binary").collect():
+        for r in counted.mapInArrow(total, "part bigint, k bigint, n bigint, ends binary").collect():
             said[r.k][r.part] = (r.n, unpacked(r.ends, "<i8").reshape(-1, 5).tolist())
         where = []  # of each cut the number within what is fetched, the one parent at ranges' ends, and the ranges
         for count, depth, taken in wanted:
